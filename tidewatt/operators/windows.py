@@ -40,24 +40,38 @@ def with_lags_and_means(
     shuffle; each bucket carries a copy of the rows its own rows look back on.
 
     Means come from running sums inside the bucket, whatever their length: a sliding
-    frame would add up all ``n`` values again for every row. The difference of two
-    running sums is off by at most the rounding of one bucket's total.
+    frame would add up all ``n`` values again for every row. So that a difference of
+    running sums loses nothing, each value is split into a multiple of a small power of
+    two, whose sums are exact, and a tiny rest.
     """
     reach = max([*lags.values(), *means.values()])
     if steps is not None:
         steps = max(steps, 8 * reach)
-    bucketed = into_buckets(df, ts, freq, steps, halo=reach)
+    rows = into_buckets(df, ts, freq, steps, halo=reach)
     ordered = bucket_window(keys)
     added = {name: F.lag(value, k).over(ordered) for name, k in lags.items()}
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    sums = bucketed.withColumns(
-        {**added, "__sum": F.sum(value).over(so_far), "__count": F.count(value).over(so_far)}
-    )
-    averages = {}
-    for name, n in means.items():
-        total = F.col("__sum") - F.coalesce(F.lag("__sum", n).over(ordered), F.lit(0.0))
-        averages[name] = F.try_divide(total, F.col("__count") - F.coalesce(F.lag("__count", n).over(ordered), F.lit(0)))
-    return out_of_buckets(sums.withColumns(averages)).select(*df.columns, *added, *averages)
+    if means:
+        whole = Window.partitionBy(*keys, BUCKET)
+        so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        bits = F.ceil(F.log2(F.max(F.abs(value)).over(whole) * F.count(value).over(whole)))
+        rows = rows.withColumn("__unit", F.coalesce(F.pow(F.lit(2.0), bits - 51), F.lit(1.0)))
+        coarse = F.rint(F.col(value) / F.col("__unit")) * F.col("__unit")
+        rows = rows.withColumns({"__coarse": coarse, "__rest": F.col(value) - coarse})
+        for part in ("__coarse", "__rest"):
+            added[f"{part}_sum"] = F.sum(part).over(so_far)
+        added["__known"] = F.count(value).over(so_far)
+    rows = rows.withColumns(added)
+
+    def last(n: int, c: str, zero) -> Column:
+        return F.col(c) - F.coalesce(F.lag(c, n).over(ordered), F.lit(zero))
+
+    averages = {
+        name: F.try_divide(
+            last(n, "__coarse_sum", 0.0) + last(n, "__rest_sum", 0.0), last(n, "__known", 0)
+        )
+        for name, n in means.items()
+    }
+    return out_of_buckets(rows.withColumns(averages)).select(*df.columns, *lags, *means)
 
 
 def with_previous_time(
