@@ -41,6 +41,7 @@ def differences(spark_table: pa.Table, sql_table: pa.Table) -> list[str]:
         if len(left) != len(right):
             found.append(f"rows: {len(left)} and {len(right)}")
         if left != right:
-            only = [r for r in left if r not in set(right)][:3], [r for r in right if r not in set(left)][:3]
-            found.append(f"values differ: {only}")
+            in_left, in_right = set(left), set(right)
+            only = [r for r in left if r not in in_right], [r for r in right if r not in in_left]
+            found.append(f"values differ in {len(only[0])} and {len(only[1])} rows: {only[0][:2]} {only[1][:2]}")
     return found

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from tidewatt.catalog import expressions  # noqa: F401
+from tidewatt.catalog import aggregates, expressions, gridding, joining, windowing  # noqa: F401
 from tidewatt.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -132,13 +132,15 @@ def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_dataset(daily_demand(spark, sf_dir), daily_weather(spark, sf_dir), DAILY)
+    """Ingested demand is a written table, as it is between the stages of a real run."""
+    demand = staged(daily_demand(spark, sf_dir), "daily-demand")
+    return model_dataset(demand, daily_weather(spark, sf_dir), DAILY)
 
 
 def daily_dataset_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    demand = grid.regularise(daily_by_nation(spark, sf_dir), ["y"], keys=["c_nationkey"], freq="1 day")
-    weather = daily_weather(spark, sf_dir)
-    return model_dataset(demand.withColumnRenamed("y", "ontario_demand_mw"), weather, DAILY_BY_NATION)
+    filled = grid.regularise(daily_by_nation(spark, sf_dir), ["y"], keys=["c_nationkey"], freq="1 day")
+    demand = staged(filled.withColumnRenamed("y", "ontario_demand_mw"), "nation-demand")
+    return model_dataset(demand, daily_weather(spark, sf_dir), DAILY_BY_NATION)
 
 
 def written_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
-    """All doubles rounded, so that engines that add in another order still agree."""
+    """All doubles rounded, so that engines that add in another order still agree.
+
+    Scaled, rounded half up and scaled back, as the SQL side does; Spark's ``round``
+    goes through decimal text and may take the other side of a near tie.
+    """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    # adding 0.0 turns a negative zero into zero
-    return df.withColumns({c: F.round(c, decimals) + F.lit(0.0) for c in doubles}) if doubles else df
+    scale = F.lit(10.0**decimals)
+    return df.withColumns({c: F.floor(F.col(c) * scale + 0.5) / scale for c in doubles}) if doubles else df
