@@ -1,4 +1,13 @@
 """Imports every module that registers queries."""
 
-from tidewatt.catalog import aggregates, expressions, gridding, joining, windowing  # noqa: F401
+from tidewatt.catalog import (  # noqa: F401
+    aggregates,
+    checks,
+    expressions,
+    forecasting,
+    gridding,
+    joining,
+    scenario_queries,
+    windowing,
+)
 from tidewatt.catalog.registry import ORACLES, QUERIES  # noqa: F401

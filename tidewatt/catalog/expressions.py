@@ -153,10 +153,10 @@ def split_label(spark, sf):
 @query(
     "p12_model_dataset",
     sql.ctes(sql.DATASET)
-    + f"SELECT {sql.rounding(sql.DATASET_EXACT, [*sql.DATASET_DOUBLES, 'market_demand_mw'], 5)} FROM dataset",
+    + f"SELECT {sql.leaning(sql.DATASET_EXACT, [*sql.DATASET_DOUBLES, 'market_demand_mw'], 4)} FROM dataset",
 )
 def whole_dataset(spark, sf):
-    return rounded(daily_dataset(spark, sf), 5)
+    return rounded(daily_dataset(spark, sf), 4, lean=1e-3)
 
 
 @query(

@@ -28,12 +28,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
+def rounded(df: DataFrame, decimals: int = 6, lean: float = 0.0) -> DataFrame:
     """All doubles rounded, so that engines that add in another order still agree.
 
     Scaled, rounded half up and scaled back, as the SQL side does; Spark's ``round``
-    goes through decimal text and may take the other side of a near tie.
+    goes through decimal text and may take the other side of a near tie. ``lean`` sends
+    ties up even when the last bits of a sum fall short of them.
     """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     scale = F.lit(10.0**decimals)
-    return df.withColumns({c: F.floor(F.col(c) * scale + 0.5) / scale for c in doubles}) if doubles else df
+    return df.withColumns({c: F.floor(F.col(c) * scale + (0.5 + lean)) / scale for c in doubles}) if doubles else df

@@ -180,8 +180,9 @@ NATION_DATASET = f"""{NATION_FILLED},
 {dataset('nation_filled', 'dataset', 'y', ['c_nationkey'])}"""
 
 
-def rounding(exact: Sequence[str], doubles: Sequence[str], decimals: int = 6) -> str:
-    return ", ".join([*exact, *[f"round({c}, {decimals}) + 0.0 AS {c}" for c in doubles]])
+def leaning(exact: Sequence[str], doubles: Sequence[str], decimals: int) -> str:
+    """Columns with the doubles rounded so that ties go up in spite of the last bits."""
+    return ", ".join([*exact, *[f"floor({c} * 1e{decimals} + 0.501) / 1e{decimals} AS {c}" for c in doubles]])
 
 
 DATASET_EXACT = [

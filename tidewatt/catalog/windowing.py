@@ -34,13 +34,15 @@ def lags(spark, sf):
     "w2_rolling_means",
     sql.ctes(sql.HOURLY_FILLED)
     + f"""SELECT event_type, timestamp,
-      round(avg(y) OVER {_PART} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 7) AS demand_rollmean_24h,
-      round(avg(y) OVER {_PART} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), 7) AS demand_rollmean_168h
+      floor(avg(y) OVER {_PART} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) * 1e6 + 0.5001) / 1e6
+        AS demand_rollmean_24h,
+      floor(avg(y) OVER {_PART} ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) * 1e6 + 0.5001) / 1e6
+        AS demand_rollmean_168h
       FROM hourly_filled""",
 )
 def rolling_means(spark, sf):
     done = windows.with_lags_and_means(hourly_filled(spark, sf), "y", lags={}, keys=_TYPE)
-    return rounded(done.drop("y", "is_imputed"), 7)
+    return rounded(done.drop("y", "is_imputed"), lean=1e-4)
 
 
 @query(
