@@ -7,6 +7,8 @@ from tidewatt.catalog import (  # noqa: F401
     forecasting,
     gridding,
     joining,
+    reporting,
+    scans,
     scenario_queries,
     windowing,
 )

@@ -52,7 +52,7 @@ def _gram_sql(features, source: str = "train") -> str:
     """Means, variances and covariances with the target, one row per feature."""
     known = " AND ".join(f"{c} IS NOT NULL" for c in [*features, "y"])
     return " UNION ALL ".join(
-        f"""SELECT '{a}' AS feature, count(*) AS n_samples, round(avg({a}), 3) AS mean,
+        f"""SELECT '{a}' AS feature, count(*) AS n_samples, round(avg({a}), 3) + 0.0 AS mean,
             round(covar_pop({a}, y) / stddev_pop(y) / stddev_pop({a}), 6) + 0.0 AS corr_y FROM {source} WHERE {known}"""
         for a in features
     )
@@ -208,8 +208,8 @@ _FIXED = {
 @query(
     "m8_mlp_scoring_fixed_weights",
     sql.ctes(sql.HOURLY_FILLED)
-    + """SELECT event_type, timestamp, round((greatest(0.0, 0.5 * a + 0.25 * b + 0.1) * 0.6
-           + greatest(0.0, -0.25 * a + 0.75 * b - 0.2) * 0.4 + 0.05) * 45 + 110, 6) AS y_hat
+    + """SELECT event_type, timestamp, floor(((greatest(0.0, 0.5 * a + 0.25 * b + 0.1) * 0.6
+           + greatest(0.0, -0.25 * a + 0.75 * b - 0.2) * 0.4 + 0.05) * 45 + 110) * 1e6 + 0.5001) / 1e6 AS y_hat
       FROM (SELECT event_type, timestamp, (l1 - 100) / 50 AS a, (l24 - 120) / 40 AS b FROM (
         SELECT event_type, timestamp, lag(y, 1) OVER o AS l1, lag(y, 24) OVER o AS l24 FROM hourly_filled
         WINDOW o AS (PARTITION BY event_type ORDER BY timestamp)))
@@ -223,7 +223,7 @@ def mlp_scoring(spark, sf):
     lagged = windows.with_lags_and_means(series, "y", {"l1": 1, "l24": 24}, {}, keys=["event_type"])
     layout = mlp.Layout((2, 2, 1))
     scored = mlp.score(lagged, layout, _FIXED["flat"], ["l1", "l24"], _FIXED["means"], _FIXED["spreads"])
-    return rounded(scored.select("event_type", "timestamp", "y_hat"))
+    return rounded(scored.select("event_type", "timestamp", "y_hat"), lean=1e-4)
 
 
 _BOTH = """preds AS (

@@ -19,10 +19,10 @@ FILE_PATTERN = "PUB_Demand_*.csv"
 LOADS = ["ontario_demand_mw", "market_demand_mw"]
 
 
-def demand_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, file_name, year)"""
+def demand_files(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
+    """(path, file_name, year); the year is null where the name has none."""
     year = F.regexp_extract("file_name", r"PUB_Demand_(\d{4})\.csv$", 1).try_cast("int")
-    return csv_files(spark, folder, FILE_PATTERN).select("path", "file_name", year.alias("year"))
+    return csv_files(spark, folder, pattern).select("path", "file_name", year.alias("year"))
 
 
 def missing_years(spark: SparkSession, folder: str, years: Sequence[int]) -> DataFrame:
@@ -40,12 +40,14 @@ def header_findings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_demand(spark: SparkSession, folder: str, years: Sequence[int] | None = None) -> DataFrame:
+def read_demand(
+    spark: SparkSession, folder: str, years: Sequence[int] | None = None, pattern: str = FILE_PATTERN
+) -> DataFrame:
     """(timestamp, ontario_demand_mw, market_demand_mw, source_file) of all files, unfilled.
 
     Fails on a missing year, a missing column, an unreadable date or an hour outside 1..24.
     """
-    files = demand_files(spark, folder)
+    files = demand_files(spark, folder, pattern)
     if years is not None:
         absent = sorted(r["year"] for r in missing_years(spark, folder, years).collect())
         if absent:
