@@ -57,7 +57,10 @@ def normal_header(text: str) -> str:
 
 
 def csv_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, file_name, parent) of the files below a folder, listed by Spark."""
+    """(path, file_name, parent) of the files below a folder, listed by Spark.
+
+    Files of zero bytes are not listed: a scan has no split for them.
+    """
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
