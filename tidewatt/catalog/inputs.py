@@ -132,9 +132,11 @@ def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingested demand is a written table, as it is between the stages of a real run."""
+    """Demand and weather are written tables, as they are between the stages of a real run:
+    the feature stage looks at them twice."""
     demand = staged(daily_demand(spark, sf_dir), "daily-demand")
-    return model_dataset(demand, daily_weather(spark, sf_dir), DAILY)
+    weather = staged(daily_weather(spark, sf_dir), "daily-weather")
+    return model_dataset(demand, weather, DAILY)
 
 
 def daily_dataset_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ resulting weights, weighted by rows. The driver only ever holds one set of weigh
 few thousand numbers). A hash of the series time keeps a tenth of the rows out; training
 stops when their squared error has not improved for ``patience`` rounds.
 
-The outcome depends on the number of partitions, so it is fixed by ``partitions``.
+The outcome depends on the number of parts, so that is a setting or follows from the
+number of rows, never from the size of the cluster.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,6 +25,9 @@ from tidewatt.operators.metrics import complete_cases, feature_columns
 from tidewatt.session import staged
 
 
+ROWS_PER_PART = 2_000_000
+
+
 @dataclasses.dataclass(frozen=True)
 class Layout:
     """Layer sizes, and where each weight matrix and bias sits in the flat vector."""
@@ -102,7 +107,7 @@ class PooledMLP:
         min_gain: float = 1e-4,
         holdout: float = 0.1,
         seed: int = 42,
-        partitions: int = 8,
+        partitions: int | None = None,
         features: Sequence[str] | None = None,
         exclude: Sequence[str] = (),
         name: str = "MLPRegressor",
@@ -116,7 +121,7 @@ class PooledMLP:
         self.min_gain = min_gain
         self.holdout = holdout
         self.seed = seed
-        self.partitions = partitions
+        self.partitions = partitions  # None: one part per ROWS_PER_PART rows, at least 8
         self.features = list(features) if features else None
         self.exclude = list(exclude)
         self.name = name
@@ -131,7 +136,9 @@ class PooledMLP:
         if not rows:
             raise ValueError("no complete training rows")
         # spread once; a lost executor's share is read again from the written table
-        table = written.repartitionById(self.partitions, "part").persist()
+        parts = self.partitions or max(8, math.ceil(rows / ROWS_PER_PART))
+        part = F.pmod(F.col("at"), F.lit(parts)).cast("int")
+        table = written.repartitionById(parts, part).persist()
         layout = Layout((len(features), *self.hidden, 1))
         flat = layout.start(self.seed)
         first, second, steps = np.zeros_like(flat), np.zeros_like(flat), 0
@@ -157,9 +164,7 @@ class PooledMLP:
             F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
             F.col("y").cast("double").alias("y"),
             (bin_ < int(1000 * self.holdout)).alias("held_out"),
-            F.pmod(F.xxhash64(F.lit(self.seed + 1), *keys, "timestamp"), F.lit(self.partitions))
-            .cast("int")
-            .alias("part"),
+            F.xxhash64(F.lit(self.seed + 1), *keys, "timestamp").alias("at"),
         )
         return staged(rows, "mlp-training")
 

@@ -111,7 +111,7 @@ def split_labels(
     label = F.col("split")
     in_split = {s: label == s for s in metrics.SPLITS}
     facts = seen.agg(
-        F.collect_set(F.when(~label.isin(metrics.SPLITS), label)).alias("unknown"),
+        F.count_if(~F.coalesce(label.isin(metrics.SPLITS), F.lit(False))).alias("unknown"),
         F.count_if(in_split["train"] & F.col("year").isin(*train_years)).alias("train"),
         F.count_if(in_split["val"] & (F.col("year") == val_year)).alias("val"),
         F.count_if(F.col("year") == test_year).alias("test_year_rows"),
@@ -120,7 +120,7 @@ def split_labels(
     return facts.select(
         F.inline(
             F.array(
-                _finding("invalid split label", F.size("unknown") > 0),
+                _finding("invalid split label", F.col("unknown") > 0),
                 _finding("train split misses its years", F.col("train") == 0),
                 _finding("val split misses its year", F.col("val") == 0),
                 _finding("test split misses its year", (F.col("test_year_rows") > 0) & (F.col("test") == 0)),

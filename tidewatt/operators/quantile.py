@@ -1,21 +1,26 @@
 """Exact percentile with linear interpolation, without collecting a group.
 
-``percentile`` keeps every distinct value of a group in one task. Here a quantile
-sketch (bounded size, merged before the shuffle) brackets the wanted rank, values
-outside the bracket are only counted, and the few inside it are ranked exactly.
+``percentile`` keeps every distinct value of a group in one task. Here
+
+1. a quantile sketch (bounded size, merged before the shuffle) brackets the wanted rank;
+2. values are counted: those outside the bracket in two totals, those inside it by value,
+   in ``SLOTS`` equal slots of the bracket;
+3. running totals of the slots, a few thousand rows per group, tell which slot holds the
+   rank, and only that slot's values are ranked one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatt.operators.keyed import attach
+from tidewatt.operators.keyed import attach, same_keys
 
 # The sketch is off by at most 1/ACCURACY of the rows; the bracket is wider than that.
 ACCURACY = 10_000
+SLOTS = 2048
 _MARGIN = 4 / ACCURACY
 
 
@@ -25,50 +30,71 @@ def exact_percentile(
     """One row per group: the ``p`` quantile of the non-null values (null if there are none)."""
     if not 0.0 <= p <= 1.0:
         raise ValueError(f"quantile out of range: {p}")
-    values = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    v = F.col("__v")
+    values = df.select(*keys, F.col(value).cast("double").alias("__v")).where(v.isNotNull())
     ends = [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
     sketch = values.groupBy(*keys).agg(F.percentile_approx("__v", ends, ACCURACY).alias("__ends"))
     bracket = sketch.select(*keys, F.col("__ends")[0].alias("__lo"), F.col("__ends")[1].alias("__hi"))
+    slotted = attach(values, bracket, keys, ["__v"]).select(*keys, _slot().alias("__slot"), "__v")
 
-    v = F.col("__v")
-    zone = F.when(v < F.col("__lo"), -1).when(v > F.col("__hi"), 1).otherwise(0)
-    counts = (
-        attach(values, bracket, keys, ["__v"])
-        .select(*keys, zone.alias("__zone"), v)
-        .groupBy(*keys, "__zone", F.when(F.col("__zone") == 0, v).alias("__inside"))
-        .agg(F.count("*").alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"))
+    inside = F.col("__slot").between(0, SLOTS - 1)
+    counts = slotted.groupBy(*keys, "__slot", F.when(inside, v).alias("__inside")).agg(
+        F.count("*").alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max")
     )
-    ranked = Window.partitionBy(*keys).orderBy("__zone", "__inside")
-    total = Window.partitionBy(*keys)
-    place = counts.select(
-        *keys,
-        "__zone",
-        "__min",
-        "__max",
-        F.sum("__n").over(ranked).alias("__upto"),
-        F.coalesce(F.sum("__n").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        ((F.sum("__n").over(total) - 1) * F.lit(p)).alias("__rank"),
-    )
-
-    def at(rank):
-        # the run of equal values that covers this rank; next to the bracket, the
-        # largest value below it or the smallest above it
-        here = (F.col("__before") <= rank) & (rank < F.col("__upto"))
-        first, last = rank == F.col("__before"), rank == F.col("__upto") - 1
-        missed = F.raise_error(F.lit("quantile sketch missed the wanted rank")).cast("double")
-        return F.max(
-            F.when(here & (first | (F.col("__zone") == 0)), F.col("__min"))
-            .when(here & last, F.col("__max"))
-            .when(here, missed)
-        )
 
+    by_slot = Window.partitionBy(*keys).orderBy("__slot")
+    slots = (
+        counts.groupBy(*keys, "__slot")
+        .agg(F.sum("__n").alias("__n"))
+        .withColumn("__upto", F.sum("__n").over(by_slot))
+        .withColumn("__rank", (F.sum("__n").over(Window.partitionBy(*keys)) - 1) * F.lit(p))
+        .withColumn("__before", F.col("__upto") - F.col("__n"))
+    )
     low, high = F.floor("__rank"), F.ceil("__rank")
-    found = place.groupBy(*keys).agg(
-        at(low).alias("__a"), at(high).alias("__b"), F.max(F.col("__rank") - low).alias("__part")
+    holding = slots.where(_covers(low) | _covers(high)).select(
+        *[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__slot").alias("__of___slot"), "__before", "__rank"
+    )
+
+    # few rows: one or two slots per group
+    in_slot = Window.partitionBy(*keys, "__slot").orderBy("__inside")
+    ranked = (
+        counts.join(holding, same_keys([*keys, "__slot"], "__of_"))
+        .withColumn("__upto", F.col("__before") + F.sum("__n").over(in_slot))
+        .withColumn("__before", F.col("__upto") - F.col("__n"))
+    )
+    found = ranked.groupBy(*keys).agg(
+        F.max(_value_at(low)).alias("__a"),
+        F.max(_value_at(high)).alias("__b"),
+        F.max(F.col("__rank") - low).alias("__part"),
     )
     return found.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias(name))
 
 
+def _slot() -> Column:
+    """-1 below the bracket, SLOTS above it, else the position inside."""
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    place = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * SLOTS).cast("int")
+    return (
+        F.when(v < lo, -1).when(v > hi, SLOTS).otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(SLOTS - 1)))
+    )
+
+
+def _covers(rank: Column) -> Column:
+    return (F.col("__before") <= rank) & (rank < F.col("__upto"))
+
+
+def _value_at(rank: Column) -> Column:
+    """The value of the run that covers this rank; next to the bracket, the largest value
+    below it or the smallest above it."""
+    here, inside = _covers(rank), F.col("__inside").isNotNull()
+    missed = F.raise_error(F.lit("quantile sketch missed the wanted rank")).cast("double")
+    return (
+        F.when(here & (inside | (rank == F.col("__before"))), F.col("__min"))
+        .when(here & (rank == F.col("__upto") - 1), F.col("__max"))
+        .when(here, missed)
+    )
+
+
 def rough_percentile(
     df: DataFrame, value: str, p: float, keys: Sequence[str] = (), name: str = "threshold"
 ) -> DataFrame:
