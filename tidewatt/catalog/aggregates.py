@@ -17,6 +17,8 @@ from tidewatt.catalog.inputs import (
     hourly_forecast,
     segment_scenarios,
     table,
+    written_daily,
+    written_hourly,
 )
 from tidewatt.catalog.registry import query, rounded
 from tidewatt.functions.timeline import ntz
@@ -28,11 +30,15 @@ _THRESHOLDS = f"""thresholds AS (SELECT event_type, quantile_cont(y, 0.95) AS th
   WHERE timestamp <= TIMESTAMP '{HOUR_TRAIN_END}' GROUP BY 1)"""
 
 
-def hourly_thresholds(spark, sf):
-    train = hourly_filled(spark, sf).where(F.col("timestamp") <= ntz(HOUR_TRAIN_END))
+def hourly_thresholds(filled):
+    train = filled.where(F.col("timestamp") <= ntz(HOUR_TRAIN_END))
     return quantile.exact_percentile(train, "y", 0.95, _TYPE)
 
 
+def daily_threshold(filled):
+    return quantile.exact_percentile(filled.where(F.col("timestamp") <= ntz(DAY_TRAIN_END)), "y", 0.95)
+
+
 @query(
     "a1_quarterly_strain",
     sql.ctes(sql.DAILY_FORECAST)
@@ -45,10 +51,8 @@ def hourly_thresholds(spark, sf):
       round(max(y_hat) - max(y), 4) + 0.0 AS peak_uplift_mw FROM forecast, t GROUP BY 1, 2""",
 )
 def quarterly_strain(spark, sf):
-    preds = daily_forecast(spark, sf)
-    filled = grid.regularise(daily(spark, sf), ["y"], freq="1 day")
-    limit = quantile.exact_percentile(filled.where(F.col("timestamp") <= ntz(DAY_TRAIN_END)), "y", 0.95)
-    judged = attach(preds, limit, [], ["timestamp"])
+    filled = written_daily(spark, sf)
+    judged = attach(daily_forecast(spark, sf, filled), daily_threshold(filled), [], ["timestamp"])
     return rounded(metrics.quarterly_strain(judged, F.col("threshold")), 4)
 
 
@@ -63,7 +67,8 @@ def quarterly_strain(spark, sf):
       FROM hourly_forecast JOIN thresholds USING (event_type) GROUP BY 1, 2, 3""",
 )
 def quarterly_strain_by_type(spark, sf):
-    judged = attach(hourly_forecast(spark, sf), hourly_thresholds(spark, sf), _TYPE, ["timestamp"])
+    filled = written_hourly(spark, sf)
+    judged = attach(hourly_forecast(spark, sf, filled), hourly_thresholds(filled), _TYPE, ["timestamp"])
     return rounded(metrics.quarterly_strain(judged, F.col("threshold"), _TYPE))
 
 
@@ -115,7 +120,7 @@ def forecast_errors_by_type(spark, sf):
     sql.ctes(sql.HOURLY_FILLED, _THRESHOLDS) + "SELECT event_type, round(threshold, 6) AS threshold FROM thresholds",
 )
 def threshold(spark, sf):
-    return rounded(hourly_thresholds(spark, sf))
+    return rounded(hourly_thresholds(written_hourly(spark, sf)))
 
 
 @query(

@@ -62,6 +62,11 @@ def hourly_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.regularise(hourly(spark, sf_dir), ["y"], keys=["event_type"])
 
 
+def written_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled hours as a written table, for queries that read them several times."""
+    return staged(hourly_filled(spark, sf_dir), "hourly")
+
+
 def hourly_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid rows whose value is unknown: what the fill operators work on."""
     return grid.reindex(hourly(spark, sf_dir), keys=["event_type"], source=None)
@@ -75,6 +80,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_from_events(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "1 day")
 
 
+def written_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(timestamp, y, is_imputed): the filled days as a written table."""
+    return staged(grid.regularise(daily(spark, sf_dir), ["y"], freq="1 day"), "daily")
+
+
 def daily_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_nationkey, timestamp, y). Orders are added up per customer and day first, so a
     customer with very many orders is small before the join."""
@@ -154,19 +164,19 @@ def written_dataset_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(daily_dataset_by_nation(spark, sf_dir), "nation-dataset", partition_by=("split",))
 
 
-def daily_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_forecast(spark: SparkSession, sf_dir: str, filled: DataFrame | None = None) -> DataFrame:
     """(timestamp, y, y_hat): each day against the same weekday a week before, both known."""
-    filled = grid.regularise(daily(spark, sf_dir), ["y"], freq="1 day").select("timestamp", "y")
-
-    lagged = with_lags_and_means(filled, "y", {"y_hat": 7}, {}, freq="1 day")
+    if filled is None:
+        filled = grid.regularise(daily(spark, sf_dir), ["y"], freq="1 day")
+    lagged = with_lags_and_means(filled.select("timestamp", "y"), "y", {"y_hat": 7}, {}, freq="1 day")
     return lagged.where(F.col("y_hat").isNotNull())
 
 
-def hourly_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_forecast(spark: SparkSession, sf_dir: str, filled: DataFrame | None = None) -> DataFrame:
     """(event_type, timestamp, y, y_hat): each hour against the same hour a day before."""
-
-    filled = hourly_filled(spark, sf_dir).select("event_type", "timestamp", "y")
-    lagged = with_lags_and_means(filled, "y", {"y_hat": 24}, {}, keys=["event_type"])
+    if filled is None:
+        filled = hourly_filled(spark, sf_dir)
+    lagged = with_lags_and_means(filled.select("event_type", "timestamp", "y"), "y", {"y_hat": 24}, {}, keys=["event_type"])
     return lagged.where(F.col("y_hat").isNotNull())
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tidewatt.catalog import sql
 from tidewatt.catalog.inputs import (
-    daily,
     daily_by_nation,
     daily_demand,
     daily_forecast,
@@ -13,9 +12,11 @@ from tidewatt.catalog.inputs import (
     hourly_forecast,
     segment_scenarios,
     table,
+    written_daily,
 )
 from tidewatt.catalog.registry import query, rounded
-from tidewatt.operators import grid, joins, scenarios
+from tidewatt.operators import joins, scenarios
+from tidewatt.operators.keyed import attach
 from tidewatt.operators.metrics import hour_of_day_mean
 
 
@@ -85,8 +86,7 @@ def template_common_to_leap(spark, sf):
 
 
 def _template(spark, sf, year):
-    filled = grid.regularise(daily(spark, sf), ["y"], freq="1 day")
-    return filled.where(F.year("timestamp") == year).select("timestamp", F.col("y").alias("y_hat"))
+    return written_daily(spark, sf).where(F.year("timestamp") == year).select("timestamp", F.col("y").alias("y_hat"))
 
 
 @query(
@@ -158,7 +158,7 @@ def missing_days(spark, sf):
 def hour_of_day_join(spark, sf):
     series = hourly(spark, sf)
     means = hour_of_day_mean(series, keys=["event_type"])
-    joined = series.withColumn("hour", F.hour("timestamp")).join(means, ["event_type", "hour"])
+    joined = attach(series.withColumn("hour", F.hour("timestamp")), means, ["event_type", "hour"], ["timestamp"])
     off = (F.col("y") - F.col("mean_y")).alias("off_mean")
     return rounded(joined.select("event_type", "timestamp", off))
 

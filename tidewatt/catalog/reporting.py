@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatt.catalog import sql
 from tidewatt.catalog.forecasting import _BACKTEST, _ERRORS, two_models
-from tidewatt.catalog.inputs import daily_forecast, hourly_forecast
+from tidewatt.catalog.inputs import daily_forecast, hourly_forecast, written_daily, written_hourly
 from tidewatt.catalog.registry import query, rounded
 from tidewatt.catalog.scenario_queries import _DAILY_STRAIN, _NAMES, _STRAIN, daily_strain
 from tidewatt.plans import backtest, reports
@@ -36,7 +36,7 @@ def rmse_comparison(spark, sf):
       WHERE timestamp BETWEEN peak_day - INTERVAL 7 DAY AND peak_day + INTERVAL 7 DAY""",
 )
 def peak_window(spark, sf):
-    return rounded(reports.peak_window(hourly_forecast(spark, sf), ["event_type"]))
+    return rounded(reports.peak_window(hourly_forecast(spark, sf, written_hourly(spark, sf)), ["event_type"]))
 
 
 @query(
@@ -58,7 +58,7 @@ def peak_day(spark, sf):
       WHERE timestamp BETWEEN peak - INTERVAL 7 DAY AND peak + INTERVAL 7 DAY""",
 )
 def peak_window_one_series(spark, sf):
-    return rounded(reports.peak_window(daily_forecast(spark, sf)), 4)
+    return rounded(reports.peak_window(daily_forecast(spark, sf, written_daily(spark, sf))), 4)
 
 
 @query(

@@ -3,18 +3,17 @@
 from pyspark.sql import functions as F
 
 from tidewatt.catalog import sql
-from tidewatt.catalog.aggregates import _THRESHOLDS, hourly_thresholds
+from tidewatt.catalog.aggregates import _THRESHOLDS, daily_threshold, hourly_thresholds
 from tidewatt.catalog.inputs import (
     DAY_TRAIN_END,
-    daily,
     daily_forecast,
-    hourly_filled,
     segment_scenarios,
     table,
+    written_daily,
+    written_hourly,
 )
 from tidewatt.catalog.registry import query, rounded
-from tidewatt.functions.timeline import ntz
-from tidewatt.operators import grid, quantile, scenarios
+from tidewatt.operators import scenarios
 from tidewatt.plans import scenario_run
 
 # Scenarios scaled to the driver tables.
@@ -148,10 +147,11 @@ _DAILY_LIMIT = f"""t AS (SELECT quantile_cont(y, 0.95) AS threshold FROM daily_f
 
 
 def daily_strain(spark, sf):
-    train = grid.regularise(daily(spark, sf), ["y"], freq="1 day").where(F.col("timestamp") <= ntz(DAY_TRAIN_END))
-    limit = quantile.exact_percentile(train, "y", 0.95)
-    forecast = daily_forecast(spark, sf).select("timestamp", "y_hat")
-    return scenario_run.strain_under_scenarios(forecast, limit, DAILY_SCENARIOS, years=(1995, 2001))
+    filled = written_daily(spark, sf)
+    forecast = daily_forecast(spark, sf, filled).select("timestamp", "y_hat")
+    return scenario_run.strain_under_scenarios(
+        forecast, daily_threshold(filled), DAILY_SCENARIOS, years=(1995, 2001)
+    )
 
 
 _DAILY_STRAIN = sql.ctes(sql.DAILY_FORECAST, _DAILY_LIMIT, _long("forecast", _DAILY_LIST, "flat"))
@@ -213,10 +213,14 @@ def season_summary(spark, sf):
     + _STRAIN.format(keys="event_type,", d=6, source="long"),
 )
 def flagship(spark, sf):
-    """Peak and high-demand hours per series and scenario: events to strain in one plan."""
-    forecast = hourly_filled(spark, sf).select("event_type", "timestamp", F.col("y").alias("y_hat"))
+    """Peak and high-demand hours per series and scenario, from raw events.
+
+    The filled hours are written once; threshold and strain read them.
+    """
+    filled = written_hourly(spark, sf)
+    forecast = filled.select("event_type", "timestamp", F.col("y").alias("y_hat"))
     strain = scenario_run.strain_under_scenarios(
-        forecast, hourly_thresholds(spark, sf), HOURLY_SCENARIOS, keys=["event_type"], years=(2024, 2024)
+        forecast, hourly_thresholds(filled), HOURLY_SCENARIOS, keys=["event_type"], years=(2024, 2024)
     )
     return rounded(strain)
 
@@ -238,12 +242,11 @@ def flagship(spark, sf):
     + _STRAIN.format(keys="", d=4, source="long, t"),
 )
 def synthetic_then_strain(spark, sf):
-    filled = grid.regularise(daily(spark, sf), ["y"], freq="1 day")
+    filled = written_daily(spark, sf)
     template = filled.where(F.year("timestamp") == 1999).select("timestamp", F.col("y").alias("y_hat"))
-    limit = quantile.exact_percentile(filled.where(F.col("timestamp") <= ntz(DAY_TRAIN_END)), "y", 0.95)
     baseline = scenarios.synthetic_year(template, 2004, freq="1 day")
     more = [{"name": "more", "start_mw": 200_000.0, "yoy_growth": 0.1}]
-    return rounded(scenario_run.strain_under_scenarios(baseline, limit, more, years=(2004, 2004)), 4)
+    return rounded(scenario_run.strain_under_scenarios(baseline, daily_threshold(filled), more, years=(2004, 2004)), 4)
 
 
 @query(

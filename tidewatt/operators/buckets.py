@@ -63,10 +63,6 @@ def bucket_window(keys: Sequence[str]):
     return Window.partitionBy(*keys, BUCKET).orderBy(AT)
 
 
-def bucket_window_back(keys: Sequence[str]):
-    return Window.partitionBy(*keys, BUCKET).orderBy(F.col(AT).desc())
-
-
 class Known:
     """Nearest known values of a column around a row, as columns of the frame."""
 
@@ -104,18 +100,23 @@ def with_known(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
     """
     if not whole:
         df = df.unionByName(_carried_rows(df, columns, keys), allowMissingColumns=True)
-    upto = bucket_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    beyond = bucket_window_back(keys).rowsBetween(Window.unboundedPreceding, -1)
+    over = f"OVER (PARTITION BY {', '.join(_quoted(k) for k in [*keys, BUCKET])} ORDER BY {AT})"
     known = {}
     for c in columns:
-        at = _at_if_known(c)
-        known[f"__{c}_pt"] = F.last(at, ignorenulls=True).over(upto)
-        known[f"__{c}_pv"] = F.last(c, ignorenulls=True).over(upto)
-        known[f"__{c}_nt"] = F.last(at, ignorenulls=True).over(beyond)
-        known[f"__{c}_nv"] = F.last(c, ignorenulls=True).over(beyond)
+        name = _quoted(c)
+        at = f"CASE WHEN {name} IS NOT NULL THEN {AT} END"
+        # offset functions that skip nulls need one ascending sort for both directions
+        known[f"__{c}_pt"] = F.expr(f"coalesce({at}, lag({at}, 1) IGNORE NULLS {over})")
+        known[f"__{c}_pv"] = F.expr(f"coalesce({name}, lag({name}, 1) IGNORE NULLS {over})")
+        known[f"__{c}_nt"] = F.expr(f"lead({at}, 1) IGNORE NULLS {over}")
+        known[f"__{c}_nv"] = F.expr(f"lead({name}, 1) IGNORE NULLS {over}")
     return df.withColumns(known)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _carried_rows(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """For each bucket up to two halo rows per column: the last known value of all earlier
     buckets and the first one of all later buckets, at their own times."""

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatt.functions.timeline import from_micros, step_micros, to_micros
+from tidewatt.functions.timeline import from_micros, ntz, step_micros, to_micros
 from tidewatt.operators.buckets import (
     AT,
     BUCKET,
@@ -145,7 +145,8 @@ def _with_gap_rows(
 ) -> DataFrame:
     """Observed rows and, after each, one row per missing step; values are repeated as is."""
     step = step_micros(freq)
-    seen = into_buckets(df.where(on_grid(F.col(ts), freq, origin)), ts, freq, steps)
+    seen = into_buckets(df, ts, freq, steps)
+    seen = seen.where(F.pmod(F.col(AT) - to_micros(ntz(origin)), F.lit(step)) == 0)
     # the time itself, as a column that is always known, finds the next observed row
     seen = seen.withColumn("__seen", F.col(AT))
     around = with_known(seen, ["__seen", *columns], keys, whole=steps is None)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatt.functions.calendar import quarter_label
 from tidewatt.functions.timeline import from_micros, step_micros, to_micros
+from tidewatt.operators.keyed import SALTS, attach
 
 # The scenarios used when none are given.
 DEFAULT_SCENARIOS = [
@@ -73,7 +74,8 @@ def with_adder(
     next_year = Window.partitionBy(*by).orderBy("year")
     following = F.when(F.lead("year").over(next_year) == F.col("year") + 1, F.lead("mw").over(next_year))
     levels = yearly.select(*by, F.col("year").alias("__year"), F.col("mw").alias("__mw"), following.alias("__next"))
-    joined = df.withColumn("__year", F.year(ts)).join(levels, [*by, "__year"], "left")
+    # a year is a large group: its rows are spread over several tasks
+    joined = attach(df.withColumn("__year", F.year(ts)), levels, [*by, "__year"], spread_by=[ts])
     value = ramp(shape, F.col(ts), F.col("__mw"), F.col("__next"))
     missing = (
         F.lit(0.0)
@@ -204,11 +206,11 @@ def _joined_rows(base: DataFrame, scenarios: DataFrame, shape: str, ts: str, key
     unknown = F.raise_error(F.concat(F.lit("no level of "), "scenario", F.lit(" for "), "__year")).cast("double")
     value = ramp(shape, F.col(ts), F.col("__mw"), F.col("__next"))
     adder = F.when(F.col("__mw").isNull(), unknown).otherwise(value)
-    # the years are few: rows of one year are spread by a salt
-    salts = 32
-    salted = levels.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # every row meets all scenarios of its year; rows of one year are spread by a salt
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted = levels.withColumn("__salt", F.explode(salts))
     spread = base.withColumns(
-        {"__year": F.year(ts), "__salt": F.pmod(F.xxhash64(*keys, ts), F.lit(salts)).cast("int")}
+        {"__year": F.year(ts), "__salt": F.pmod(F.xxhash64(*keys, ts), F.lit(SALTS)).cast("int")}
     )
     added = spread.join(salted, ["__year", "__salt"]).select(
         *base.columns, "scenario", adder.alias("ai_adder_mw")
