@@ -11,9 +11,9 @@ from tidewatt.catalog.inputs import (
     daily_demand_raw,
     daily_weather,
     hourly,
-    hourly_filled,
     segment_scenarios,
     table,
+    written_hourly,
 )
 from tidewatt.catalog.registry import query, rounded
 from tidewatt.functions.timeline import floor_to
@@ -169,15 +169,23 @@ def small_test_split(spark, sf):
     return rounded(contracts.small_split(daily_dataset(spark, sf)))
 
 
+def _report_sql(source: str, value: str, key: str = "", step: int = 3600) -> str:
+    """Duplicate times, steps of the wrong length and unknown values of a table."""
+    part = f"PARTITION BY {key} " if key else ""
+    group = f"{key}, timestamp" if key else "timestamp"
+    return f"""SELECT 'unique_timestamp' AS rule, 'error' AS severity, count(*) AS violations
+        FROM (SELECT 1 FROM {source} GROUP BY {group} HAVING count(*) > 1)
+      UNION ALL SELECT 'continuous', 'error', count(*) FROM (
+        SELECT date_diff('second', lag(timestamp) OVER ({part}ORDER BY timestamp), timestamp) AS gap FROM {source})
+        WHERE abs(gap - {step}) > 1
+      UNION ALL SELECT 'target_not_null', 'error', count(*) FROM {source} WHERE {value} IS NULL"""
+
+
 @query(
     "q12_series_report",
     sql.ctes(sql.HOURLY)
-    + """, g AS (SELECT *, date_diff('second', lag(timestamp) OVER (PARTITION BY event_type ORDER BY timestamp),
-                            timestamp) AS gap FROM hourly)
-      SELECT 'unique_timestamp' AS rule, 'error' AS severity, 0::BIGINT AS violations
-      UNION ALL SELECT 'continuous', 'error', count(*) FROM g WHERE abs(gap - 3600) > 1
-      UNION ALL SELECT 'target_not_null', 'error', count(*) FROM hourly WHERE y IS NULL
-      UNION ALL SELECT 'full_year', 'warning', count(*) FROM (
+    + _report_sql("hourly", "y", "event_type")
+    + """ UNION ALL SELECT 'full_year', 'warning', count(*) FROM (
         SELECT event_type FROM hourly WHERE year(timestamp) = 2024 GROUP BY 1 HAVING count(*) < 8760)""",
 )
 def series_report(spark, sf):
@@ -185,23 +193,28 @@ def series_report(spark, sf):
     return found.drop("examples")
 
 
-@query(
-    "q12_filled_series_passes",
-    sql.ctes(sql.HOURLY_FILLED)
-    + """SELECT 'unique_timestamp' AS rule, 'error' AS severity, 0::BIGINT AS violations
-      UNION ALL SELECT 'continuous', 'error', count(*) - count(*) FROM hourly_filled
-      UNION ALL SELECT 'target_not_null', 'error', count(*) FROM hourly_filled WHERE y IS NULL""",
-)
+@query("q12_filled_series_passes", sql.ctes(sql.HOURLY_FILLED) + _report_sql("hourly_filled", "y", "event_type"))
 def filled_series_passes(spark, sf):
-    found = contracts.series_rules(hourly_filled(spark, sf), ["timestamp", "y"], "y", keys=_TYPE)
+    found = contracts.series_rules(written_hourly(spark, sf), ["timestamp", "y"], "y", keys=_TYPE)
     return found.drop("examples")
 
 
+@query(
+    "q12_raw_demand_report",
+    sql.ctes(sql.DEMAND_RAW) + _report_sql("demand_raw", "market_demand_mw", step=86_400),
+)
+def raw_demand_report(spark, sf):
+    raw = daily_demand_raw(spark, sf)
+    return contracts.series_rules(raw, ["timestamp"], "market_demand_mw", freq="1 day").drop("examples")
+
+
 @query(
     "q12_dataset_inputs",
-    sql.ctes(sql.DEMAND_RAW)
-    + """SELECT 'unique_demand' AS rule, 'error' AS severity, 0::BIGINT AS violations
-      UNION ALL SELECT 'unique_weather', 'error', 0
+    sql.ctes(sql.DEMAND_RAW, sql.WEATHER)
+    + """SELECT 'unique_demand' AS rule, 'error' AS severity, count(*) AS violations
+        FROM (SELECT 1 FROM demand_raw GROUP BY timestamp HAVING count(*) > 1)
+      UNION ALL SELECT 'unique_weather', 'error', count(*)
+        FROM (SELECT 1 FROM weather GROUP BY timestamp HAVING count(*) > 1)
       UNION ALL SELECT 'target_not_null', 'error', count(*) FROM demand_raw WHERE ontario_demand_mw IS NULL""",
 )
 def dataset_inputs(spark, sf):

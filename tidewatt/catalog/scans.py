@@ -61,7 +61,7 @@ def weather_folder(spark, sf) -> str:
     """Weather CSV in three layouts, one of them in Latin-1, and files without a time column."""
     folder = stage_path(spark, "raw-weather")
     days = daily_weather(spark, sf)
-    time = F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("Date/Time (LST)")
+    time = F.substring(F.col("timestamp").cast("string"), 1, 16).alias("Date/Time (LST)")
     temp, dew = F.col("temp_c").alias("Temp (°C)"), F.col("dewpoint_c").alias("Dew Point Temp (°C)")
     hum, rain = F.col("rel_hum_pct").alias("Rel Hum (%)"), F.col("precip_mm").alias("Precip. Amount (mm)")
     year = F.year("timestamp")

@@ -136,14 +136,17 @@ def union_of_sources(spark, sf):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+def _days(spark, sf, name, at):
+    return table(spark, sf, name).select(floor_to(at, "1 day").alias("timestamp"))
+
+
 @query(
-    "u5_years_without_shipments",
-    "SELECT DISTINCT year(l_shipdate)::INTEGER AS year FROM lineitem EXCEPT SELECT year(o_orderdate)::INTEGER FROM orders",
+    "u5_days_without_orders",
+    """SELECT DISTINCT date_trunc('day', l_shipdate)::TIMESTAMP AS timestamp FROM lineitem
+       EXCEPT SELECT date_trunc('day', o_orderdate)::TIMESTAMP FROM orders""",
 )
-def years_difference(spark, sf):
-    shipped = table(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.lit(1)).select("year")
-    ordered = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.lit(1)).select("year")
-    return shipped.exceptAll(ordered)
+def days_without_orders(spark, sf):
+    return _days(spark, sf, "lineitem", "l_shipdate").subtract(_days(spark, sf, "orders", "o_orderdate"))
 
 
 @query(
@@ -152,6 +155,4 @@ def years_difference(spark, sf):
        INTERSECT SELECT date_trunc('day', o_orderdate)::TIMESTAMP FROM orders""",
 )
 def common_days(spark, sf):
-    shipped = table(spark, sf, "lineitem").select(floor_to("l_shipdate", "1 day").alias("timestamp"))
-    ordered = table(spark, sf, "orders").select(floor_to("o_orderdate", "1 day").alias("timestamp"))
-    return shipped.intersect(ordered)
+    return _days(spark, sf, "lineitem", "l_shipdate").intersect(_days(spark, sf, "orders", "o_orderdate"))

@@ -17,6 +17,7 @@ from tidewatt.operators.buckets import (
     out_of_buckets,
     with_known,
 )
+from tidewatt.operators.keyed import attach
 
 # Look-back of the hourly features, in steps.
 HOURLY_LAGS = {"demand_lag_1h": 1, "demand_lag_24h": 24, "demand_lag_168h": 168}
@@ -103,12 +104,12 @@ def first_maximum(
 ) -> DataFrame:
     """Per group the row with the largest ``metric``; on ties the first by ``tie_break``.
 
-    An aggregate rather than a ranking window: partial results are combined before the
-    shuffle, so a large group is not sorted in one task. Null metrics never win.
+    The maximum is a plain aggregate, and only rows that reach it are compared by the tie
+    break: a ranking window would sort every group, a large one in a single task. Null
+    metrics never win.
     """
-    best = F.min_by(
-        F.struct(*keep, metric),
-        F.struct((-F.col(metric)).alias("__down"), *[t.alias(f"__tie{i}") for i, t in enumerate(tie_break)]),
-    )
-    return df.where(F.col(metric).isNotNull()).groupBy(*keys).agg(best.alias("__best")).select(*keys, "__best.*")
-
+    top = df.groupBy(*keys).agg(F.max(metric).alias("__top"))
+    reached = attach(df, top, keys, spread_by=[metric, *keep]).where(F.col(metric) == F.col("__top"))
+    order = F.struct(*[t.alias(f"__tie{i}") for i, t in enumerate(tie_break)])
+    best = F.min_by(F.struct(*keep, metric), order).alias("__best")
+    return reached.groupBy(*keys).agg(best).where("__best IS NOT NULL").select(*keys, "__best.*")
