@@ -152,7 +152,8 @@ def daily_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_dataset_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = grid.regularise(daily_by_nation(spark, sf_dir), ["y"], keys=["c_nationkey"], freq="1 day")
     demand = staged(filled.withColumnRenamed("y", "ontario_demand_mw"), "nation-demand")
-    return model_dataset(demand, daily_weather(spark, sf_dir), DAILY_BY_NATION)
+    weather = staged(daily_weather(spark, sf_dir), "daily-weather")
+    return model_dataset(demand, weather, DAILY_BY_NATION)
 
 
 def written_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

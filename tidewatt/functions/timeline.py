@@ -1,19 +1,22 @@
 """Time arithmetic on TIMESTAMP_NTZ columns, free of the session time zone.
 
 A timestamp is handled as the number of microseconds since 1970-01-01 of its own
-naive calendar, taken from the difference of two naive timestamps. ``date_trunc`` and
+naive calendar, built from its date and its time of day. ``date_trunc`` and
 ``timestampdiff`` are avoided: both pass through the session zone, where the hour
 skipped by daylight saving collapses into the next one.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
 _EPOCH = "1970-01-01 00:00:00"
+_DAY_MICROS = 86_400_000_000
 
 
 def step_micros(freq: str) -> int:
@@ -31,8 +34,15 @@ def ntz(text: str) -> Column:
 
 
 def to_micros(ts: Column | str, origin: str = _EPOCH) -> Column:
-    seconds = (_col(ts) - ntz(origin)).cast("interval second").cast("decimal(18,6)")
-    return (seconds * 1_000_000).cast("bigint")
+    """Whole days, and the time of day as an interval, which is short enough to be scaled."""
+    day = _col(ts).cast("date")
+    inside = ((_col(ts) - day.cast("timestamp_ntz")) * 1_000_000).cast("interval second").cast("bigint")
+    micros = F.unix_date(day) * F.lit(_DAY_MICROS) + inside
+    return micros if origin == _EPOCH else micros - F.lit(_literal_micros(origin))
+
+
+def _literal_micros(text: str) -> int:
+    return (dt.datetime.fromisoformat(text) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
 
 
 def from_micros(t: Column | str) -> Column:
