@@ -100,8 +100,9 @@ def test_dirty_numbers(spark, text, number):
 
 
 def test_plain_numbers_and_nan(spark):
-    df = spark.createDataFrame([("1.5",), (" 2 ",), ("x",), ("NaN",), ("",)], "t string")
-    assert [r[0] for r in df.select(cleaning.plain_number(F.col("t"))).collect()] == [1.5, 2.0, None, None, None]
+    df = spark.createDataFrame([("1.5",), (" 2 ",), ("-.5e1",), ("5.",), ("x",), ("NaN",), ("",), ("1d",), ("0x1p3",)], "t string")
+    got = [r[0] for r in df.select(cleaning.plain_number(F.col("t"))).collect()]
+    assert got == [1.5, 2.0, -5.0, 5.0, None, None, None, None, None]
     df = spark.createDataFrame([(float("nan"), 1)], "a double, b int")
     assert cleaning.without_nan(df).first().a is None
 

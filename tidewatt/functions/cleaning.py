@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Texts that stand for a missing number, and the number pattern.
+# Texts that stand for a missing number, and the number patterns.
 MISSING_TEXTS = ["", "NA", "N/A", "nan", "None"]
+PLAIN_PATTERN = r"^(?i)[-+]?((\d+\.?\d*|\.\d+)(e[-+]?\d+)?|inf(inity)?)$"
 NUMBER_PATTERN = r"([-+]?\d*\.?\d+)"
 
 
 def plain_number(text: Column) -> Column:
-    """Strict coercion: the whole text is a number or the result is null."""
-    return nan_as_null(F.trim(text).try_cast("double"))
+    """Strict coercion: the whole text is a number or the result is null.
+
+    The cast alone would also take Java literals such as ``1d`` and ``0x1p3``.
+    """
+    bare = F.trim(text)
+    return F.when(bare.rlike(PLAIN_PATTERN), bare.try_cast("double"))
 
 
 def dirty_number(text: Column) -> Column:
