@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidewatt.llm.automaton import SuffixAutomaton
 from tidewatt.llm.frames import Shared, add_struct, free_name
-from tidewatt.llm.words import ALNUM_BYTES, covered, hash_words, per_text, split_words, utf8
+from tidewatt.llm.words import ALNUM_BYTES, covered, hash_words, per_text, split_words, utf8, without_words
 from tidewatt.session import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -212,33 +212,6 @@ def find_leaks(
     return out
 
 
-def remove_spans(column: pa.Array, hits: pa.Array) -> pa.Array:
-    """The texts without the words of those positions; what stands between kept words stays.
-
-    A removed word takes the bytes up to the next word with it, so that the rest is
-    separated as before.
-    """
-    raw, offsets = utf8(column)
-    words = split_words(column, ALNUM_BYTES, False)
-    flat = hits.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.array([len(x) if x is not None else 0 for x in hits.to_pylist()])
-    gone = np.zeros(len(words.starts), bool)
-    gone[np.repeat(words.first[:-1], sizes) + flat] = True
-    keep = np.ones(len(raw) + 1, np.int64)
-    change = np.zeros(len(raw) + 1, np.int64)
-    if gone.any():
-        owner = words.text_of_word()
-        upto = np.append(words.starts[1:], len(raw))
-        upto = np.minimum(upto, offsets[1:][owner])
-        np.add.at(change, words.starts[gone], 1)
-        np.add.at(change, upto[gone], -1)
-    keep = np.cumsum(change)[:-1] == 0
-    sums = np.concatenate([[0], np.cumsum(keep)])
-    new = sums[offsets]
-    made = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(new.astype(np.int64).tobytes()), pa.py_buffer(raw[keep].tobytes()))
-    return pc.if_else(column.is_null(), pa.scalar(None, pa.large_string()), made).cast(pa.string())
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage: float = 0.5, text: str = "text", **options) -> DataFrame:
     """``docs`` without the words that windows of items hit.
 
@@ -253,9 +226,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
 
     def cut(batches):
         for batch in batches:
-            hits = batch.column(batch.num_columns - 1).field("hit_words")
             columns = list(batch.columns[:-1])
-            columns[index] = remove_spans(columns[index], hits)
+            hits = batch.column(batch.num_columns - 1).field("hit_words")
+            words = split_words(columns[index], ALNUM_BYTES, False)
+            gone = np.zeros(len(words.starts), bool)
+            gone[np.repeat(words.first[:-1], pc.list_value_length(hits).to_numpy()) + hits.flatten().to_numpy()] = True
+            columns[index] = without_words(columns[index], words, gone)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return kept.mapInArrow(cut, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import decontamination
+from tidewatt.llm import decontamination, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,27 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 @query("op1_benchmark_decontamination", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), part AS (
+    SELECT r, doc_id, s, array_to_string(w[s:s + 12], ' ') AS piece FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM doc)
+), least_doc AS (
+    SELECT piece, min(doc_id) AS least FROM part GROUP BY piece
+), gone AS (
+    SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM part JOIN least_doc USING (piece) WHERE doc_id > least OR (doc_id IS NULL AND least IS NOT NULL)
+), word AS (
+    SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc
+), kept AS (
+    SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"), window=13)

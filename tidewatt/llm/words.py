@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Byte classes of the two kinds of words, and A-Z to a-z.
 ALNUM_BYTES = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -133,3 +134,22 @@ def per_text(flags: np.ndarray, words: Words) -> np.ndarray:
     """How many words of each text are flagged."""
     sums = np.concatenate([[0], np.cumsum(flags)])
     return (sums[words.first[1:]] - sums[words.first[:-1]]).astype(np.int64)
+
+
+def without_words(column: pa.Array, words: Words, gone: np.ndarray) -> pa.Array:
+    """The texts without the words of ``gone``; kept words stand apart as before, null stays null.
+
+    ``words`` are those of ``column``. A removed word takes the bytes up to the next word of
+    its text with it.
+    """
+    raw, offsets = utf8(column)
+    change = np.zeros(len(raw) + 1, np.int64)
+    if gone.any():
+        upto = np.append(words.starts[1:], len(raw))
+        upto = np.minimum(upto, offsets[1:][words.text_of_word()])
+        change[words.starts[gone]] += 1
+        np.add.at(change, upto[gone], -1)
+    keep = np.cumsum(change)[:-1] == 0
+    sums = np.concatenate([[0], np.cumsum(keep)])
+    made = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(sums[offsets].tobytes()), pa.py_buffer(raw[keep].tobytes()))
+    return pc.if_else(pc.is_valid(column), made, pa.scalar(None, pa.large_string())).cast(pa.string())
