@@ -68,49 +68,70 @@ def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def questions(pack: int, keys: np.ndarray, parts: int, **more: np.ndarray) -> pa.RecordBatch:
-    """A row for each range that holds keys: owner, pack, the sorted keys and values beside them."""
-    cuts = ranges(keys, parts)
+def planes(values: np.ndarray) -> bytes:
+    """64-bit integers, lowest bytes first: the high bytes are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(content: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(content, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def sent(values: np.ndarray, kind: str) -> bytes:
+    """Values as bytes. ``kind``: ``sorted`` (64-bit keys in order), ``whole`` (64-bit integers) or a numpy type."""
+    if kind == "sorted":
+        return planes(np.diff(values, prepend=np.uint64(0)))
+    return planes(values) if kind == "whole" else values.astype(kind).tobytes()
+
+
+def received(content: bytes, kind: str) -> np.ndarray:
+    if kind == "sorted":
+        return np.cumsum(from_planes(content), dtype=np.uint64)
+    return from_planes(content).view(np.int64) if kind == "whole" else np.frombuffer(content, kind)
+
+
+def questions(pack: int, keys: np.ndarray, owners: int, **beside: tuple[np.ndarray, str]) -> pa.RecordBatch:
+    """A row for each range that holds keys: owner, pack, the sorted keys and (values, kind) beside them."""
+    cuts = ranges(keys, owners)
     used = np.flatnonzero(np.diff(cuts))
     columns = {"owner": pa.array(used.astype(np.int64)), "pack": pa.array(np.full(len(used), pack, np.int64))}
-    for name, values in {"keys": keys, **more}.items():
-        columns[name] = pa.array([values[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary())
+    for name, (values, kind) in {"keys": (keys, "sorted"), **beside}.items():
+        columns[name] = pa.array([sent(values[cuts[i] : cuts[i + 1]], kind) for i in used], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
-def answered(rows: DataFrame, answer: Callable[..., np.ndarray], **types: str) -> DataFrame:
-    """(pack, answers): ``answer(keys, row of each key, **beside)`` gives bytes-like values a key.
+def answered(rows: DataFrame, answer: Callable[..., tuple[np.ndarray, int]], kinds: dict[str, str], reply: str = "u1") -> DataFrame:
+    """(pack, owner, answer, tally): a value for each key that was asked, and a number for each owner.
 
-    ``types`` names the numpy type of the keys and of what stands beside them. Answers of a
-    pack are listed by owner.
+    ``answer`` gets what all packs sent to one owner, by name as in ``kinds``, and gives the
+    values in that order and a number; the number stands in one row of each owner.
     """
-    names = list(types)
 
-    def reply(table: pa.Table) -> pa.Table:
-        columns = {n: [np.frombuffer(v.as_py(), types[n]) for v in table.column(n)] for n in names}
-        sizes = [len(v) for v in columns[names[0]]]
-        flat = {n: np.concatenate(v) for n, v in columns.items()}
-        values = answer(**flat)
+    def of_owner(table: pa.Table) -> pa.Table:
+        parts = {n: [received(v.as_py(), k) for v in table.column(n)] for n, k in kinds.items()}
+        sizes = [len(v) for v in next(iter(parts.values()))]
+        values, tally = answer(**{n: np.concatenate(v) for n, v in parts.items()})
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        out = pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-        return pa.table({"pack": table.column("pack"), "owner": table.column("owner"), "answer": out})
+        out = pa.array([sent(values[a:b], reply) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+        tallies = pa.array([tally] + [0] * (len(sizes) - 1), pa.int64())
+        return pa.table({"pack": table.column("pack"), "owner": table.column("owner"), "answer": out, "tally": tallies})
 
-    replies = rows.groupBy("owner").applyInArrow(reply, "pack bigint, owner bigint, answer binary")
-    return replies.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("owner", "answer"))).alias("answers"))
+    return rows.groupBy("owner").applyInArrow(of_owner, "pack bigint, owner bigint, answer binary, tally bigint")
 
 
-def joined(answers: pa.Scalar, dtype: str) -> np.ndarray:
+def joined(answers: pa.Scalar, kind: str) -> np.ndarray:
     """All answers to a pack in the order of its sorted keys."""
     rows = answers.as_py() or []
-    return np.frombuffer(b"".join(r["answer"] for r in rows), dtype)
+    return np.concatenate([received(r["answer"], kind) for r in rows]) if rows else received(b"", kind)
 
 
 def over_packs(packs: DataFrame, replies: list[tuple[DataFrame, str]], work: Callable[..., Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``work(pack, rows, *answers)`` for each pack with its answers of each kind."""
+    """``work(pack, rows, *answers)`` for each pack with its answers; a pack's share of them is bounded by its size."""
     types = [t for _, t in replies]
     frame = packs.select("pack", "content")
     for k, (df, _) in enumerate(replies):
-        frame = frame.join(df.withColumnRenamed("answers", f"answers_{k}"), "pack", "left")
+        of_pack = df.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("owner", "answer"))).alias(f"answers_{k}"))
+        frame = frame.join(of_pack, "pack", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

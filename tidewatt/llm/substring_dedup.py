@@ -87,7 +87,7 @@ class Windows:
         self.keys, self.rest, self.least = a[new], b[new], self.doc[order][new]
 
 
-def _shared(keys: np.ndarray) -> np.ndarray:
+def _shared(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Of one range, for each key whether another pack sent it too."""
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
@@ -95,10 +95,10 @@ def _shared(keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), np.uint8)
     out[order[1:]] |= same
     out[order[:-1]] |= same
-    return out
+    return out, 0
 
 
-def _beaten(keys: np.ndarray, rest: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _beaten(keys: np.ndarray, rest: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
     """Of one range, for each window whether another pack has it in a smaller document."""
     order = np.lexsort((least, rest, keys))
     new = np.ones(len(keys), bool)
@@ -106,7 +106,7 @@ def _beaten(keys: np.ndarray, rest: np.ndarray, least: np.ndarray) -> np.ndarray
     first = least[order][new][np.cumsum(new) - 1]
     out = np.zeros(len(keys), np.uint8)
     out[order] = first < least[order]
-    return out
+    return out, 0
 
 
 def repeated_words(
@@ -135,8 +135,7 @@ def repeated_words(
     def ask_anchors(pack: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words, hashes, _ = read(rows)
         anchors = Anchors(words, hashes, window)
-        # an owner tells its keys apart by 40 bits; more would only spare a few candidates
-        yield split_keys(P.questions(pack, anchors.keys, owners), owners)
+        yield P.questions(pack, anchors.keys, owners)
 
     def windows_of(rows: pa.RecordBatch, shared: np.ndarray) -> tuple[Words, Windows]:
         words, hashes, doc = read(rows)
@@ -146,31 +145,20 @@ def repeated_words(
 
     def ask_windows(pack: int, rows: pa.RecordBatch, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, found = windows_of(rows, shared)
-        yield P.questions(pack, found.keys, owners, rest=found.rest, least=found.least)
+        yield P.questions(pack, found.keys, owners, rest=(found.rest, "<u4"), least=(found.least, "whole"))
 
     def remove(pack: int, rows: pa.RecordBatch, shared: np.ndarray, beaten: np.ndarray) -> Iterator[pa.RecordBatch]:
         words, found = windows_of(rows, shared)
         lost = beaten.astype(bool)[found.place] | (found.doc > found.least[found.place])
         yield finish(rows, words, covered(len(words.starts), found.at[lost], window))
 
-    asked = P.over_packs(packs, [], ask_anchors, "owner bigint, pack bigint, low binary, high binary")
-    shared = staged(P.answered(asked, lambda low, high: _shared(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))), low="<u4", high="u1"), "anchors")
+    asked = P.over_packs(packs, [], ask_anchors, "owner bigint, pack bigint, keys binary")
+    shared = staged(P.answered(asked, _shared, {"keys": "sorted"}), "anchors")
     asked = P.over_packs(packs, [(shared, "u1")], ask_windows, "owner bigint, pack bigint, keys binary, rest binary, least binary")
-    beaten = P.answered(asked, _beaten, keys="<u8", rest="<u4", least="<i8")
+    beaten = P.answered(asked, _beaten, {"keys": "sorted", "rest": "<u4", "least": "whole"})
     return P.over_packs(packs, [(shared, "u1"), (beaten, "u1")], remove, schema)
 
 
-def split_keys(rows: pa.RecordBatch, owners: int) -> pa.RecordBatch:
-    """The keys of questions as their leading 40 bits within the owner's range, in two parts."""
-    low, high = [], []
-    shift = np.uint64(max(0, 24 - (owners - 1).bit_length()))
-    for keys in rows.column(2):
-        lead = (np.frombuffer(keys.as_py(), "<u8") >> shift) & np.uint64((1 << 40) - 1)
-        low.append((lead & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-        high.append((lead >> np.uint64(32)).astype("u1").tobytes())
-    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["owner", "pack", "low", "high"])
-
-
 def dedup_substrings(docs: DataFrame, *, window: int = 13, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with repeated passages cut from all documents but the first."""
     text_at = [c.lower() for c in docs.columns].index(text.lower())
