@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -30,9 +31,18 @@ from tidewatt.llm.automaton import SuffixAutomaton
 from tidewatt.llm.frames import Shared, add_struct, free_name
 
 WORD_END = 256  # symbols from here on are bytes that end a word
-# White space of the split pattern, by code point.
-SPACE = r"\t-\r \x85\xa0  -     　"
-SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+# The split pattern of the vocabulary and white space in it. Letters and numbers are
+# those of Unicode 16.0; newer code points are other characters to the library too.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
+# Letters and numbers of Unicode 16.0, which the library knows and Python 3.13 does not.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+LONG_WORD = 1024  # symbols from which a word is encoded on its own
 CELLS = 1 << 21  # word symbols in numpy at once
 CACHE_WORDS = 400_000
 
@@ -46,6 +56,17 @@ def byte_characters() -> list[str]:
     return [stands[b] for b in range(256)]
 
 
+def code_points(category: str) -> str:
+    """A regular expression's ranges of the code points of a general category."""
+    inside = [unicodedata.category(chr(c))[0] == category for c in range(0x110000)]
+    newer = regex.compile(rf"\p{{{category}}}")
+    for first, last in UNICODE_16:
+        for c in range(first, last + 1):
+            inside[c] = inside[c] or bool(newer.match(chr(c)))
+    edges = np.flatnonzero(np.diff(np.array([False, *inside, False]).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
 class Lookup:
     """A map from integers to integers for whole arrays; -1 where there is no entry."""
 
@@ -83,6 +104,7 @@ class Vocabulary:
             pairs[left[k], right[k]] = k
         self.ids = np.array([ids[t] for t in texts], np.uint32)
         self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
+        self.pattern = SPLIT.format(letters=code_points("L"), numbers=code_points("N"), space=SPACE)
         self.tokens = len(texts)
         self.sizes = np.array([len(s) for s in symbols], np.int64)
         self.pairs = Lookup({a * self.tokens + b: k for (a, b), k in pairs.items()})
@@ -176,11 +198,59 @@ class Vocabulary:
         back = np.array(steps[::-1], np.int64).reshape(len(steps), len(at)).T
         return [row[row >= 0] for row in back]
 
+    def encode_long(self, symbols: list[int]) -> list[int]:
+        """The same for one word, symbol by symbol, with plain integers."""
+        moves = dict(zip(self.moves.keys.tolist(), self.moves.values.tolist()))
+        pairs = dict(zip(self.pairs.keys.tolist(), self.pairs.values.tolist()))
+        left, right, link, length, nearest, token = (v.tolist() for v in (self.left, self.right, self.link, self.length, self.nearest, self.token))
+        seen: dict[tuple[int, int], bool] = {}
+
+        def fits(a: int, b: int) -> bool:
+            limit = self.tokens
+            while True:
+                if pairs.get(a * self.tokens + b, limit) < limit:
+                    return False
+                if left[a] != a and (a > b or right[b] == b):
+                    limit, a = a, right[a]
+                elif right[b] != b:
+                    limit, b = b + 1, left[b]
+                else:
+                    return True
+
+        last, state, matched = [-1], 0, 0
+        for i, symbol in enumerate(symbols, 1):
+            while (there := moves.get(state * 2 * WORD_END + symbol)) is None:
+                state = link[state]
+                matched = length[state]
+            state, matched = there, matched + 1
+            candidate = nearest[state]
+            if length[candidate] > matched:
+                candidate = nearest[link[candidate]]
+            while True:
+                t, before = token[candidate], last[i - length[candidate]]
+                if before < 0:
+                    break
+                if (good := seen.get((before, t))) is None:
+                    good = seen[before, t] = fits(before, t)
+                if good:
+                    break
+                candidate = nearest[link[candidate]]
+            last.append(t)
+        out, at = [], len(symbols)
+        while at:
+            out.append(last[at])
+            at -= int(self.sizes[last[at]])
+        return out[::-1]
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         out: list[bytes] = [b""] * len(words)
         at = 0
+        while at < len(order) and len(words[order[at]]) > LONG_WORD:
+            word = words[order[at]]
+            out[order[at]] = self.ids[self.encode_long([*word[:-1], word[-1] + WORD_END])].astype("<u4").tobytes()
+            at += 1
         while at < len(order):
             width = len(words[order[at]])
             part = order[at : at + max(1, CELLS // (width + 1))]
@@ -200,9 +270,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.split = regex.compile(SPLIT)
-        self.spaces = regex.compile(f"[{SPACE}]+")
-        self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
+        self.split = re.compile(vocabulary.pattern)
+        self.spaces = re.compile(f"[{SPACE}]+")
+        self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
         self.known: dict[str, bytes] = {}
         self.fixed = {s: int(i).to_bytes(4, "little") for s, i in vocabulary.special.items()}
         self.strings = [vocabulary.strings.get(i, "") for i in range(max(vocabulary.strings) + 1)]
