@@ -42,6 +42,10 @@ UNICODE_16 = [
     (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
     (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
 ]
+# Lower case where the library's differs from that of Python 3.13: sigma, which takes no
+# final form, and letters of Unicode 16.0 and 17.0.
+LOWER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 LONG_WORD = 1024  # symbols from which a word is encoded on its own
 CELLS = 1 << 21  # word symbols in numpy at once
 CACHE_WORDS = 400_000
@@ -271,6 +275,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.split = re.compile(vocabulary.pattern)
+        self.unlike = re.compile("[" + "".join(map(chr, LOWER)) + "]")
         self.spaces = re.compile(f"[{SPACE}]+")
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
         self.known: dict[str, bytes] = {}
@@ -279,7 +284,9 @@ class Encoder:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: each character alone
+            text = unicodedata.normalize("NFC", text)
+            if self.unlike.search(text):
+                text = text.translate(LOWER)
         return self.spaces.sub(" ", text).lower()
 
     def pieces(self, text: str) -> Iterable[tuple[bool, list[str]]]:
