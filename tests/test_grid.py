@@ -134,3 +134,16 @@ def test_first_maximum_takes_the_first_of_equals(series):
     df = series(y=[1, 5, None, 5]).withColumn("h", F.hour("timestamp"))
     row = windows.first_maximum(df, "y", [F.col("timestamp")], ["h"]).first()
     assert (row.h, row.y) == (1, 5)
+
+
+@pytest.mark.parametrize("steps", [24, 4096, None])
+@pytest.mark.parametrize("hours", [[0, 1, 2, 4, 5], [0, 1, 1, 2, 3]])
+def test_lags_need_a_complete_grid(series, steps, hours):
+    df = series(hours=hours, y=[1, 2, 3, 4, 5])
+    with pytest.raises(Exception, match="not a complete grid"):
+        windows.with_lags_and_means(df, "y", {"a": 1}, {"m": 2}, steps=steps).select("a").collect()
+
+
+def test_a_duplicate_time_has_no_place_on_the_grid(series):
+    with pytest.raises(Exception, match="duplicate time"):
+        grid.regularise(series(hours=[0, 1, 1, 2], y=[1, 2, 3, 4]), ["y"]).collect()

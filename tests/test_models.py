@@ -115,6 +115,36 @@ def test_network_learns_and_round_trips(frame, spark, tmp_path):
     )
 
 
+def _rmse(scored):
+    return scored.where("y IS NOT NULL").agg(F.sqrt(F.avg(F.pow(F.col("y_hat") - F.col("y"), F.lit(2))))).first()[0]
+
+
+def test_network_without_held_out_rows_is_judged_by_those_that_train(frame):
+    train = frame.where("split = 'train'")
+    how = {"hidden": (16, 8), "max_rounds": 20, "partitions": 2, "learning_rate": 0.01, "batch_size": 64}
+    some, none = PooledMLP(**how), PooledMLP(**how, holdout=0.0)
+    with_some, with_none = (_rmse(m.transform(train, m.fit(train))) for m in (some, none))
+    assert with_none < 1.2 * with_some
+
+
+def test_network_scales_by_all_complete_rows_and_repeats(frame):
+    train = frame.where("split = 'train'")
+    how = {"hidden": (4,), "max_rounds": 2, "partitions": 3}
+    one, two = (PooledMLP(**how).fit(train).orderBy("part", "layer", "row", "col").toPandas() for _ in range(2))
+    np.testing.assert_array_equal(one["value"], two["value"])
+    features = one.loc[(one["part"] == "mean") & (one["name"] != "y"), "name"].tolist()
+    rows = train.dropna(subset=[*features, "y"]).toPandas()
+    for part, how_ in (("mean", np.mean), ("std", np.std)):
+        own = one[one["part"] == part].set_index("name")["value"]
+        np.testing.assert_allclose(own[features], [how_(rows[f].to_numpy(float)) for f in features])
+
+
+def test_network_stops_early(frame):
+    model = PooledMLP(hidden=(4,), max_rounds=200, patience=2, min_gain=0.05, partitions=2, learning_rate=0.02)
+    model.fit(frame.where("split = 'train'"))
+    assert 3 < model.rounds < 100
+
+
 class Zero:
     """A model of the user's own."""
 
@@ -137,6 +167,12 @@ def test_backtest_takes_any_model_and_reports_empty_splits(frame):
     assert (rows["Zero"].test_n_samples, rows["Zero"].test_mae) == (0, None)
 
 
+def test_a_model_without_rows_is_listed_for_each_series(frame):
+    preds = backtest.predictions(frame, [Zero()], ["k"])
+    table = backtest.metrics_table(preds, ["Zero", "Other"], ["k"]).orderBy("k", "model")
+    assert [(r.k, r.model, r.val_n_samples > 0) for r in table.collect()] == [(0, "Other", False), (0, "Zero", True), (1, "Other", False), (1, "Zero", True)]
+
+
 def test_monthly_peaks_need_not_share_the_hour(series):
     df = series(y=[10, 20], y_hat=[25, 5])
     assert metrics.monthly_peak_mae(df).first()[0] == 5

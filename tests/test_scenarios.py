@@ -159,3 +159,20 @@ def test_contract_report(series):
     fine = series(y=[1, 2, 3])
     contracts.enforce(contracts.series_rules(fine, ["timestamp"], "y", partial_year=2024))
     assert contracts.bad_hours(fine.selectExpr("explode(array(0, 1, 24, 25, null)) AS Hour")).distinct().count() == 3
+
+
+@pytest.mark.parametrize("shape", scenarios.RAMPS)
+def test_a_year_without_level_is_an_error_whatever_years_says(spark, shape):
+    out = scenarios.apply_scenarios(at(spark, "2026-01-01 00:00:00", "2030-01-01 00:00:00"), RISING, shape, years=(2026, 2027))
+    with pytest.raises(Exception, match="no level of scenario a for year 2030"):
+        out.collect()
+    early = scenarios.apply_scenarios(at(spark, "2025-01-01 00:00:00"), RISING, shape, years=(2026, 2027))
+    with pytest.raises(Exception, match="2025"):
+        early.collect()
+
+
+def test_repeated_template_times_give_one_row(spark):
+    rows = at(spark, "2024-01-01 00:00:00", "2024-01-01 00:00:00").withColumn("y_hat", F.col("y_hat") + F.monotonically_increasing_id())
+    out = scenarios.synthetic_year(rows, 2026)
+    assert out.count() == 8760
+    assert out.orderBy("timestamp").first().y_hat == 1000

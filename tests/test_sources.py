@@ -41,6 +41,52 @@ def test_demand_errors(spark, tmp_path):
         demand.read_demand(spark, str(tmp_path))
 
 
+def test_demand_comments_anywhere(spark, tmp_path):
+    """A header far down, comments after values, and a file without header."""
+    lead = "".join(f"\\ line {i}\n" for i in range(40))
+    text = lead + "Date,Hour,Market Demand,Ontario Demand\n2024-01-01,1,3\\note,2\n\\ all of it\n2024-01-01,2,5,4 \\ end\n"
+    (tmp_path / "PUB_Demand_2024.csv").write_text(text)
+    rows = demand.read_demand(spark, str(tmp_path), [2024]).orderBy("timestamp").collect()
+    assert [(r.market_demand_mw, r.ontario_demand_mw) for r in rows] == [(3.0, None), (5.0, 4.0)]
+    assert [r.missing for r in demand.header_findings(spark, str(tmp_path)).collect()] == [demand.REQUIRED]
+    (tmp_path / "PUB_Demand_2025.csv").write_text("\\ only\n\\ comments\n")
+    with pytest.raises(ValueError, match="no header in .*2025"):
+        demand.read_demand(spark, str(tmp_path))
+
+
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    (tmp_path / "2022").mkdir()
+    lines = [f"2022-01-{1 + i // 24 % 28:02d} {i % 24:02d}:00,{i % 30}" for i in range(9000)]
+    text = "Date/Time (LST),Temp (°C)\n".replace("°", "deg ") + "\n".join(lines) + "\n2023-01-01 00:00,\u00a07.5\n"
+    (tmp_path / "2022" / "a b+c%20.csv").write_bytes(text.replace("deg ", "deg").encode("latin-1"))
+    found = headers.heads(spark, str(tmp_path)).first()
+    assert found.encoding == "ISO-8859-1" and found.line == 1
+    rows, _ = weather.read_weather(spark, str(tmp_path))
+    assert rows.count() == 9001
+    assert rows.where("year(timestamp) = 2023").first().temp_c == 7.5
+
+
+def test_stages_fail_on_what_spoils_them(spark, tmp_path):
+    demand_file(tmp_path, 2024, ["2024-01-01,1,1,1", "2024-01-01,1,2,2", "2024-01-01,3,2,2"])
+    raw = demand.read_demand(spark, str(tmp_path))
+    with pytest.raises(Exception, match="duplicate time"):
+        demand.hourly_demand(raw).collect()
+    none = raw.dropDuplicates(["timestamp"]).withColumn("ontario_demand_mw", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="no value of ontario_demand_mw"):
+        demand.hourly_demand(none).collect()
+    cold = spark.sql("SELECT timestamp_ntz'2024-01-01' AS timestamp, 'a' AS source_file, CAST(NULL AS DOUBLE) AS temp_c, 1D AS rel_hum_pct")
+    cold = cold.withColumns({m: F.lit(1.0) for m in weather.MEASURES if m not in cold.columns})
+    with pytest.raises(Exception, match="no value of temp_c"):
+        weather.hourly_weather(cold).collect()
+
+
+def test_dates_need_a_day(spark):
+    texts = ["2022", "2022-01", "2022-01-05", " 2022-01-05 07:00 ", "2022-01-05T07:30:00", "07:00", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(cleaning.readable_time(F.col("t")).alias("t"))
+    day = dt.datetime(2022, 1, 5)
+    assert [r.t for r in df.collect()] == [None, None, day, day.replace(hour=7), day.replace(hour=7, minute=30), None, None]
+
+
 HEADER = "Date/Time (LST),Temp (°C),Temp Flag,Dew Point Temp (°C),Rel Hum (%),Wind Spd (km/h),Precip. Amount (mm),Stn Press (kPa)"
 
 
@@ -84,9 +130,15 @@ def test_header_normal_form():
     assert headers.normal_header(" Temp (°C) ") == "temp degc"
     assert headers.normal_header("Temp (Â°C)") == "temp degc"
     assert headers.normal_header("Precip. Amount (mm)") == "precip amount mm"
-    assert headers.header_of(b"\\a\n\\b\nDate,Hour\n") == ("Date,Hour", "UTF-8")
-    assert headers.header_of("a,°C\n".encode("latin-1")) == ("a,°C", "ISO-8859-1")
-    assert headers.header_of(b"") == (None, "UTF-8")
+
+
+def test_heads(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"\\a\n\\b\nDate,Hour\n")
+    (tmp_path / "b.csv").write_bytes("a,°C\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes(b"\n\\\n")
+    (tmp_path / "d.csv").write_bytes(b"")
+    found = {r.path[-5:]: (r.header, r.encoding) for r in headers.heads(spark, str(tmp_path)).collect()}
+    assert found == {"a.csv": ("Date,Hour", "UTF-8"), "b.csv": ("a,°C", "ISO-8859-1"), "c.csv": (None, "UTF-8")}
 
 
 @pytest.mark.parametrize(

@@ -188,7 +188,8 @@ def weather_ridge_scores(spark, sf):
 
 
 def small_mlp(**changes):
-    return PooledMLP(**{"max_rounds": 4, "partitions": 4, "exclude": ["market_demand_mw"], **changes})
+    """Limit of rounds, patience and layers as by default."""
+    return PooledMLP(**{"partitions": 4, "exclude": ["market_demand_mw"], **changes})
 
 
 @query("m7_mlp_training")

@@ -52,9 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- hourly, by event type ----------------------------------------------------
 
 
+def _in_cents(series: DataFrame) -> DataFrame:
+    return series.withColumn("y", F.round("y", 2))
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_type, timestamp, y); hours without events are absent."""
-    return series_from_events(table(spark, sf_dir, "events"), "ts", "value", "1 hour", ["event_type"])
+    return _in_cents(series_from_events(table(spark, sf_dir, "events"), "ts", "value", "1 hour", ["event_type"]))
 
 
 def hourly_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def hourly_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(timestamp, y): order value per day."""
-    return series_from_events(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "1 day")
+    return _in_cents(series_from_events(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "1 day"))
 
 
 def written_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

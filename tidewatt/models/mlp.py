@@ -1,19 +1,20 @@
 """A neural network regressor trained data-parallel.
 
-One round: every partition of the written training table starts from the same weights
-and makes one pass of Adam over its own rows, batch by batch; Spark then averages the
-resulting weights, weighted by rows. The driver only ever holds one set of weights (a
-few thousand numbers). A hash of the series time keeps a tenth of the rows out; training
-stops when their squared error has not improved for ``patience`` rounds.
-
-The outcome depends on the number of parts, so that is a setting or follows from the
-number of rows, never from the size of the cluster.
+One round is one Spark job: every partition of the written training table starts from the
+same weights, measures their error on its rows that are kept out, and makes one pass of Adam
+over the others, batch by batch, in the order of a hash; Spark then averages the resulting
+weights, weighted by rows. The driver only ever holds one set of weights (a few thousand
+numbers). A hash of the series time keeps a tenth of the rows out; training stops when their
+squared error has not improved for more than ``patience`` rounds. If no row is kept out, the
+error is that of the rows that train.
+
+The outcome depends on the number of parts, so that is a setting, and does not follow from
+the number of rows or the size of the cluster. Set it to the tasks that the training rows need.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,9 +26,6 @@ from tidewatt.operators.metrics import complete_cases, feature_columns
 from tidewatt.session import staged
 
 
-ROWS_PER_PART = 2_000_000
-
-
 @dataclasses.dataclass(frozen=True)
 class Layout:
     """Layer sizes, and where each weight matrix and bias sits in the flat vector."""
@@ -107,7 +105,7 @@ class PooledMLP:
         min_gain: float = 1e-4,
         holdout: float = 0.1,
         seed: int = 42,
-        partitions: int | None = None,
+        partitions: int = 8,
         features: Sequence[str] | None = None,
         exclude: Sequence[str] = (),
         name: str = "MLPRegressor",
@@ -121,7 +119,7 @@ class PooledMLP:
         self.min_gain = min_gain
         self.holdout = holdout
         self.seed = seed
-        self.partitions = partitions  # None: one part per ROWS_PER_PART rows, at least 8
+        self.partitions = partitions
         self.features = list(features) if features else None
         self.exclude = list(exclude)
         self.name = name
@@ -132,27 +130,29 @@ class PooledMLP:
         """Weights, scaling and feature list as rows (see :func:`parameter_table`)."""
         features = self.features or feature_columns(df, [*self.exclude, *keys])
         written = self._training_table(df, features, keys)
-        means, spreads, rows = self._scales(written, len(features))
+        means, spreads, rows, kept_out = self._scales(written, len(features))
         if not rows:
             raise ValueError("no complete training rows")
         # spread once; a lost executor's share is read again from the written table
-        parts = self.partitions or max(8, math.ceil(rows / ROWS_PER_PART))
-        part = F.pmod(F.col("at"), F.lit(parts)).cast("int")
-        table = written.repartitionById(parts, part).persist()
+        part = F.pmod(F.col("at"), F.lit(self.partitions)).cast("int")
+        table = written.repartitionById(self.partitions, part).sortWithinPartitions("at", "x", "y").persist()
         layout = Layout((len(features), *self.hidden, 1))
         flat = layout.start(self.seed)
         first, second, steps = np.zeros_like(flat), np.zeros_like(flat), 0
         best, best_error, stale = flat, np.inf, 0
-        for r in range(self.max_rounds):
-            flat, first, second, steps = self._round(table, layout, flat, first, second, steps, means, spreads, r)
-            error = self._holdout_error(table, layout, flat, means, spreads)
+        for r in range(self.max_rounds + 1):
+            before = flat
+            flat, first, second, steps, error = self._round(table, layout, flat, first, second, steps, means, spreads, r, kept_out > 0)
+            self.rounds = r
+            if r == 0:  # the error of the start weights
+                continue
             if error < best_error - self.min_gain:
-                best, best_error, stale = flat, error, 0
+                stale = 0
             else:
                 stale += 1
-                if error < best_error:
-                    best, best_error = flat, error
-            if stale >= self.patience:
+            if error < best_error:
+                best, best_error = before, error
+            if stale > self.patience:
                 break
         table.unpersist()
         return parameter_table(df.sparkSession, layout, best, features, means, spreads)
@@ -169,76 +169,59 @@ class PooledMLP:
         return staged(rows, "mlp-training")
 
     def _scales(self, table: DataFrame, k: int):
-        """Mean and spread of inputs and target over the rows that train."""
-        train = table.where(~F.col("held_out"))
+        """Mean and spread of inputs and target over all complete rows, their number, and how many are kept out."""
         columns = [F.get("x", F.lit(i)) for i in range(k)] + [F.col("y")]
-        stats = train.agg(
+        stats = table.agg(
             F.count("*").alias("n"),
+            F.count_if("held_out").alias("kept_out"),
             F.array(*[F.avg(c) for c in columns]).alias("means"),
             F.array(*[F.stddev_pop(c) for c in columns]).alias("spreads"),
         ).first()
         if not stats["n"]:
-            return None, None, 0
+            return None, None, 0, 0
         spreads = np.array(stats["spreads"], dtype=float)
-        return np.array(stats["means"], dtype=float), np.where(spreads > 0, spreads, 1.0), stats["n"]
+        return np.array(stats["means"], dtype=float), np.where(spreads > 0, spreads, 1.0), stats["n"], stats["kept_out"]
 
-    def _round(self, table, layout, flat, first, second, steps, means, spreads, number):
+    def _round(self, table, layout, flat, first, second, steps, means, spreads, number, some_kept_out):
+        """The next weights and optimiser state, and the mean squared error of the weights given."""
         spark = table.sparkSession
         state = spark.sparkContext.broadcast((flat, first, second, steps, means, spreads))
         rate, l2, size, seed = self.learning_rate, self.l2, self.batch_size, self.seed
 
         def local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights, m, v, t, mean, spread = state.value
-            optimiser = Adam(m, v, t, rate)
+            start, m, v, t, mean, spread = state.value
+            weights, optimiser = start, Adam(m, v, t, rate)
             rng = np.random.default_rng([seed, number])
-            rows = 0
+            rows, judged, squares = 0, 0, 0.0
             for batch in batches:
+                if not len(batch):
+                    continue
                 x = (np.stack(batch["x"].to_numpy()) - mean[:-1]) / spread[:-1]
                 y = (batch["y"].to_numpy() - mean[-1]) / spread[-1]
+                out = batch["held_out"].to_numpy(bool)
+                judge = out if some_kept_out else ~out
+                off = forward(layout.split(start), x[judge])[-1][:, 0] - y[judge]
+                judged, squares = judged + len(off), squares + float(off @ off)
+                x, y = x[~out], y[~out]
                 order = rng.permutation(len(y))
                 for at in range(0, len(y), size):
                     pick = order[at : at + size]
                     weights = optimiser.step(weights, gradient(layout, weights, x[pick], y[pick], l2))
                 rows += len(y)
-            if rows:
-                yield pd.DataFrame(
-                    {
-                        "i": np.arange(layout.count),
-                        "w": weights,
-                        "m": optimiser.first,
-                        "v": optimiser.second,
-                        "t": optimiser.steps,
-                        "n": rows,
-                    }
-                )
-
-        passes = table.where(~F.col("held_out")).mapInPandas(
-            local_pass, "i int, w double, m double, v double, t bigint, n bigint"
-        )
-        mean_of = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("w", "m", "v")]
-        merged = passes.groupBy("i").agg(*mean_of, F.max("t").alias("t")).orderBy("i").toPandas()
-        state.unpersist()
-        return (merged["w"].to_numpy(), merged["m"].to_numpy(), merged["v"].to_numpy(), int(merged["t"].iloc[0]))
-
-    def _holdout_error(self, table, layout, flat, means, spreads) -> float:
-        """Mean squared error of the rows kept out, in units of the target's spread."""
-        state = table.sparkSession.sparkContext.broadcast((flat, means, spreads))
-
-        def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights, mean, spread = state.value
-            layers = layout.split(weights)
-            for batch in batches:
-                if len(batch):
-                    x = (np.stack(batch["x"].to_numpy()) - mean[:-1]) / spread[:-1]
-                    y = (batch["y"].to_numpy() - mean[-1]) / spread[-1]
-                    off = forward(layers, x)[-1][:, 0] - y
-                    yield pd.DataFrame({"s": [float(off @ off)], "n": [len(y)]})
-
-        total = (
-            table.where("held_out").mapInPandas(squares, "s double, n bigint").agg(F.sum("s"), F.sum("n")).first()
-        )
+            if rows or judged:
+                columns = {"i": np.arange(layout.count), "w": weights, "m": optimiser.first, "v": optimiser.second}
+                yield pd.DataFrame({**columns, "t": optimiser.steps, "n": rows, "s": squares, "k": judged})
+
+        schema = "i int, w double, m double, v double, t bigint, n bigint, s double, k bigint"
+        passes = table.mapInPandas(local_pass, schema)
+        mean_of = [F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum("n")).alias(c) for c in ("w", "m", "v")]
+        totals = [F.max("t").alias("t"), F.sum("s").alias("s"), F.sum("k").alias("k")]
+        merged = passes.groupBy("i").agg(*mean_of, *totals).orderBy("i").toPandas()
         state.unpersist()
-        return total[0] / total[1] if total[1] else 0.0
+        error = merged["s"].iloc[0] / merged["k"].iloc[0] if merged["k"].iloc[0] else 0.0
+        if merged["w"].isna().any():
+            raise ValueError("all rows are kept out of training")
+        return (merged["w"].to_numpy(), merged["m"].to_numpy(), merged["v"].to_numpy(), int(merged["t"].iloc[0]), error)
 
     # --- scoring ------------------------------------------------------------------
 

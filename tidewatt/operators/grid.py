@@ -3,7 +3,8 @@
 Grid steps are whole multiples of ``freq`` from ``origin``; a row between two steps
 does not match the grid and is left out, as a re-index would (``off_grid`` in the
 contracts lists such rows). A gap is filled by the row before it: every observed row
-also emits the missing steps up to its successor, so no calendar table is joined.
+also emits the missing steps up to its successor, so no calendar table is joined. A time
+that a series has twice is an error, found on the way (``duplicate_times`` lists them).
 """
 
 from __future__ import annotations
@@ -150,7 +151,9 @@ def _with_gap_rows(
     seen = seen.withColumn("__seen", F.col(AT))
     around = with_known(seen, ["__seen", *columns], keys, whole=steps is None)
     following = Known("__seen").after
-    missing = F.greatest(F.lit(1).cast("long"), F.coalesce((following - F.col(AT)) / step, F.lit(1)).cast("long"))
+    twice = F.raise_error(F.concat(F.lit("duplicate time "), F.col(ts).cast("string"))).cast("long")
+    apart = F.when(following == F.col(AT), twice).otherwise(following - F.col(AT))
+    missing = F.greatest(F.lit(1).cast("long"), F.coalesce(apart / step, F.lit(1)).cast("long"))
     # two levels, so that no gap becomes one large array
     block = F.lit(STEPS_PER_BUCKET).cast("long")
     blocks = around.where(OWN).withColumn("__n", missing).withColumn(

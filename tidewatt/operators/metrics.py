@@ -213,7 +213,7 @@ def missing_steps(
     source: str | None = "source_file",
 ) -> DataFrame:
     """Steps between the first and last observed row that have no observed row."""
-    observed = df.where(F.col(source) != IMPUTED_SOURCE) if source else df
+    observed = df.where(~F.col(source).eqNullSafe(IMPUTED_SOURCE)) if source else df
     span = (to_micros(F.max(ts)) - to_micros(F.min(ts))) / step_micros(freq)
     return observed.groupBy(*keys).agg(
         F.count("*").alias("observed_rows"), (span.cast("long") + 1 - F.count("*")).alias("missing_steps")
@@ -314,9 +314,7 @@ def complete_cases(df: DataFrame, features: Sequence[str], target: str | None =
 
 
 def series_from_events(
-    events: DataFrame, at: str, value: str, freq: str, keys: Sequence[str] = (), how=F.sum, decimals: int = 2
+    events: DataFrame, at: str, value: str, freq: str, keys: Sequence[str] = (), how=F.sum
 ) -> DataFrame:
-    """One row per series and step with events: the rounded sum (or other aggregate)."""
-    return events.groupBy(*keys, floor_to(at, freq).alias("timestamp")).agg(
-        F.round(how(value), decimals).alias("y")
-    )
+    """One row per series and step with events: the sum (or other aggregate)."""
+    return events.groupBy(*keys, floor_to(at, freq).alias("timestamp")).agg(how(value).alias("y"))

@@ -160,6 +160,7 @@ def apply_scenarios(
     """(keys, ts, scenario, y_hat, ai_adder_mw, y_hat_with_ai), with ``baseline`` rows.
 
     ``years`` is the forecast's first and last year; without it a small aggregate reads them.
+    A row of a year for which a scenario has no level is an error, whatever ``years`` says.
     """
     base = forecast.select(*keys, ts, "y_hat")
     if isinstance(scenarios, DataFrame):
@@ -179,7 +180,9 @@ def _literal_rows(scenarios, shape: str, ts: str, first: int, last: int) -> list
         growth = F.lit(1.0 + s["yoy_growth"])
         level = F.lit(s["start_mw"]) * F.pow(growth, i)
         next_level = F.when(F.year(ts) < s["end_year"], F.lit(s["start_mw"]) * F.pow(growth, i + 1))
-        adder = ramp(shape, F.col(ts), level, next_level)
+        none = F.raise_error(F.concat(F.lit(f"no level of scenario {s['name']} for year "), F.year(ts))).cast("double")
+        inside = F.year(ts).between(s["start_year"], s["end_year"])
+        adder = F.when(inside, ramp(shape, F.col(ts), level, next_level)).when(F.year(ts).isNotNull(), none)
         rows.append(F.struct(F.lit(s["name"]).alias("scenario"), adder.alias("ai_adder_mw")))
     return rows
 
@@ -328,7 +331,8 @@ def synthetic_year(
         )
 
     wanted = calendar.withColumn("__source", F.coalesce(same(F.dayofmonth(at)), same(F.lit(28))))
-    known = template.select(*keys, F.col(ts).alias("__source"), F.col("y_hat"), F.lit(True).alias("__matched"))
+    # of template rows with the same time, the smallest value: rows have no order to take a first of
+    known = template.groupBy(*keys, F.col(ts).alias("__source")).agg(F.min("y_hat").alias("y_hat"), F.lit(True).alias("__matched"))
     fallback = F.coalesce(F.get(F.col("__hour_means"), F.hour(at)), F.lit(0.0))
     value = F.when(F.col("__matched"), F.col("y_hat")).otherwise(fallback)
     return wanted.join(known, [*keys, "__source"], "left").select(

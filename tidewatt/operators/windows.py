@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatt.functions.timeline import step_micros
 from tidewatt.operators.buckets import (
     AT,
     BUCKET,
@@ -36,8 +37,8 @@ def with_lags_and_means(
 ) -> DataFrame:
     """Values ``k`` rows back and means of the ``n`` rows before the current one.
 
-    ``df`` must be a complete grid (contracts: ``gaps``), so that rows are steps. A mean
-    skips nulls, needs one value and is null on the first row. All of them share one
+    Rows must be steps: a hole or a repeated time inside what a row looks back on is an
+    error (``contracts.gaps`` lists them, ``grid.regularise`` closes them). A mean skips nulls, needs one value and is null on the first row. All of them share one
     shuffle; each bucket carries a copy of the rows its own rows look back on.
 
     Means come from running sums inside the bucket, whatever their length: a sliding
@@ -50,7 +51,10 @@ def with_lags_and_means(
         steps = max(steps, 8 * reach)
     rows = into_buckets(df, ts, freq, steps, halo=reach)
     ordered = bucket_window(keys)
-    added = {name: F.lag(value, k).over(ordered) for name, k in lags.items()}
+    since = F.col(AT) - F.lag(AT, 1).over(ordered)
+    hole = F.raise_error(F.concat(F.lit("not a complete grid before "), F.col(ts).cast("string"))).cast("long")
+    added = {"__since": F.when(since != step_micros(freq), hole).otherwise(since)}
+    added |= {name: F.lag(value, k).over(ordered) for name, k in lags.items()}
     if means:
         whole = Window.partitionBy(*keys, BUCKET)
         so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +76,8 @@ def with_lags_and_means(
         )
         for name, n in means.items()
     }
-    return out_of_buckets(rows.withColumns(averages)).select(*df.columns, *lags, *means)
+    done = rows.withColumns(averages).where(F.col("__since").isNull() | (F.col("__since") > 0))
+    return out_of_buckets(done).select(*df.columns, *lags, *means)
 
 
 def with_previous_time(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatt.operators import metrics
-from tidewatt.operators.keyed import attach
+from tidewatt.operators.keyed import attach, same_keys
 from tidewatt.operators.quantile import exact_percentile
 
 SCORED = ["val", "test"]
@@ -54,9 +54,13 @@ def metrics_table(preds: DataFrame, models: Sequence[str], keys: Sequence[str] =
             for m in MEASURES
         ]
     )
-    if not keys:
-        spark = preds.sparkSession
-        wide = spark.createDataFrame([(m,) for m in models], "model string").join(wide, "model", "left")
+    named = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    if keys:
+        expected = preds.select(*keys).distinct().select(named, *[F.col(k).alias(f"__of_{k}") for k in keys])
+        wide = expected.withColumnRenamed("model", "__of_model").join(wide, same_keys(["model", *keys], "__of_"), "left")
+        wide = wide.drop("model", *keys).withColumnsRenamed({f"__of_{c}": c for c in ("model", *keys)})
+    else:
+        wide = preds.sparkSession.range(1).select(named).join(wide, "model", "left")
     counts = {f"{split}_n_samples": F.coalesce(f"{split}_n_samples", F.lit(0)) for split in SCORED}
     return wide.withColumns(counts)
 
@@ -93,6 +97,3 @@ def evaluate(dataset: DataFrame, models: Sequence, keys: Sequence[str] = ()) ->
         "ranking": ranking(table),
     }
 
-
-def score_with(model, dataset: DataFrame, params: DataFrame, split: Column, keys: Sequence[str] = ()) -> DataFrame:
-    return model.transform(dataset.where(split), params, keys).select(*keys, "timestamp", "y", "y_hat", "split")

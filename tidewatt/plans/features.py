@@ -16,6 +16,7 @@ from tidewatt.functions.calendar import (
     with_calendar,
     with_degree_days,
 )
+from tidewatt.functions.cleaning import known_or_error
 from tidewatt.operators import contracts, grid
 from tidewatt.operators.joins import WEATHER_FLAG, WEATHER_MEASURES, with_weather
 from tidewatt.operators.windows import HOURLY_LAGS, HOURLY_MEANS, duplicate_times, with_lags_and_means
@@ -83,14 +84,17 @@ def dry_where_unknown(df: DataFrame) -> DataFrame:
 
 
 def model_dataset(demand: DataFrame, weather: DataFrame, settings: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """Join, fill, degree days, calendar, lags, split, target; ordered projection."""
+    """Join, fill, degree days, calendar, lags, split, target; ordered projection.
+
+    A null target and steps that are missing or repeated are errors, found on the way.
+    """
     s = settings
     joined = dry_where_unknown(with_weather(demand, weather, on=s.weather_on))
     filled = weather_filled(joined, s.keys, s.freq)
     featured = with_calendar(with_degree_days(filled, base=s.base_temp))
     lagged = with_lags_and_means(featured, s.target, s.lags, s.means, keys=s.keys, freq=s.freq)
     labelled = lagged.withColumns(
-        {"split": split_label(F.col("timestamp"), s.train_end, s.val_end), "y": F.col(s.target)}
+        {"split": split_label(F.col("timestamp"), s.train_end, s.val_end), "y": known_or_error(s.target)}
     )
     return labelled.select(*[c for c in s.columns() if c in labelled.columns])
 

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatt.functions.calendar import hour_ending
-from tidewatt.functions.cleaning import plain_number, readable_time
+from tidewatt.functions.cleaning import known_or_error, plain_number, readable_time
 from tidewatt.operators.grid import regularise
+from tidewatt.session import staged
 from tidewatt.sources.headers import COMMENT, csv_files, heads, layouts
 
 # Fixed names: columns of a demand file and the pattern of its name.
 REQUIRED = ["Date", "Hour", "Market Demand", "Ontario Demand"]
+PREFLIGHT_LINES = 10  # the check of raw files, not reading, wants the header among these
 FILE_PATTERN = "PUB_Demand_*.csv"
 LOADS = ["ontario_demand_mw", "market_demand_mw"]
 
@@ -30,14 +32,13 @@ def missing_years(spark: SparkSession, folder: str, years: Sequence[int]) -> Dat
     return expected.join(demand_files(spark, folder).select("year"), ["year"], "left_anti")
 
 
-def header_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, missing): files whose header lacks a required column or that have no header."""
+def header_findings(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
+    """(path, missing): files without a header among their first lines, or whose header lacks a required column."""
     names = F.transform(F.split("header", ","), lambda c: F.trim(c))
     required = F.array(*[F.lit(c) for c in REQUIRED])
-    missing = F.when(F.col("header").isNull(), required).otherwise(F.array_except(required, names))
-    return (
-        heads(demand_files(spark, folder)).select("path", missing.alias("missing")).where(F.size("missing") > 0)
-    )
+    late = F.col("header").isNull() | (F.col("line") > PREFLIGHT_LINES)
+    missing = F.when(late, required).otherwise(F.array_except(required, names))
+    return heads(spark, folder, pattern).select("path", missing.alias("missing")).where(F.size("missing") > 0)
 
 
 def read_demand(
@@ -45,7 +46,8 @@ def read_demand(
 ) -> DataFrame:
     """(timestamp, ontario_demand_mw, market_demand_mw, source_file) of all files, unfilled.
 
-    Fails on a missing year, a missing column, an unreadable date or an hour outside 1..24.
+    Fails on a missing year, a file without header, a missing column, an unreadable date or
+    an hour outside 1..24. The header may stand anywhere; what follows a comment mark is dropped.
     """
     files = demand_files(spark, folder, pattern)
     if years is not None:
@@ -53,8 +55,12 @@ def read_demand(
         if absent:
             raise FileNotFoundError(f"no demand file for years {absent} in {folder}")
         files = files.where(F.col("year").isin([int(y) for y in years]))
+    found = staged(heads(spark, folder, pattern).join(files.select("path"), "path", "left_semi"), "heads")
+    headless = [r["path"] for r in found.where(F.col("header").isNull()).select("path").collect()]
+    if headless:
+        raise ValueError(f"no header in {headless}")
     frames = []
-    for layout in layouts(heads(files)):
+    for layout in layouts(found):
         at = {name: layout.columns.index(name) for name in REQUIRED if name in layout.columns}
         lacking = [name for name in REQUIRED if name not in at]
         if lacking:
@@ -66,7 +72,7 @@ def read_demand(
                 _time(text["Date"], text["Hour"]).alias("timestamp"),
                 plain_number(text["Ontario Demand"]).alias("ontario_demand_mw"),
                 plain_number(text["Market Demand"]).alias("market_demand_mw"),
-                F.col("_metadata.file_name").alias("source_file"),
+                F.element_at(F.split("file_path", "/"), -1).alias("source_file"),
             )
         )
     if not frames:
@@ -82,5 +88,9 @@ def _time(date: Column, hour: Column) -> Column:
 
 
 def hourly_demand(raw: DataFrame, keys: Sequence[str] = (), **how) -> DataFrame:
-    """Complete hourly table: loads filled, ``is_imputed`` where a row is new or a load was null."""
-    return regularise(raw, LOADS, keys=keys, flag="is_imputed", source="source_file", **how)
+    """Complete hourly table: loads filled, ``is_imputed`` where a row is new or a load was null.
+
+    A duplicate time, or a series without any value of the target, is an error.
+    """
+    filled = regularise(raw, LOADS, keys=keys, flag="is_imputed", source="source_file", **how)
+    return filled.withColumn(LOADS[0], known_or_error(LOADS[0]))

@@ -1,8 +1,9 @@
 """CSV files whose headers differ in order, wording or encoding.
 
-Spark assigns CSV columns by position, so files are grouped by header first: the
-executors read the beginning of each file, and every distinct header becomes one scan
-whose columns are then chosen by meaning.
+Spark assigns CSV columns by position, so files are grouped by header first: one pass of
+Spark's text reader over all lines finds each file's header and encoding, and every distinct
+header becomes one scan whose columns are then chosen by meaning. All access to storage goes
+through Spark, so any path that Spark can scan can be read.
 """
 
 from __future__ import annotations
@@ -10,23 +11,25 @@ from __future__ import annotations
 import csv
 import dataclasses
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HEAD_BYTES = 64 * 1024
-# The header must be among the first lines; these lines are not headers.
-HEADER_WITHIN_LINES = 10
+# What follows this mark in a line is a comment, and a byte order mark.
 COMMENT = "\\"
+BYTE_ORDER_MARK = "﻿"
+# How column names are compared. The stray letter comes before a degree sign
+# that was read in the wrong encoding; the signs count as blanks.
+STRAY, DEGREE_SIGNS, BLANK_SIGNS = "â", "[°º]", r"[()./,%]"
 
 
 @dataclasses.dataclass
 class Layout:
     """Files that share a header line and an encoding."""
 
+    header: str
     columns: list[str]
     encoding: str
     paths: list[str]
@@ -40,20 +43,33 @@ class Layout:
         return None
 
     def read(self, spark: SparkSession, comment: str | None = None) -> DataFrame:
-        """All columns as text, named ``c0``, ``c1``, ... by position."""
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(self.columns))])
-        reader = spark.read.schema(schema).option("header", True).option("encoding", self.encoding)
-        if comment:
-            reader = reader.option("comment", comment)
-        return reader.csv(self.paths)
+        """All columns as text, named ``c0``, ``c1``, ... by position, and ``file_path``.
+
+        Blank lines and lines that repeat the header are no rows. With ``comment`` a line
+        ends where the mark stands.
+        """
+        ddl = ", ".join(f"c{i} string" for i in range(len(self.columns)))
+        lines = spark.read.text(self.paths).select(
+            _content(_decoded(F.col("value"), F.lit(self.encoding)), comment).alias("line"),
+            F.col("_metadata.file_path").alias("file_path"),
+        )
+        rows = lines.where((F.trim("line") != "") & (F.trim("line") != self.header))
+        return rows.select(F.from_csv("line", ddl).alias("row"), "file_path").select("row.*", "file_path")
 
 
 def normal_header(text: str) -> str:
     """Lower case, degree signs as ``deg``, punctuation and runs of blanks as one blank."""
-    # a degree sign read in the wrong encoding is preceded by a stray letter
-    text = text.lower().replace("â", "")
-    text = re.sub("[°º]", "deg", text)
-    return " ".join(re.sub(r"[()./,%]", " ", text).split())
+    text = re.sub(DEGREE_SIGNS, "deg", text.lower().replace(STRAY, ""))
+    return " ".join(re.sub(BLANK_SIGNS, " ", text).split())
+
+
+def _decoded(line: Column, encoding: Column) -> Column:
+    latin = F.decode(line.cast("binary"), "ISO-8859-1")
+    return F.when(encoding == "UTF-8", F.ltrim(line, F.lit(BYTE_ORDER_MARK))).otherwise(latin)
+
+
+def _content(line: Column, comment: str | None) -> Column:
+    return F.substring_index(line, comment, 1) if comment else line
 
 
 def csv_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -66,7 +82,7 @@ def csv_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataF
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(folder)
-        .select("path")
+        .select(F.col("_metadata.file_path").alias("path"))
     )
     parts = F.split("path", "/")
     return listed.select(
@@ -74,51 +90,39 @@ def csv_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataF
     )
 
 
-def heads(files: DataFrame) -> DataFrame:
-    """(path, header, encoding) of each file; no header when it is empty or has only comments."""
-    return files.select("path").mapInPandas(_read_heads, "path string, header string, encoding string")
-
-
-def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [(path, *header_of(_first_bytes(path))) for path in batch["path"]]
-        yield pd.DataFrame(found, columns=["path", "header", "encoding"])
-
+def heads(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, header, encoding, line) of each file below a folder.
 
-def _first_bytes(path: str) -> bytes:
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        system, name = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-    else:
-        system, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
-    with system.open_input_stream(name) as stream:
-        return stream.read(HEAD_BYTES)
-
-
-def header_of(head: bytes) -> tuple[str | None, str]:
-    """Header line and encoding; bytes that are not UTF-8 are taken as Latin-1."""
-    # the last character may be cut off by the end of the sample
-    whole_lines = head.rsplit(b"\n", 1)[0] if len(head) == HEAD_BYTES else head
-    try:
-        text, encoding = whole_lines.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        text, encoding = whole_lines.decode("latin-1"), "ISO-8859-1"
-    for line in text.splitlines()[:HEADER_WITHIN_LINES]:
-        if line.strip() and not line.strip().startswith(COMMENT):
-            return line.strip(), encoding
-    return None, encoding
+    The header is the first line with more than a comment, wherever it stands; it is null
+    in a file without one, and ``line`` counts its place from 1. A file is UTF-8 if all its
+    lines are, else Latin-1. One aggregate per file, combined before the shuffle.
+    """
+    value = F.col("value")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.col("at"), value.alias("value"))
+    lines = (
+        spark.read.option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
+        .text(folder)
+        .select("value", "_metadata", F.monotonically_increasing_id().alias("at"))
+    )
+    bare = F.trim(F.ltrim(F.substring_index(value, COMMENT, 1), F.lit(BYTE_ORDER_MARK)))
+    found = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.min(F.when(bare != "", place)).alias("first"),
+        F.min(place).alias("begin"),
+        F.every(F.is_valid_utf8(value)).alias("valid"),
+    )
+    encoding = F.when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1")
+    header = F.trim(_content(_decoded(F.col("first.value"), encoding), COMMENT))
+    # places count on within a block; a header beyond the first block is far down anyway
+    return found.select("path", header.alias("header"), encoding.alias("encoding"), (F.col("first.at") - F.col("begin.at") + 1).alias("line"))
 
 
 def layouts(found: DataFrame) -> list[Layout]:
     """Group probed files by header. The driver holds the paths, as it does for any scan."""
-    rows = (
-        found.where(F.col("header").isNotNull())
-        .groupBy("header", "encoding")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        .orderBy("header", "encoding")
-        .collect()
-    )
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in found.where(F.col("header").isNotNull()).select("path", "header", "encoding").collect():
+        groups.setdefault((r["header"], r["encoding"]), []).append(unquote(r["path"]))
     return [
-        Layout([c.strip() for c in next(csv.reader([r["header"]]))], r["encoding"], list(r["paths"])) for r in rows
+        Layout(header, [c.strip() for c in next(csv.reader([header]))], encoding, sorted(paths))
+        for (header, encoding), paths in sorted(groups.items())
     ]

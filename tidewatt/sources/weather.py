@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatt.functions.cleaning import dirty_number, readable_time
+from tidewatt.functions.cleaning import dirty_number, known_or_error, readable_time
 from tidewatt.operators.grid import regularise
+from tidewatt.session import staged
 from tidewatt.sources.headers import Layout, csv_files, heads, layouts
 
 # Words that identify a column, per measure.
@@ -43,14 +44,14 @@ def read_weather(
 
     A measure a file lacks is null; rows whose time cannot be read are left out.
     """
-    found = heads(weather_files(spark, folder, start_year, end_year)).persist()
+    files = weather_files(spark, folder, start_year, end_year)
+    found = staged(heads(spark, folder).join(files.select("path"), "path", "left_semi"), "heads")
     groups = layouts(found)
     readable = [g for g in groups if g.position(*TIME_TOKENS) is not None]
-    rejected = [(p, "no date and time column") for g in groups if g not in readable for p in g.paths]
-    rejects = spark.createDataFrame(rejected, "path string, reason string").unionByName(
-        found.where(F.col("header").isNull()).select("path", F.lit("no header").alias("reason"))
-    )
-    if not groups and not rejects.take(1):
+    untimed = [g.header for g in groups if g not in readable]
+    reason = F.when(F.col("header").isNull(), "no header").when(F.col("header").isin(untimed), "no date and time column")
+    rejects = found.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+    if not groups and rejects.isEmpty():
         raise FileNotFoundError(f"no weather files in {folder} for {start_year}-{end_year}")
     frames = [_rows(spark, g) for g in readable]
     empty = spark.createDataFrame([], _SCHEMA)
@@ -65,7 +66,7 @@ def _rows(spark: SparkSession, layout: Layout) -> DataFrame:
         value = F.lit(None).cast("double") if at is None else dirty_number(F.col(f"c{at}"))
         measures.append(value.alias(name))
     time = readable_time(F.col(f"c{layout.position(*TIME_TOKENS)}"))
-    parts = F.split("_metadata.file_path", "/")
+    parts = F.split("file_path", "/")
     source = F.concat_ws("/", F.slice(parts, -2, 2))
     return (
         layout.read(spark)
@@ -75,7 +76,11 @@ def _rows(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def hourly_weather(raw: DataFrame, keys: Sequence[str] = (), **how) -> DataFrame:
-    """Complete hourly table: all measures filled; ``is_imputed_weather`` looks at the temperature only."""
-    return regularise(
+    """Complete hourly table: all measures filled; ``is_imputed_weather`` looks at the temperature only.
+
+    A duplicate time, or a series without any temperature, is an error.
+    """
+    filled = regularise(
         raw, MEASURES, keys=keys, flag="is_imputed_weather", flag_columns=["temp_c"], source="source_file", **how
     )
+    return filled.withColumn("temp_c", known_or_error("temp_c"))
