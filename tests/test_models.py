@@ -206,6 +206,23 @@ def test_percentile_per_group_with_a_hot_group(spark):
     assert rough == len(want)
 
 
+def test_percentile_scans_twice_and_shuffles_counts_once(spark, tmp_path):
+    path = f"{tmp_path}/values"
+    spark.range(20_000).selectExpr("id % 3 AS k", "hash(id) / 7D AS y").write.parquet(path)
+    out = quantile.exact_percentile(spark.read.parquet(path), "y", 0.95, ["k"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") == 2  # the sketch, and the counts
+    assert plan.count("ReusedExchange") == 1
+
+
+@pytest.mark.parametrize("p", [0.5, 0.9, 0.999])
+def test_percentile_of_a_heavy_tail(spark, p):
+    values = np.exp(np.random.default_rng(5).normal(0, 12, 20_000))
+    df = spark.createDataFrame([(float(v),) for v in values], "y double")
+    np.testing.assert_allclose(quantile.exact_percentile(df, "y", p).first()[0], np.percentile(values, 100 * p), rtol=1e-9)
+
+
 def test_percentile_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "y double")
     assert quantile.exact_percentile(df, "y", 0.95).first()[0] is None

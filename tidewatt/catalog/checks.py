@@ -224,11 +224,23 @@ def dataset_inputs(spark, sf):
 @query(
     "q13_scenario_findings",
     sql.ctes(sql.SEGMENTS)
-    + """SELECT name AS scenario, 'forecast year without level' AS rule FROM segments,
-         (SELECT max(year(l_shipdate)) AS last, min(year(l_shipdate)) AS first FROM lineitem)
-         WHERE 1996 > first AND NOT (2001 < first OR 1996 > last)""",
+    + """, span AS (SELECT max(year(l_shipdate)) AS last, min(year(l_shipdate)) AS first FROM lineitem)
+      SELECT name || ' late' AS scenario, 'forecast year without level' AS rule FROM segments, span
+        WHERE 1996 > first AND NOT (2001 < first OR 1996 > last)
+      UNION ALL SELECT name || ' apart', 'no overlap with forecast' FROM segments
+      UNION ALL SELECT name || ' empty', 'required key missing' FROM segments
+      UNION ALL SELECT name || ' nothing', 'adds nothing' FROM segments""",
 )
 def scenario_findings(spark, sf):
-    late = segment_scenarios(spark, sf).withColumn("start_year", F.lit(1996))
+    """Each segment's scenario as it is, and spoilt in the four ways that the rules find."""
+    good = segment_scenarios(spark, sf)
+
+    def spoilt(how, **changes):
+        return good.withColumns({"name": F.concat("name", F.lit(f" {how}")), **changes})
+
+    listed = good.unionByName(spoilt("late", start_year=F.lit(1996)))
+    listed = listed.unionByName(spoilt("apart", start_year=F.lit(2050), end_year=F.lit(2051)))
+    listed = listed.unionByName(spoilt("empty", yoy_growth=F.lit(None).cast("double")))
+    listed = listed.unionByName(spoilt("nothing", start_mw=F.lit(0.0)))
     shipped = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("timestamp"))
-    return scenarios.scenario_findings(late, shipped)
+    return scenarios.scenario_findings(listed, shipped)

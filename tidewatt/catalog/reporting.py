@@ -86,31 +86,23 @@ def high_hours_changes(spark, sf):
     return reports.high_hours_changes(daily_strain(spark, sf), _NAMES)
 
 
+def _best_model(fact: str, split: str) -> str:
+    return f"""(SELECT '{fact}' AS fact, model AS subject, NULL::VARCHAR AS quarter_label, round(rmse, 2) AS value
+      FROM errors WHERE split = '{split}' ORDER BY value, subject LIMIT 1)"""
+
+
 @query(
     "r6_report_facts",
-    _DAILY_STRAIN.rstrip()
-    + _STRAIN_CTE
-    + """, errors AS (SELECT year, quarter, scenario, predicted_peak_mw AS e FROM strain WHERE scenario <> 'baseline')
-      SELECT * FROM (
-        (SELECT 'best_test_rmse' AS fact, scenario AS subject, NULL::VARCHAR AS quarter_label, e AS value FROM errors
-          WHERE year = 2000 AND quarter = 1 ORDER BY e, scenario LIMIT 1)
-        UNION ALL (SELECT 'best_val_rmse', scenario, NULL, e FROM errors
-          WHERE year = 2000 AND quarter = 2 ORDER BY e, scenario LIMIT 1)
-        UNION ALL (SELECT 'max_peak_uplift', scenario, year || 'Q' || quarter, peak_delta_mw FROM strain
-          ORDER BY peak_delta_mw DESC, year, quarter, scenario LIMIT 1)
+    f"""SELECT * FROM ({_BACKTEST.rstrip()}, {_ERRORS}
+        SELECT * FROM ({_best_model("best_test_rmse", "test")} UNION ALL {_best_model("best_val_rmse", "val")}))
+      UNION ALL SELECT * FROM ({_DAILY_STRAIN.rstrip()}{_STRAIN_CTE} SELECT * FROM (
+        (SELECT 'max_peak_uplift' AS fact, scenario AS subject, year || 'Q' || quarter AS quarter_label,
+                peak_delta_mw AS value FROM strain ORDER BY peak_delta_mw DESC, year, quarter, scenario LIMIT 1)
         UNION ALL (SELECT 'max_high_hours_increase', scenario, year || 'Q' || quarter, high_hours_delta::DOUBLE
-          FROM strain ORDER BY high_hours_delta DESC, year, quarter, scenario LIMIT 1))""",
+          FROM strain ORDER BY high_hours_delta DESC, year, quarter, scenario LIMIT 1)))""",
 )
 def report_facts(spark, sf):
-    """Scenario peaks of two quarters take the place of two models' errors."""
-    strain = rounded(daily_strain(spark, sf), 4)
-    at = {q: (F.col("year") == 2000) & (F.col("quarter") == q) for q in (1, 2)}
-    errors = (
-        strain.where("scenario <> 'baseline'")
-        .groupBy(F.col("scenario").alias("model"))
-        .agg(
-            F.max(F.when(at[1], F.col("predicted_peak_mw"))).alias("test_rmse"),
-            F.max(F.when(at[2], F.col("predicted_peak_mw"))).alias("val_rmse"),
-        )
-    )
-    return reports.report_facts(errors, strain)
+    """From the back-test of two models and the strain of the daily forecast."""
+    dataset, models = two_models(spark, sf)
+    table = backtest.metrics_table(backtest.predictions(dataset, models), [m.name for m in models])
+    return reports.report_facts(rounded(table, 2), rounded(daily_strain(spark, sf), 4))

@@ -22,7 +22,8 @@ _TURN = "1998-01-01"
 
 
 def demand_folder(spark, sf) -> str:
-    """Raw demand CSV whose column order changes in 1998."""
+    """Raw demand CSV whose column order changes in 1998; later files begin with a block of
+    comments and end each line with one."""
     folder = stage_path(spark, "raw-demand")
     raw = daily_demand_raw(spark, sf).select(
         F.col("timestamp").cast("date").alias("Date"),
@@ -32,16 +33,37 @@ def demand_folder(spark, sf) -> str:
     )
     raw.where(F.col("Date") < _TURN).write.option("header", True).csv(f"{folder}/early")
     late = raw.where(F.col("Date") >= _TURN).select("Ontario Demand", "Date", "Market Demand", "Hour")
-    late.write.option("header", True).csv(f"{folder}/late")
+    # a partition sorted by place keeps the comments and the header above the rows
+    lead = [(-100 + i, f"\\ line {i}") for i in range(40)] + [(-1, "Ontario Demand,Date,Market Demand,Hour")]
+    head = spark.createDataFrame(lead, "place long, value string")
+    line = F.concat(F.to_csv(F.struct(*late.columns)), F.lit(" \\ said later"))
+    rows = head.unionByName(late.select(F.lit(0).cast("long").alias("place"), line.alias("value")))
+    rows.repartition(1).sortWithinPartitions("place").select("value").write.text(f"{folder}/late")
     return folder
 
 
+@query(
+    "q10_raw_headers",
+    """SELECT DISTINCT 'late' AS folder, unnest(['Date', 'Hour', 'Market Demand', 'Ontario Demand']) AS missing FROM orders
+       WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+       UNION ALL SELECT DISTINCT 'narrow', 'Market Demand' FROM orders""",
+)
+def raw_headers(spark, sf):
+    """Files whose header stands far down, and files whose header lacks a column."""
+    folder = demand_folder(spark, sf)
+    narrow = daily_demand_raw(spark, sf).selectExpr("CAST(timestamp AS DATE) AS Date", "1 AS Hour", "ontario_demand_mw AS `Ontario Demand`")
+    narrow.write.option("header", True).csv(f"{folder}/narrow")
+    found = demand.header_findings(spark, folder, "*.csv").unionByName(demand.header_findings(spark, folder, "*.txt"))
+    place = F.element_at(F.split("path", "/"), -2).alias("folder")
+    return found.select(place, F.explode("missing").alias("missing")).distinct()
+
+
 @query(
     "s1_s2_demand_csv",
     sql.ctes(sql.DEMAND_RAW) + "SELECT * FROM demand_raw",
 )
 def demand_csv(spark, sf):
-    rows = demand.read_demand(spark, demand_folder(spark, sf), pattern="*.csv")
+    rows = demand.read_demand(spark, demand_folder(spark, sf), pattern="*.{csv,txt}")
     return rows.drop("source_file")
 
 
@@ -52,7 +74,7 @@ def demand_csv(spark, sf):
          round(market_demand_mw, 4) AS market_demand_mw, is_imputed FROM demand""",
 )
 def ingested_demand(spark, sf):
-    raw = demand.read_demand(spark, demand_folder(spark, sf), pattern="*.csv")
+    raw = demand.read_demand(spark, demand_folder(spark, sf), pattern="*.{csv,txt}")
     filled = demand.hourly_demand(raw, freq="1 day")
     return rounded(filled.drop("source_file"), 4)
 

@@ -42,17 +42,24 @@ def exact_percentile(
         F.count("*").alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max")
     )
 
+    # the slots and the ranked values below read the same columns of the counts, so that the
+    # values are scanned and shuffled once for both
     by_slot = Window.partitionBy(*keys).orderBy("__slot")
     slots = (
         counts.groupBy(*keys, "__slot")
-        .agg(F.sum("__n").alias("__n"))
+        .agg(
+            F.sum("__n").alias("__n"),
+            F.count("__inside").alias("__known"),
+            F.min("__min").alias("__least"),
+            F.max("__max").alias("__most"),
+        )
         .withColumn("__upto", F.sum("__n").over(by_slot))
         .withColumn("__rank", (F.sum("__n").over(Window.partitionBy(*keys)) - 1) * F.lit(p))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
     )
     low, high = F.floor("__rank"), F.ceil("__rank")
     holding = slots.where(_covers(low) | _covers(high)).select(
-        *[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__slot").alias("__of___slot"), "__before", "__rank"
+        *[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__slot").alias("__of___slot"), "__before", "__rank", "__known", "__least", "__most"
     )
 
     # few rows: one or two slots per group
@@ -86,11 +93,12 @@ def _covers(rank: Column) -> Column:
 def _value_at(rank: Column) -> Column:
     """The value of the run that covers this rank; next to the bracket, the largest value
     below it or the smallest above it."""
-    here, inside = _covers(rank), F.col("__inside").isNotNull()
+    here, inside = _covers(rank), F.col("__known") > 0
     missed = F.raise_error(F.lit("quantile sketch missed the wanted rank")).cast("double")
     return (
-        F.when(here & (inside | (rank == F.col("__before"))), F.col("__min"))
-        .when(here & (rank == F.col("__upto") - 1), F.col("__max"))
+        F.when(here & inside, F.col("__min"))
+        .when(here & (rank == F.col("__before")), F.col("__least"))
+        .when(here & (rank == F.col("__upto") - 1), F.greatest("__max", "__most"))
         .when(here, missed)
     )
 
