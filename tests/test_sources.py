@@ -200,3 +200,18 @@ def test_scenario_file(spark, tmp_path):
     (tmp_path / "none.json").write_text("{}")
     with pytest.raises(Exception):
         tables.read_scenarios(spark, f"{tmp_path}/none.json").collect()
+
+
+def test_stages_are_removed(spark):
+    import os
+
+    from tidewatt.session import _written, remove_stages, staged
+
+    staged(spark.range(3), "some").count()
+    path = _written[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    kept = _written[:-1]
+    del _written[:-1]  # other tests still read theirs
+    remove_stages(spark)
+    _written.extend(kept)
+    assert not os.path.exists(path)

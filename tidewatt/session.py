@@ -20,6 +20,7 @@ SETTINGS = {
 }
 
 _local_base: str | None = None
+_written: list[str] = []
 
 
 def build_session(app: str = "tidewatt", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,7 +55,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder for one written stage."""
-    return f"{shared_folder(spark)}/tidewatt/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewatt/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Deletes the stages that this process wrote. Call it when no frame that reads them is in use."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
