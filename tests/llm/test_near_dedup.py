@@ -62,9 +62,9 @@ def bucket_of(texts, group=None):
     column = near_dedup.pa.array(texts)
     sets = near_dedup.shingles_of(column)
     rows = np.arange(len(texts))
-    odd, samples = near_dedup.odd_sketches(sets, rows)
+    odd = near_dedup.odd_sketches(sets, rows)
     group = rows if group is None else np.array(group)
-    return near_dedup.Bucket(near_dedup.node_ids(sets, rows), group, sets.counts, samples, np.ascontiguousarray(odd).view(np.uint64))
+    return near_dedup.Bucket(near_dedup.node_ids(sets, rows), group, sets.counts, np.ascontiguousarray(odd).view(np.uint64), near_dedup.band_keys(sets, rows).view(np.int64), 0)
 
 
 def edited(r, words, edits):
@@ -74,14 +74,23 @@ def edited(r, words, edits):
     return " ".join(out)
 
 
-def test_forest_joins_what_is_similar_and_no_more():
+def test_forest_and_partners_propose_what_is_similar_and_no_more():
     r = np.random.default_rng(1)
     texts = [edited(r, [f"{k}w{i}" for i in range(600)], 2) for k in range(3) for _ in range(20)]
-    pairs = near_dedup.forest(bucket_of(texts), set(), 1)
+    bucket = bucket_of(texts)
+    pairs = near_dedup.forest(bucket)
     assert len(pairs) == 57 and all(a // 20 == b // 20 for a, b in pairs)
-    again = near_dedup.forest(bucket_of(texts), set(pairs), 1)
-    assert len(again) == 57 and not {frozenset(p) for p in pairs} & {frozenset(p) for p in again}
-    assert near_dedup.forest(bucket_of(texts, np.repeat(np.arange(3), 20)), set(), 4) == []
+    none = [None] * 60
+    two = near_dedup.partners(bucket, none, 2)
+    assert 60 <= len(two) <= 120 and all(a // 20 == b // 20 for a, b in two)
+    refused = [[bucket.node[x + y - i].tobytes() for x, y in two if i in (x, y)] for i in range(60)]
+    again = near_dedup.partners(bucket, refused, 2)
+    assert again and not set(two) & set(again)
+    assert len(near_dedup.partners(bucket, none, 99)) == 3 * 190
+    later = bucket._replace(band=near_dedup.BANDS - 1)
+    met = (bucket.keys[:, None, :-1] == bucket.keys[:, :-1]).any(axis=2)
+    assert all(not met[a, b] for a, b in near_dedup.partners(later, none, 99)) and met.sum() > 60
+    assert near_dedup.partners(bucket_of(texts, np.repeat(np.arange(3), 20)), none, 99) == []
 
 
 @pytest.mark.parametrize("words", [6, 30, 200, 1000, 8000])
@@ -91,10 +100,10 @@ def test_sketches_pass_similar_sets_and_stop_others(words):
     base = [f"w{i}" for i in range(words)]
     kept = max(1, round((words - 4) * 6 / 7) + 4)
     pairs = [(" ".join([f"a{i}x{k}" for i in range(words - kept)] + base[:kept]), " ".join(base[:kept] + [f"b{i}x{k}" for i in range(words - kept)])) for k in range(60)]
-    apart = [bucket_of(list(p)).apart(0)[1] for p in pairs]
+    apart = [bucket_of(list(p)).apart(slice(0, 1))[0, 1] for p in pairs]
     sets = [tuple(map(shingles, p)) for p in pairs]
     similar = [4 * len(a & b) >= 3 * len(a | b) for a, b in sets]
     assert all(d <= 1 for d, s in zip(apart, similar) if s)
     if words >= 1000:
-        far = [bucket_of([edited(r, base, words // 12), edited(r, base, words // 12)]).apart(0)[1] for _ in range(20)]
+        far = [bucket_of([edited(r, base, words // 12), edited(r, base, words // 12)]).apart(slice(0, 1))[0, 1] for _ in range(20)]
         assert min(far) > 1

@@ -1,17 +1,19 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
-1. Every document gets its distinct word shingles, MinHash samples, one key for each band of
-   samples, and an odd sketch: the samples folded into a parity bitmap. Documents with the
-   same shingles are one class from here on.
+1. Every document gets its distinct word shingles, MinHash samples with one key for each band
+   of samples, and an odd sketch. The sketch folds one-permutation MinHash samples (the least
+   hash in each of 4,096 equal ranges) into a parity bitmap. Documents with the same shingles
+   are one class from here on.
 2. Classes that share a band key meet in a bucket. Inside it the XOR of two sketches counts
    differing samples, and a forest of the most similar pairs is proposed: at most one pair
    less than there are members, never all pairs.
-3. Proposed pairs are confirmed on the full sets. Confirmed links are contracted, refused
-   pairs are remembered, and buckets that still hold several components propose again, with
-   twice as many disjoint forests each round, until none has a pair left.
+3. Proposed pairs are confirmed on the full sets. Confirmed links are contracted and refused
+   pairs are remembered. In buckets that still hold several components, each member proposes
+   its 16 most similar partners in other components, then 256, and so on, until none is left.
 
-A pair at similarity 0.75 shares a band with probability 1 - (1 - 0.75**4)**32 = 1 - 5e-6
-and passes the sketch at more than four standard deviations. Buckets above ``block`` members
+A pair at similarity 0.75 shares a band with probability 1 - (1 - 0.75**4)**32 = 1 - 5e-6,
+and the sketch passes it unless samples and bitmap together are more than four standard
+deviations off. Buckets above ``block`` members
 are split: first into blocks by hash, and where those leave several components, into all
 pairs of blocks, so that no pair goes untested and no task holds more than two blocks.
 
@@ -38,9 +40,11 @@ from tidewatt.session import staged
 SHINGLE = 5
 SIMILAR = 75  # of 100
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 256
-FARTHEST = 88  # differing sketch bits that still may be similar; 0.75 expects 50, with a deviation of 8
+BINS = 4096  # one-permutation samples in a sketch
+SKETCH_BITS = 4096
+DEVIATIONS = 4.5
 BLOCK = 4096
+ROWS_AT_ONCE = 64  # members measured against all others at once
 
 _samples = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 FACTORS, TERMS = _samples[: BANDS * ROWS] | np.uint64(1), _samples[BANDS * ROWS :]
@@ -92,19 +96,50 @@ def node_ids(sets: Shingles, rows: np.ndarray) -> np.ndarray:
     return np.stack(sums, axis=1)
 
 
-def sketches(sets: Shingles, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketches of the texts that have shingles."""
-    first, n = sets.first[:-1][rows], len(rows)
-    keys = np.zeros((n, BANDS), np.uint64)
-    flips = np.zeros(n * SKETCH_BITS, np.int64)
-    row = np.arange(n)
+def band_keys(sets: Shingles, rows: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHash samples of the texts that have shingles."""
+    first = sets.first[:-1][rows]
+    keys = np.zeros((len(rows), BANDS), np.uint64)
     for k in range(BANDS * ROWS):
         sample = np.minimum.reduceat((sets.hashes * FACTORS[k] + TERMS[k]) >> np.uint64(32), first)
-        band = k // ROWS
-        keys[:, band] = mixed(keys[:, band] ^ sample ^ (np.uint64(k + 1) << np.uint64(40)))
-        bit = mixed(sample ^ TERMS[k]) % np.uint64(SKETCH_BITS)
-        flips[row * SKETCH_BITS + bit.astype(np.int64)] += 1
-    return keys, np.packbits((flips & 1).astype(bool).reshape(n, SKETCH_BITS), axis=1)
+        keys[:, k // ROWS] = mixed(keys[:, k // ROWS] ^ sample ^ (np.uint64(k + 1) << np.uint64(40)))
+    return keys
+
+
+def odd_sketches(sets: Shingles, rows: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the least hash in each range of hashes."""
+    row = np.repeat(np.arange(len(rows)), sets.counts[rows])
+    range_ = (sets.hashes >> np.uint64(64 - int(np.log2(BINS)))).astype(np.int64)
+    least = np.ones(len(row), bool)  # hashes of a text are in order
+    least[1:] = (range_[1:] != range_[:-1]) | (row[1:] != row[:-1])
+    bit = (mixed(sets.hashes[least] ^ TERMS[0]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    out = np.zeros((len(rows), SKETCH_BITS // 8), np.uint8)
+    np.bitwise_xor.at(out, (row[least], bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return out
+
+
+def samples_of(size: np.ndarray) -> np.ndarray:
+    """How many ranges of hashes so many shingles are expected to hit."""
+    return BINS * -np.expm1(size * np.log1p(-1 / BINS))
+
+
+def farthest(size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many bits the sketches of similar sets may differ in, for sets of these sizes.
+
+    At the least similarity the union has (sizes) * 100 / 175 shingles. Its samples are drawn
+    from them without replacement, so the number of common samples has a known mean and
+    deviation; each sample that differs flips a bit, and bits that are hit twice are lost.
+    """
+    j = SIMILAR / 100
+    union = np.maximum((size + other) / (1 + j), 2.0)
+    drawn = samples_of(union)
+    deviation = np.sqrt(drawn * j * (1 - j) * np.maximum(union - drawn, 0) / (union - 1))
+    differing = np.maximum(samples_of(size) + samples_of(other) - 2 * j * drawn, 1.0)
+    loss = np.exp(-2 * differing / SKETCH_BITS)
+    noise = np.maximum(SKETCH_BITS / 4 * (1 - loss * loss) - differing * loss * loss, 0)
+    slack = DEVIATIONS * np.sqrt(4 * deviation * deviation * loss * loss + noise)
+    # no more bits differ than samples do
+    return np.minimum(SKETCH_BITS / 2 * (1 - loss) + slack, differing + 2 * DEVIATIONS * deviation) + 1
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -120,74 +155,95 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 place[rows] = np.arange(len(rows))
                 take = pa.array(place, mask=place < 0)
                 if len(rows):
-                    keys, odd = sketches(sets, rows)
-                    nodes = fixed_binary(node_ids(sets, rows))
+                    keys, nodes = band_keys(sets, rows), fixed_binary(node_ids(sets, rows))
+                    odd = fixed_binary(odd_sketches(sets, rows))
                 else:
-                    keys, odd, nodes = np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_BITS // 8), np.uint8), pa.array([], pa.binary())
+                    keys = np.zeros((0, BANDS), np.uint64)
+                    nodes = odd = pa.array([], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-                odd = fixed_binary(odd) if len(rows) else pa.array([], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets.counts.astype(np.int64)), nodes.take(take), lists.take(take), odd.take(take)],
+                    [part.column(0), pa.array(sets.counts.astype(np.int64)), *[column.take(take) for column in (nodes, lists, odd)]],
                     names=["doc_id", "n_shingles", "node", "keys", "sketch"],
                 )
 
     return narrow.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, sketch binary")
 
 
-def forest(sketch: np.ndarray, size: np.ndarray, group: np.ndarray, refused: set[tuple[int, int]], rounds: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members that join its groups, most similar first.
+class Bucket(NamedTuple):
+    """Members of a bucket, or of two of its blocks."""
 
-    ``rounds`` spanning forests without a common pair, so that a refused pair has others
-    beside it. Members of one group are joined already.
-    """
-    m, never = len(size), SKETCH_BITS + 1
-    ban: dict[int, list[int]] = {}
-    for i, j in refused:
-        ban.setdefault(i, []).append(j)
-        ban.setdefault(j, []).append(i)
-    out: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        inside = np.zeros(m, bool)
-        near, source = np.full(m, never), np.zeros(m, np.int64)
-        made = 0
-        for _ in range(m):
-            v = int(np.argmin(np.where(inside, never + 1, near)))
-            if 0 <= near[v] <= FARTHEST:
-                i = int(source[v])
-                out.append((i, v))
-                ban.setdefault(i, []).append(v)
-                ban.setdefault(v, []).append(i)
-                made += 1
-            inside[v] = True
-            away = np.bitwise_count(sketch ^ sketch[v]).sum(axis=1).astype(np.int64)
-            away[(away > FARTHEST) | (100 * np.minimum(size, size[v]) < SIMILAR * np.maximum(size, size[v]))] = never
-            if v in ban:
-                away[ban[v]] = never
-            away[group == group[v]] = -1
-            better = (away < near) & ~inside
-            near[better], source[better] = away[better], v
-        if not made:
-            break
+    node: np.ndarray
+    group: np.ndarray  # equal for members that are known to be in one component
+    size: np.ndarray
+    sketch: np.ndarray
+    keys: np.ndarray  # of all bands
+    band: int  # the one whose key made this bucket
+
+    def apart(self, rows: slice) -> np.ndarray:
+        """Differing bits of some members' and all members' sketches, in units of what similar sets may have.
+
+        Infinite for pairs that meet in an earlier band, so that each pair is proposed in one bucket.
+        """
+        size = self.size[rows, None]
+        bits = np.bitwise_count(self.sketch[rows, None] ^ self.sketch).sum(axis=2)
+        out = bits / farthest(self.size, size)
+        out[100 * np.minimum(self.size, size) < SIMILAR * np.maximum(self.size, size)] = np.inf
+        for band in range(self.band):
+            out[self.keys[rows, band, None] == self.keys[:, band]] = np.inf
+        return out
+
+
+def forest(bucket: Bucket) -> list[tuple[int, int]]:
+    """Pairs that join the members that may be similar, most similar first, into trees."""
+    m = len(bucket.size)
+    near, source, waiting = np.full(m, np.inf), np.zeros(m, np.int64), np.ones(m, bool)
+    out = []
+    for _ in range(m):
+        v = int(np.argmin(np.where(waiting, near, np.inf)))
+        if not waiting[v]:
+            v = int(np.argmax(waiting))
+        if near[v] <= 1:
+            out.append((int(source[v]), v))
+        waiting[v] = False
+        away = bucket.apart(slice(v, v + 1))[0]
+        better = (away < near) & waiting
+        near[better], source[better] = away[better], v
     return out
 
 
-def propose(buckets: DataFrame, rounds: int) -> DataFrame:
-    """(a, b): pairs to confirm, from rows (key, low, high, node, component, n_shingles, sketch, refused)."""
+def partners(bucket: Bucket, refused: list, k: int) -> list[tuple[int, int]]:
+    """For each member the ``k`` most similar ones of other groups that were not refused yet."""
+    m, out = len(bucket.size), set()
+    place = {n.tobytes(): i for i, n in enumerate(bucket.node)} if any(refused) else {}
+    for at in range(0, m, ROWS_AT_ONCE):
+        rows = slice(at, min(at + ROWS_AT_ONCE, m))
+        away = bucket.apart(rows)
+        away[bucket.group[rows, None] == bucket.group] = np.inf
+        for i in range(at, rows.stop):
+            banned = [place[n] for n in refused[i] or () if n in place]
+            if banned:
+                away[i - at, banned] = np.inf
+        if k < m:
+            best = np.argpartition(away, k - 1, axis=1)[:, :k]
+            x = np.repeat(np.arange(len(away)), k)
+            y = best.reshape(-1)
+            close = away[x, y] <= 1
+            x, y = x[close], y[close]
+        else:
+            x, y = np.nonzero(away <= 1)
+        x = x + at
+        out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+    return sorted(out)
+
+
+def propose(buckets: DataFrame, k: int) -> DataFrame:
+    """(a, b): pairs to confirm, a forest or ``k`` partners of each member, from rows (key, low, high, node, component, n_shingles, sketch, refused, keys)."""
     rows = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def of_bucket(node, group, size, sketch, refused) -> list[tuple[int, int]]:
-        if len(size) == 1 or (group == group[0]).all(axis=0).all():
+    def of_bucket(bucket: Bucket, refused: list) -> list[tuple[int, int]]:
+        if len(bucket.size) == 1 or (bucket.group == bucket.group[0]).all():
             return []
-        code = np.unique(group, axis=0, return_inverse=True)[1].reshape(-1)
-        banned: set[tuple[int, int]] = set()
-        if any(refused):
-            place = {n.tobytes(): i for i, n in enumerate(node)}
-            banned = {(i, place[other]) for i, others in enumerate(refused) for other in others or () if other in place}
-        if len(size) == 2:
-            apart = int(np.bitwise_count(sketch[0] ^ sketch[1]).sum())
-            fits = apart <= FARTHEST and 100 * size.min() >= SIMILAR * size.max() and not banned
-            return [(0, 1)] if fits else []
-        return forest(sketch, size, code, banned, rounds)
+        return partners(bucket, refused, k) if k else forest(bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -199,12 +255,15 @@ def propose(buckets: DataFrame, rounds: int) -> DataFrame:
             whole = cuts if last else cuts[:-1]
             end = int(whole[-1])
             node, group = (from_binary(table.column(k).slice(0, end), 2) for k in (3, 4))
+            group = np.unique(group, axis=0, return_inverse=True)[1].reshape(-1)
             size = table.column(5).to_numpy()[:end]
             sketch = from_binary(table.column(6).slice(0, end), SKETCH_BITS // 64)
             refused = table.column(7).slice(0, end).to_pylist()
+            keys = pa.concat_arrays(table.column(8).slice(0, end).chunks).flatten().to_numpy().reshape(-1, BANDS) if end else np.zeros((0, BANDS), np.int64)
+            band = (keys == marks[:end, :1]).argmax(axis=1)
             a, b = [], []
             for x, y in zip(whole[:-1].tolist(), whole[1:].tolist()):
-                for i, j in of_bucket(node[x:y], group[x:y], size[x:y], sketch[x:y], refused[x:y]):
+                for i, j in of_bucket(Bucket(node[x:y], group[x:y], size[x:y], sketch[x:y], keys[x:y], int(band[x])), refused[x:y]):
                     a.append(x + i)
                     b.append(x + j)
             sides = [fixed_binary(node[np.array(s, np.int64)]) if s else pa.array([], pa.binary()) for s in (a, b)]
@@ -275,7 +334,7 @@ def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     # sets of fewer than three shingles are similar to equal sets only
     keyed = classes.where("n_shingles >= 3").select(F.explode("keys").alias("key"), "node")
     full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = staged(keyed.join(full, "key"), "met").join(classes.select("node", "n_shingles", "sketch"), "node")
+    met = staged(keyed.join(full, "key"), "met").join(classes.select("node", "n_shingles", "sketch", "keys"), "node")
     members = staged(met, "members")
 
     links = refused = sets = None
@@ -290,8 +349,8 @@ def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             rows = rows.join(several, "key", "left_semi")
             of_node = refused.select("a", "b").unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refused"))
             rows = rows.join(of_node, "node", "left")
-        columns = ["key", "low", "high", "node", "component", "n_shingles", "sketch", "refused"]
-        pairs = staged(propose(_blocks(rows, step == 0, block).select(columns), 2 ** max(0, step - 1)), "pairs")
+        columns = ["key", "low", "high", "node", "component", "n_shingles", "sketch", "refused", "keys"]
+        pairs = staged(propose(_blocks(rows, step == 0, block).select(columns), 0 if step == 0 else 16**step), "pairs")
         if step and pairs.isEmpty():
             break
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -303,7 +362,8 @@ def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         good, bad = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), judged.where("NOT linked").select("a", "b")
         links = good if links is None else links.unionByName(good)
         refused = bad if refused is None else refused.unionByName(bad)
-        labels = staged(components(links), "labels")
+        if labels is None or not good.isEmpty():
+            labels = staged(components(links), "labels")
         step += 1
 
     ids = classes.select("node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
