@@ -35,6 +35,7 @@ from tidewatt.session import staged
 ORDER = 2
 PRIOR = 100.0
 KEYS_PER_OWNER = 400_000
+PACK_BYTES = 3 << 20  # n-grams take more memory than words
 END = np.uint64(0x9E3779B97F4A7C15)  # the hash of the end token; no word of bytes is checked against it
 
 
@@ -112,7 +113,7 @@ def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def text_scores(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, prior: float = PRIOR, keys_per_owner: int = KEYS_PER_OWNER, pack_bytes: int = P.PACK_BYTES
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, prior: float = PRIOR, keys_per_owner: int = KEYS_PER_OWNER, pack_bytes: int = PACK_BYTES
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     narrow = docs.select(doc_id, text)

@@ -54,7 +54,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes; at least one row each."""
-    _, offsets = utf8(batch.column(column))
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
