@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatt.llm.automaton import SuffixAutomaton
-from tidewatt.llm.frames import Shared, add_struct, free_name
-from tidewatt.llm.words import ALNUM_BYTES, covered, hash_words, per_text, split_words, utf8, without_words
+from tidewatt.llm.frames import Shared, add_struct, free_name, small_batches
+from tidewatt.llm.words import ALNUM_BYTES, covered, hash_words, per_text, slices, split_words, utf8, without_words
 from tidewatt.session import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -226,15 +226,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
 
     def cut(batches):
         for batch in batches:
-            columns = list(batch.columns[:-1])
-            hits = batch.column(batch.num_columns - 1).field("hit_words")
-            words = split_words(columns[index], ALNUM_BYTES, False)
-            gone = np.zeros(len(words.starts), bool)
-            gone[np.repeat(words.first[:-1], pc.list_value_length(hits).to_numpy()) + hits.flatten().to_numpy()] = True
-            columns[index] = without_words(columns[index], words, gone)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    return kept.mapInArrow(cut, docs.schema)
+            for part in slices(batch, index):
+                columns = list(part.columns[:-1])
+                hits = part.column(part.num_columns - 1).field("hit_words")
+                words = split_words(columns[index], ALNUM_BYTES, False)
+                gone = np.zeros(len(words.starts), bool)
+                gone[np.repeat(words.first[:-1], pc.list_value_length(hits).to_numpy()) + hits.flatten().to_numpy()] = True
+                columns[index] = without_words(columns[index], words, gone)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+
+    return small_batches(kept).mapInArrow(cut, docs.schema)
 
 
 def leak_digest(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -14,6 +14,19 @@ from pyspark.sql import types as T
 from tidewatt.llm.words import slices
 
 
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself. Its session hands rows to Python in batches of at most ``BATCH_BYTES`` from here on,
+    since a batch of long texts is held several times over in a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = str(df.sparkSession.conf.get(name, "")).rstrip("b")
+    if not set_to.isdigit() or int(set_to) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -32,7 +45,7 @@ def map_texts(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, int], pa
             for part in slices(batch, index):
                 yield work(part, index)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def add_struct(df: DataFrame, text: str, name: str, fields: T.StructType, work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:

@@ -144,7 +144,7 @@ def without_words(column: pa.Array, words: Words, gone: np.ndarray) -> pa.Array:
     its text with it.
     """
     raw, offsets = utf8(column)
-    change = np.zeros(len(raw) + 1, np.int64)
+    change = np.zeros(len(raw) + 1, np.int32)
     if gone.any():
         upto = np.append(words.starts[1:], len(raw))
         upto = np.minimum(upto, offsets[1:][words.text_of_word()])
