@@ -21,7 +21,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """The frame itself. Its session hands rows to Python in batches of at most ``BATCH_BYTES`` from here on,
     since a batch of long texts is held several times over in a task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_to = str(df.sparkSession.conf.get(name, "")).rstrip("b")
+    set_to = df.sparkSession.conf.get(name).rstrip("b")
     if not set_to.isdigit() or int(set_to) > BATCH_BYTES:
         df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
