@@ -9,7 +9,8 @@ exact inner product in double precision. The number of parts probed is the small
 reaches ``target`` recall on queries of the sample against brute force.
 
 Equal vectors are one entry that carries its smallest ids, as many as a result can use, so
-copies cost nothing. Large parts are dealt out in blocks, and so are the queries of a part;
+copies cost nothing. A query's ``k`` best of the sample give it a floor that no result can be
+below, so a part returns only what may still count; those best are results themselves. Large parts are dealt out in blocks, and so are the queries of a part;
 a task ranks one block of queries against one block of vectors. No part is cut short.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
@@ -145,6 +146,24 @@ def fit(x: np.ndarray, parts: int, k: int, target: float, epochs: int = 25, batc
     return router._replace(probes=int(np.argmax(recall >= target)) + 1)
 
 
+def nearest_in_sample(x: np.ndarray, ids: list[list[int]], names: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
+    """For each query the ``k`` nearest rows of the sample but its own, as ids and inner products,
+    and a floor: the ``k``-th of them less what rounding may change, or minus infinity if there are fewer."""
+    floor, vecs, scores = np.full(len(queries), -np.inf), [], []
+    take = min(k + 1, len(x))
+    for at in range(0, len(queries), 256):
+        q = queries[at : at + 256]
+        best = np.argpartition(-(q @ x.T), take - 1, axis=1)[:, :take] if take else np.zeros((len(q), 0), np.int64)
+        score = np.einsum("ij,ikj->ik", q, x[best])
+        for i in range(len(q)):
+            rows = sorted((-s, v) for s, entry in zip(score[i].tolist(), best[i].tolist()) for v in ids[entry] if v != names[at + i])[:k]
+            vecs.append([v for _, v in rows])
+            scores.append([-s for s, _ in rows])
+            if len(rows) == k:
+                floor[at + i] = -rows[-1][0] - 1e-9 * (1 + abs(rows[-1][0]))
+    return floor, vecs, scores
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
@@ -180,22 +199,29 @@ def search(
     entries = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # its own id may be one of them
     entries = staged(entries.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
     count = entries.count()
-    some = entries.orderBy(F.xxhash64("embedding"), "embedding").limit(sample).select("embedding").toArrow()  # bounded by its limit
+    some = entries.orderBy(F.xxhash64("embedding"), "embedding").limit(sample).select("embedding", "ids").toArrow()  # bounded by its limit
     x = matrix(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((0, width))
     parts = min(MOST_PARTS, max(1, count // part_rows))
     router = Shared(spark, fit(x, parts, k, target) if len(x) > 1 else Router(1.0, np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1))
 
+    kept = Shared(spark, (x, some.column("ids").to_pylist()))
+
     def route(batches, probes: int | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
             best = router.get().best(matrix(batch.column(1), width), probes or router.get().probes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.reshape(-1).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["what", "embedding", "parts"])
+            columns, names = [batch.column(0), batch.column(1), lists], ["what", "embedding", "parts"]
+            if probes is None:
+                floor, vecs, scores = nearest_in_sample(*kept.get(), batch.column(0).to_numpy(), matrix(batch.column(1), width), k)
+                columns += [pa.array(floor), pa.array(vecs, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
+                names += ["floor", "vecs", "scores"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     placed = staged(entries.select(F.col("ids").alias("what"), "embedding").mapInArrow(lambda b: route(b, 1), "what array<bigint>, embedding array<double>, parts array<int>").select(F.col("what").alias("ids"), "embedding", F.col("parts")[0].alias("part")), "placed")
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("what"), "embedding").mapInArrow(lambda b: route(b, None), "what bigint, embedding array<double>, parts array<int>")
-    asked = staged(asked.select(F.col("what").alias("query_id"), "embedding", F.explode("parts").alias("part")), "asked")
+    routed = staged(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("what"), "embedding").mapInArrow(lambda b: route(b, None), "what bigint, embedding array<double>, parts array<int>, floor double, vecs array<bigint>, scores array<double>"), "routed")
+    asked = staged(routed.select(F.col("what").alias("query_id"), "embedding", "floor", F.explode("parts").alias("part")), "asked")
 
     def blocks(df: DataFrame, size: int):
         """How many blocks a part needs, as a column: at most one number for each part passes the driver."""
@@ -221,13 +247,14 @@ def search(
         c = matrix(candidates.column("embedding").combine_chunks(), width)
         names, keys = queries.column("query_id").to_numpy(), queries.column("key").to_numpy()
         q = matrix(queries.column("embedding").combine_chunks(), width)
+        floor = queries.column("floor").to_numpy()
         take = min(k + 1, len(c))
         out = []
         for at in range(0, len(q), 256):
             close = q[at : at + 256] @ c.T
-            edge = -np.partition(-close, take - 1, axis=1)[:, take - 1]
+            edge = np.maximum(-np.partition(-close, take - 1, axis=1)[:, take - 1], floor[at : at + 256])
             # keep ties at the edge, within rounding; scores below are summed the same way for all
-            row, column = np.nonzero(close >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None])
+            row, column = np.nonzero(close >= np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), edge)[:, None])
             score = np.einsum("ij,ij->i", q[at + row], c[column])
             sizes = begin[column + 1] - begin[column]
             entry = np.repeat(np.arange(len(row)), sizes)
@@ -244,5 +271,7 @@ def search(
 
     keyed = left.withColumn("key", F.xxhash64("embedding"))
     found = keyed.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInArrow(rank, "query_id bigint, key bigint, vec_id bigint, score double")
+    of_sample = routed.select(F.col("what").alias("query_id"), F.xxhash64("embedding").alias("key"), F.inline(F.arrays_zip(F.col("vecs").alias("vec_id"), F.col("scores").alias("score"))))
+    found = found.unionByName(of_sample).dropDuplicates(["query_id", "key", "vec_id"])
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
