@@ -48,7 +48,7 @@ LOWER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE:
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 LONG_WORD = 1024  # symbols from which a word is encoded on its own
 CELLS = 1 << 21  # word symbols in numpy at once
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def byte_characters() -> list[str]:

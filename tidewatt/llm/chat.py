@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatt.llm.frames import small_batches
+from tidewatt.llm.frames import released, small_batches
 from tidewatt.llm.words import slices, utf8
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -104,7 +104,7 @@ def format_conversations(turns: DataFrame, *, conv_id: str = "conv_id", turn: st
                 held, chunk = (ids[-1],), int(chunks[-1])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(begins)), pa.array(chunks), pa.array(np.diff([*begins, len(ids)]).astype(np.int64)), formatted, loss], names=schema.names)
 
-    return small_batches(rows).mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:

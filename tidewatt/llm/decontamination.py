@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatt.llm.automaton import SuffixAutomaton
-from tidewatt.llm.frames import Shared, add_struct, free_name, small_batches
+from tidewatt.llm.frames import Shared, add_struct, free_name, released, small_batches
 from tidewatt.llm.words import ALNUM_BYTES, covered, hash_words, per_text, slices, split_words, utf8, without_words
 from tidewatt.session import staged
 
@@ -235,7 +235,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_co
                 columns[index] = without_words(columns[index], words, gone)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
-    return small_batches(kept).mapInArrow(cut, docs.schema)
+    return small_batches(kept).mapInArrow(lambda batches: released(cut(batches)), docs.schema)
 
 
 def leak_digest(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:

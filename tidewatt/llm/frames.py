@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -17,6 +18,17 @@ from tidewatt.llm.words import slices
 BATCH_BYTES = 16 << 20
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then gives the system back what the allocators hold, since a worker stays for other tasks."""
+    yield from batches
+    del batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """The frame itself. Its session hands rows to Python in batches of at most ``BATCH_BYTES`` from here on,
     since a batch of long texts is held several times over in a task."""
@@ -45,7 +57,7 @@ def map_texts(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, int], pa
             for part in slices(batch, index):
                 yield work(part, index)
 
-    return small_batches(df).mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def add_struct(df: DataFrame, text: str, name: str, fields: T.StructType, work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatt.llm.components import components
-from tidewatt.llm.frames import small_batches
+from tidewatt.llm.frames import released, small_batches
 from tidewatt.llm.words import NON_SPACE_BYTES, hash_runs, hash_words, mixed, run_starts, slices, split_words
 from tidewatt.session import staged
 
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     names=["doc_id", "n_shingles", "node", "keys", "sketch"],
                 )
 
-    return small_batches(narrow).mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, sketch binary")
+    return small_batches(narrow).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, sketch binary")
 
 
 class Bucket(NamedTuple):
@@ -278,7 +278,7 @@ def propose(buckets: DataFrame, k: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs(held, True)[0]
 
-    made = small_batches(rows).mapInArrow(run, "a binary, b binary")
+    made = small_batches(rows).mapInArrow(lambda batches: released(run(batches)), "a binary, b binary")
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -297,7 +297,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> Data
                     hashes = [sets.hashes[sets.first[r] : sets.first[r + 1]].tobytes() for r in rows.tolist()]
                     yield pa.RecordBatch.from_arrays([fixed_binary(node_ids(sets, rows)), pa.array(hashes, pa.binary())], names=["node", "hashes"])
 
-    made = small_batches(texts).mapInArrow(run, "node binary, hashes binary")
+    made = small_batches(texts).mapInArrow(lambda batches: released(run(batches)), "node binary, hashes binary")
     return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -314,7 +314,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * common >= SIMILAR * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return small_batches(sides.select("a", "b", "of_a", "of_b")).mapInArrow(run, "a binary, b binary, linked boolean")
+    return small_batches(sides.select("a", "b", "of_a", "of_b")).mapInArrow(lambda batches: released(run(batches)), "a binary, b binary, linked boolean")
 
 
 def _blocks(rows: DataFrame, first: bool, block: int) -> DataFrame:

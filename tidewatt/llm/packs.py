@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatt.llm.frames import small_batches
+from tidewatt.llm.frames import released, small_batches
 from tidewatt.llm.words import slices
 from tidewatt.session import stage_path
 
@@ -58,7 +58,7 @@ def write_packs(docs: DataFrame, text: str, weigh: Callable[[pa.Array], int], pa
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"packs_{uuid.uuid4().hex}"
-    small_batches(docs).mapInArrow(pack, PACK).write.option("path", stage_path(spark, "packs")).option("compression", "none").bucketBy(buckets, "pack").saveAsTable(name)
+    small_batches(docs).mapInArrow(lambda batches: released(pack(batches)), PACK).write.option("path", stage_path(spark, "packs")).option("compression", "none").bucketBy(buckets, "pack").saveAsTable(name)
     packs = spark.table(name)
     return packs, packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
@@ -140,4 +140,4 @@ def over_packs(packs: DataFrame, replies: list[tuple[DataFrame, str]], work: Cal
                 answers = [joined(batch.column(2 + k)[i], t) for k, t in enumerate(types)]
                 yield from work(batch.column(0)[i].as_py(), unpacked(batch.column(1)[i].as_py()), *answers)
 
-    return small_batches(frame).mapInArrow(run, schema)
+    return small_batches(frame).mapInArrow(lambda batches: released(run(batches)), schema)

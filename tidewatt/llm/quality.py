@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatt.llm.frames import Shared, add_struct, free_name, small_batches
+from tidewatt.llm.frames import Shared, add_struct, free_name, released, small_batches
 from tidewatt.llm.words import NON_SPACE_BYTES, Words, hash_words, slices, split_words, utf8
 from tidewatt.session import staged
 
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
                 values = [value[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(numbers, pa.binary()), pa.array(values, pa.binary()), pa.array([s.tobytes() for s in statistics], pa.binary())], names=["id", "label", "numbers", "values", "statistics"])
 
-    extracted = small_batches(rows).mapInArrow(extract, "id string, label double, numbers binary, values binary, statistics binary")
+    extracted = small_batches(rows).mapInArrow(lambda batches: released(extract(batches)), "id string, label double, numbers binary, values binary, statistics binary")
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")

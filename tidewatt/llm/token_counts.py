@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatt.llm.frames import Shared, small_batches
+from tidewatt.llm.frames import Shared, released, small_batches
 
 LEAF = 64  # pre-tokens in a leaf when it is made
 CONTEXT = 2  # characters beyond a pre-token that its split can depend on
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class Counter:
@@ -230,5 +230,5 @@ def count_tokens(docs: DataFrame, edits: DataFrame, path: str, pattern: str, *,
         yield made(done())
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    counted = small_batches(rows).mapInArrow(run, f"doc_id {id_type}, n_before bigint, n_after bigint, n_chars_after bigint, n_pretokens bigint, n_reencoded bigint")
+    counted = small_batches(rows).mapInArrow(lambda batches: released(run(batches)), f"doc_id {id_type}, n_before bigint, n_after bigint, n_chars_after bigint, n_pretokens bigint, n_reencoded bigint")
     return counted if doc_id == "doc_id" else counted.withColumnRenamed("doc_id", doc_id)

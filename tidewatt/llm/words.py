@@ -22,7 +22,7 @@ LOWER_BYTES = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)],
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FNV_BASIS, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
-SLICE_BYTES = 4 << 20  # text handled at once; a longer text is one slice of its own
+SLICE_BYTES = 2 << 20  # text handled at once; a longer text is one slice of its own
 LONG_WORD = 48  # words above this many bytes are hashed one by one
 
 
