@@ -301,7 +301,7 @@ class Encoder:
         found = [list(self.pieces(t or "")) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for pieces in found for special, words in pieces if not special for w in words} - self.known.keys())
+        new = [w for w in {w for pieces in found for special, words in pieces if not special for w in words} if w not in self.known]
         self.known.update(zip(new, self.vocabulary.encode_words([w.encode() for w in new])))
         known, fixed = self.known, self.fixed
         return [b"".join([fixed[words[0]] if special else b"".join(map(known.__getitem__, words)) for special, words in pieces]) for pieces in found]

@@ -48,9 +48,10 @@ class Counter:
     def counts(self, words: list[str]) -> list[int]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set(words) - self.known.keys())
-        encode = self.coder.encode_ordinary
-        self.known.update((w, len(encode(w))) for w in new)
+        known, encode = self.known, self.coder.encode_ordinary
+        for word in set(words):
+            if word not in known:
+                known[word] = len(encode(word))
         return list(map(self.known.__getitem__, words))
 
 
