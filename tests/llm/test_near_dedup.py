@@ -52,6 +52,29 @@ def test_one_document_of_each_group_stays(docs_of):
     assert sorted(r.doc_id for r in made.collect()) == [2, 7, 8, 9]
 
 
+def test_rows_with_one_id_are_judged_each_by_its_text(docs_of):
+    near = [f"n{i}" for i in range(40)]
+    copy, other = " ".join(near), " ".join([*near[:39], "x"])
+    rows = [(5, "a b c d e f g"), (5, "something else that nobody has"), (5, other), (3, copy), (5, ""), (5, ""), (5, None)]
+    made = near_dedup.dedup_near(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in made), key=repr) == sorted({(5, "a b c d e f g"), (5, "something else that nobody has"), (3, copy), (5, ""), (5, None)}, key=repr)
+    # near copies under one id that is the least of their component
+    made = near_dedup.dedup_near(docs_of([(2, copy), (2, other), (2, copy), (2, "p q r s t"), (8, other)])).collect()
+    assert len(made) == 2 and {r.doc_id for r in made} == {2} and "p q r s t" in {r.text for r in made}
+
+
+def test_null_ids_do_not_keep_each_other(docs_of):
+    near = [f"n{i}" for i in range(40)]
+    copy, other = " ".join(near), " ".join([*near[:39], "x"])
+    alone = [(None, "only null ids say this"), (None, "ONLY null ids say this"), (None, "Only null ids say this")]
+    rows = [(7, copy), (None, other), (None, copy), *alone, (None, "a text of its own here"), (None, ""), (None, ""), (None, None)]
+    df = docs_of(rows).withColumnRenamed("n_words", "node").withColumnRenamed("score", "kept_id")
+    made = near_dedup.dedup_near(df)
+    assert made.columns == df.columns
+    texts = [((r.doc_id, (r.text or "").lower())) for r in made.collect()]
+    assert sorted(texts, key=repr) == sorted([(7, copy), (None, "only null ids say this"), (None, "a text of its own here"), (None, ""), (None, ""), (None, "")], key=repr)
+
+
 def test_a_chain_is_one_component(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     made = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}

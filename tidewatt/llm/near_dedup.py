@@ -19,8 +19,10 @@ pairs of blocks, so that no pair goes untested and no task holds more than two b
 
 Defined results: a null or empty text has no shingles, links with nothing and is kept;
 fewer words than a shingle are one shingle; rows that repeat an id and its text are in one
-component; a null id is never the smallest unless a component has no other, and is kept only
-then; columns beside id and text are not read.
+component; rows that repeat an id with another text are judged each by its own text; a null id
+is never the smallest unless a component has no other, and is kept only then; columns beside id
+and text are not read. ``dedup_near`` keeps one row of each component, and of rows without
+shingles all but those that repeat an id that is not null and its text.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatt.llm.components import components
-from tidewatt.llm.frames import released, small_batches
+from tidewatt.llm.frames import add_struct, free_name, released, small_batches
 from tidewatt.llm.words import NON_SPACE_BYTES, hash_runs, hash_words, mixed, run_starts, slices, split_words
 from tidewatt.session import staged
 
@@ -327,8 +330,8 @@ def _blocks(rows: DataFrame, first: bool, block: int) -> DataFrame:
     return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other")
 
 
-def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
+    """What ``find_groups`` gives, with the node and the component of each row; both null without shingles."""
     marked = staged(signatures(docs, doc_id, text), "signatures")
     per_class = marked.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = staged(per_class, "classes")
@@ -369,16 +372,50 @@ def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     ids = classes.select("node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = ids.join(least, "component").select("node", "component_id", F.lit(True).alias("has_words"))
+    of_class = ids.join(least, "component").select("node", "component", "component_id", F.lit(True).alias("has_words"))
     out = marked.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
     component = F.when(F.col("has_words"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", "node", "component", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group. Of rows that repeat a kept id, one stays."""
-    kept = staged(find_groups(docs, text=text, doc_id=doc_id, **options).where("kept").select(F.col("doc_id").alias("kept_id")).groupBy("kept_id").agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(kept.select("kept_id"), F.col(doc_id).cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.where("rows > 1 AND kept_id IS NOT NULL").isEmpty():
+def find_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    return _groups(docs, text, doc_id, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _with_nodes(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with a struct ``name`` that holds the node of each text, null without shingles."""
+
+    def work(column: pa.Array) -> list[pa.Array]:
+        sets = shingles_of(column)
+        rows = np.flatnonzero(sets.counts)
+        if not len(rows):
+            return [pa.nulls(len(column), pa.binary())]
+        place = np.full(len(column), -1)
+        place[rows] = np.arange(len(rows))
+        return [fixed_binary(node_ids(sets, rows)).take(pa.array(place, mask=place < 0))]
+
+    return add_struct(docs, text, name, T.StructType([T.StructField("node", T.BinaryType())]), work)
+
+
+def dedup_near(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group. Rows whose id does not tell them apart are told apart by their shingles."""
+    rows = staged(_groups(docs, text, doc_id, block).select("doc_id", "node", "component", "kept"), "rows")
+    kept_id, node, kept_node = (free_name(docs, name) for name in ("kept_id", "node", "kept_node"))
+    per_id = rows.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
+    kept = staged(per_id.where("kept > 0"), "kept")
+    same_id = F.col(doc_id).cast("bigint").eqNullSafe(F.col(kept_id))
+    once, repeated = kept.where("rows = 1").select(kept_id), kept.where("rows > 1").select(kept_id)
+    out = docs.join(once, same_id, "left_semi")
+    if repeated.isEmpty():
         return out
-    return out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(out.where(F.col(doc_id).isNull()))
+    # the kept rows of a component have one id
+    best = rows.where("kept AND node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias(kept_id), F.min("node").alias("node"))
+    best = best.select(kept_id, F.struct("node").alias(kept_node))
+    told = _with_nodes(docs.join(repeated, same_id, "left_semi"), text, node)
+    words = told.join(best, same_id & (F.col(node) == F.col(kept_node)), "left_semi").dropDuplicates([node])
+    none = told.where(F.col(node)["node"].isNull())
+    parts = words, none.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text]), none.where(F.col(doc_id).isNull())
+    for part in parts:
+        out = out.unionByName(part.select(docs.columns))
+    return out
