@@ -42,6 +42,13 @@ def test_gradient():
     assert after < before
 
 
+def test_statistics_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["word", "word", "word", "a b", "a b c", "b c a", None, "c a c a", "", "c"]
+    together = quality.features(quality.pa.array(texts, quality.pa.string()))[3]
+    alone = [quality.features(quality.pa.array([t], quality.pa.string()))[3][0] for t in texts]
+    assert np.array_equal(together, alone)
+
+
 @pytest.mark.parametrize("labelled", [True, False])
 def test_hostile_rows(spark, docs_of, labelled):
     rows = some_documents(3, n=30)

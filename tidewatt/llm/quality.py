@@ -68,7 +68,8 @@ def structure(words: Words, hashes: np.ndarray, raw: np.ndarray, offsets: np.nda
     head = raw[words.starts] if len(words.starts) else np.zeros(0, np.uint8)
     same = np.zeros(len(hashes))
     if len(hashes) > 2:
-        same[2:] = hashes[2:] == hashes[:-2]
+        owner = words.text_of_word()
+        same[2:] = (hashes[2:] == hashes[:-2]) & (owner[2:] == owner[:-2])
     lines = share(total(CLASSES["line"][raw], offsets) + 1, np.ones(len(size)))
     out += [
         np.log1p(size),
