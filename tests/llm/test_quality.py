@@ -61,5 +61,15 @@ def test_hostile_rows(spark, docs_of, labelled):
     assert quality.keep_good(docs_of(rows), table).columns == docs_of([]).columns
 
 
+@pytest.mark.parametrize("case", ["no labels", "null labels", "labels of other documents", "all in fold 2"])
+def test_nothing_to_train_on_keeps_every_document(spark, docs_of, case):
+    rows = some_documents(3, n=30)
+    held_out = [(d, i % 2) for i, (d, _) in enumerate(rows) if d is not None and zlib.crc32(str(d).encode()) % 4 == 2]
+    assert held_out
+    labels = {"no labels": [], "null labels": [(d, None) for d, _ in rows], "labels of other documents": [(10**9 + i, i % 2) for i in range(9)], "all in fold 2": held_out}[case]
+    made = quality.keep_good(docs_of(rows), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    assert sorted(repr((r.doc_id, r.text)) for r in made.collect()) == sorted(map(repr, rows))
+
+
 def test_empty_table(spark, docs_of):
     assert quality.quality_scores(docs_of([]), spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0

@@ -11,6 +11,8 @@ whose hashed ids come first. Fitting runs in one task, on features of bounded si
 Defined results: a null or empty text has the statistics of no words and gets a score; a
 document labelled several times counts with its mean label; null labels are ignored; rows
 that repeat an id are scored each and used for training once; a null id is in fold crc32('').
+Without any labelled document to train on, the machine is not fitted: its scores say nothing, and
+``keep_good`` keeps every document.
 """
 
 from __future__ import annotations
@@ -104,6 +106,7 @@ class Machine:
     def __init__(self, mean: np.ndarray, deviation: np.ndarray, seed: int = 7) -> None:
         inputs = HASHED + len(mean)
         self.mean, self.deviation = mean, deviation
+        self.fitted = False
         self.bias = np.zeros(1)
         self.weight = np.zeros(inputs)
         self.factor = np.random.default_rng(seed).normal(0, 0.02, (inputs, FACTORS))
@@ -161,7 +164,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Machine:
-    """A machine from the labelled documents outside fold 2, at most ``sample`` of them."""
+    """A machine from the labelled documents outside fold 2, at most ``sample`` of them; not fitted if there are none."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.avg(label).alias("label")).where(fold(F.col("id")) != 2)
     narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     ids = staged(known.join(narrow.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample), "sample")  # bounded by its limit
@@ -192,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     rows = extracted.withColumn("machine", F.lit(0)).groupBy("machine").applyInArrow(fit, "machine binary").collect()  # the bounded sample in one task
     machine = Machine(np.zeros(STATISTICS), np.ones(STATISTICS))
     if rows:
-        machine.__dict__.update(np.load(io.BytesIO(rows[0]["machine"])))
+        machine.__dict__.update(np.load(io.BytesIO(rows[0]["machine"])), fitted=True)
     return machine
 
 
@@ -214,6 +217,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` without those that score below ``threshold``."""
-    out = scored(docs, train(docs, labels, text=text, doc_id=doc_id, **options), text=text)
+    """``docs`` without those that score below ``threshold``; all of them if there is nothing to train on."""
+    machine = train(docs, labels, text=text, doc_id=doc_id, **options)
+    if not machine.fitted:
+        return docs
+    out = scored(docs, machine, text=text)
     return out.where(F.col(out.columns[-1])["score"] >= threshold).select(docs.columns)
