@@ -81,6 +81,21 @@ def test_a_chain_is_one_component(spark):
     assert made == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_a_large_group_takes_few_proposals(docs_of, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(3000))  # so long that copies share their bands
+    rows = [(i, f"{base} e{i}") for i in range(200)] + [(1000 + i, f"other text {i} of some words") for i in range(20)]
+    proposed, confirmed = [], near_dedup.confirmed
+
+    def counted(pairs, sets):
+        proposed.append(pairs.count())
+        return confirmed(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    made = near_dedup.find_groups(docs_of(rows), block=10).collect()
+    assert {r.doc_id for r in made if r.kept} == {0, *range(1000, 1020)}
+    assert sum(proposed) < 10 * len(rows), proposed
+
+
 def bucket_of(texts, group=None):
     column = near_dedup.pa.array(texts)
     sets = near_dedup.shingles_of(column)

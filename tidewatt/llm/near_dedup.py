@@ -14,8 +14,11 @@
 A pair at similarity 0.75 shares a band with probability 1 - (1 - 0.75**4)**32 = 1 - 5e-6,
 and the sketch passes it unless samples and bitmap together are more than four standard
 deviations off. Buckets above ``block`` members
-are split: first into blocks by hash, and where those leave several components, into all
-pairs of blocks, so that no pair goes untested and no task holds more than two blocks.
+are split into blocks by hash. Where those leave several components, blocks by other hashes,
+each with members of most components, propose forests between components. What is still
+apart from the largest component of its bucket is compared in pairs of blocks with everything
+there, so that no pair goes untested and no task holds more than two blocks; members of the
+largest component are not compared with each other.
 
 Defined results: a null or empty text has no shingles, links with nothing and is kept;
 fewer words than a shingle are one shingle; rows that repeat an id and its text are in one
@@ -32,7 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +51,7 @@ BINS = 4096  # one-permutation samples in a sketch
 SKETCH_BITS = 4096
 DEVIATIONS = 4.5
 BLOCK = 4096
+REGROUPED = 3  # at most so many times a large bucket is split by another hash
 ROWS_AT_ONCE = 64  # members measured against all others at once
 
 _samples = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -197,19 +201,24 @@ class Bucket(NamedTuple):
         return out
 
 
-def forest(bucket: Bucket) -> list[tuple[int, int]]:
-    """Pairs that join the members that may be similar, most similar first, into trees."""
+def forest(bucket: Bucket, refused: list | None = None) -> list[tuple[int, int]]:
+    """Pairs that join the groups of members that may be similar, most similar first, into trees."""
     m = len(bucket.size)
+    place = {n.tobytes(): i for i, n in enumerate(bucket.node)} if refused and any(refused) else {}
     near, source, waiting = np.full(m, np.inf), np.zeros(m, np.int64), np.ones(m, bool)
     out = []
     for _ in range(m):
         v = int(np.argmin(np.where(waiting, near, np.inf)))
         if not waiting[v]:
             v = int(np.argmax(waiting))
-        if near[v] <= 1:
+        if 0 <= near[v] <= 1:
             out.append((int(source[v]), v))
         waiting[v] = False
         away = bucket.apart(slice(v, v + 1))[0]
+        banned = [place[n] for n in refused[v] or () if n in place] if place else []
+        if banned:
+            away[banned] = np.inf
+        away[bucket.group == bucket.group[v]] = -1  # joined without a pair
         better = (away < near) & waiting
         near[better], source[better] = away[better], v
     return out
@@ -247,7 +256,7 @@ def propose(buckets: DataFrame, k: int) -> DataFrame:
     def of_bucket(bucket: Bucket, refused: list) -> list[tuple[int, int]]:
         if len(bucket.size) == 1 or (bucket.group == bucket.group[0]).all():
             return []
-        return partners(bucket, refused, k) if k else forest(bucket)
+        return partners(bucket, refused, k) if k else forest(bucket, refused)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -320,14 +329,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return small_batches(sides.select("a", "b", "of_a", "of_b")).mapInArrow(lambda batches: released(run(batches)), "a binary, b binary, linked boolean")
 
 
-def _blocks(rows: DataFrame, first: bool, block: int) -> DataFrame:
-    """(key, low, high) of the blocks, or pairs of blocks, in which a member of a bucket is compared."""
+def _blocks(rows: DataFrame, block: int, salt: int) -> DataFrame:
+    """The block, as low and high, of a bucket that a member is in; another one for another ``salt``."""
     parts = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    if first:
-        return rows.withColumns({"low": own, "high": own})
-    other = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other")
+    own = F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
+    return rows.withColumns({"low": own, "high": own})
+
+
+def _pairs_of_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(low, high) of the pairs of blocks in which a member is compared with members of other components.
+
+    Blocks of the members beside a bucket's largest component come first; those of that component
+    meet them and not each other.
+    """
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"))
+
+    def parts(members) -> Column:
+        return F.ceil(members / F.lit(block)).cast("int")
+
+    rest_parts, main_parts = parts(F.col("members") - F.col("n_main")), parts(F.col("n_main"))
+    hashed, in_main = F.xxhash64("node"), F.col("component") == F.col("main")
+    own = F.when(in_main, rest_parts + F.pmod(hashed, main_parts)).otherwise(F.pmod(hashed, rest_parts)).cast("int")
+    last = F.when(in_main, rest_parts - 1).otherwise(rest_parts + main_parts - 1)
+    other = rows.join(main, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other", "main", "n_main")
 
 
 def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
@@ -340,10 +366,11 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
     full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = staged(keyed.join(full, "key"), "met").join(classes.select("node", "n_shingles", "sketch", "keys"), "node")
     members = staged(met, "members")
+    large = not members.where(F.col("members") > block).isEmpty()
 
     links = refused = sets = None
     labels: DataFrame | None = None
-    step = 0
+    step, regrouped = 0, 0 if large else None  # regrouped: the last split by another hash, or none any more
     while True:
         if labels is None:
             rows = members.withColumns({"component": F.col("node"), "refused": F.lit(None).cast("array<binary>")})
@@ -354,9 +381,22 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
             of_node = refused.select("a", "b").unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refused"))
             rows = rows.join(of_node, "node", "left")
         columns = ["key", "low", "high", "node", "component", "n_shingles", "sketch", "refused", "keys"]
-        pairs = staged(propose(_blocks(rows, step == 0, block).select(columns), 0 if step == 0 else 16**step), "pairs")
-        if step and pairs.isEmpty():
-            break
+        if labels is None:
+            dealt, k = _blocks(rows, block, 0), 0
+        elif regrouped is not None:
+            regrouped += 1
+            dealt, k = _blocks(rows.where(F.col("members") > block), block, regrouped), 0
+        else:
+            step += 1
+            dealt, k = rows.where(F.col("members") <= block).withColumns({"low": F.lit(0), "high": F.lit(0)}), 16**step
+            if large:
+                dealt = dealt.unionByName(_pairs_of_blocks(rows.where(F.col("members") > block), block))
+        pairs = staged(propose(dealt.select(columns), k), "pairs")
+        if labels is not None and pairs.isEmpty():
+            if regrouped is None:
+                break
+            regrouped = None
+            continue
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         if sets is not None:
             nodes = nodes.join(sets.select("node"), "node", "left_anti")
@@ -366,9 +406,11 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
         good, bad = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), judged.where("NOT linked").select("a", "b")
         links = good if links is None else links.unionByName(good)
         refused = bad if refused is None else refused.unionByName(bad)
-        if labels is None or not good.isEmpty():
+        joined = not good.isEmpty()
+        if regrouped is not None and (regrouped == REGROUPED or labels is not None and not joined):
+            regrouped = None
+        if labels is None or joined:
             labels = staged(components(links), "labels")
-        step += 1
 
     ids = classes.select("node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
