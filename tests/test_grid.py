@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatt.functions.timeline import floor_to, to_micros
-from tidewatt.operators import contracts, grid, windows
+from tidewatt.operators import contracts, grid, lookback, windows
+from tidewatt.operators.joins import WEATHER_MEASURES
+from tidewatt.plans import features
 
 HOLES = [None, 1, None, None, 4, None]
 
@@ -147,3 +150,73 @@ def test_lags_need_a_complete_grid(series, steps, hours):
 def test_a_duplicate_time_has_no_place_on_the_grid(series):
     with pytest.raises(Exception, match="duplicate time"):
         grid.regularise(series(hours=[0, 1, 1, 2], y=[1, 2, 3, 4]), ["y"]).collect()
+
+
+@pytest.mark.parametrize("steps", [8, 64, None])
+@pytest.mark.parametrize("gap", [1, 2, 9, 61])
+@pytest.mark.parametrize("start", [63, 64, 70])
+def test_holes_of_any_length_at_any_place_are_found(series, steps, gap, start):
+    hours = [h for h in range(200) if not start <= h < start + gap]
+    df = series(hours=hours, y=hours)
+    with pytest.raises(Exception, match="not a complete grid"):
+        windows.with_lags_and_means(df, "y", {"a": 1}, {"m": 2}, steps=steps).select("a").collect()
+
+
+def test_a_hole_over_the_edge_of_a_default_bucket_is_found(series):
+    hours = [*range(3000, 3800), *range(4300, 4600)]
+    with pytest.raises(Exception, match="not a complete grid"):
+        windows.with_lags_and_means(series(start="1970-01-01 00:00:00", hours=hours, y=hours)).select("demand_lag_1h").collect()
+
+
+@pytest.mark.parametrize("steps", [16, 40, 64, None])
+@pytest.mark.parametrize("known", [0.0, 0.02, 0.3])
+def test_filled_values_and_lags_of_one_frame_equal_two(series, steps, known):
+    """The lags of filled values, halo copies included, are those of the values filled before."""
+    rng = np.random.default_rng(int(known * 100))
+    y = [float(v) if rng.random() < known else None for v in rng.integers(0, 1000, 300)]
+    z = [float(v) if rng.random() < 0.5 else None for v in rng.integers(0, 1000, 300)]
+    df = series(y=y, z=z)
+    got = lookback.fill_and_look_back(df, ["y", "z"], "y", {"l1": 1, "l2": 2}, {"m": 2}, steps=steps)
+    want = grid.fill(df, ["y", "z"], steps=None)
+    want = windows.with_lags_and_means(want, "y", {"l1": 1, "l2": 2}, {"m": 2}, steps=None)
+    have, expected = (f.orderBy("timestamp").toPandas()[["y", "z", "l1", "l2", "m"]].to_numpy(dtype=float) for f in (got, want))
+    np.testing.assert_allclose(have, expected, rtol=1e-12)
+
+
+def test_one_frame_for_several_series_of_any_start(spark):
+    df = spark.range(900).selectExpr(
+        "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS k",
+        "timestampadd(HOUR, id div 3 + (id % 3) * 1000, timestamp_ntz'2023-12-20 00:00:00') AS timestamp",
+        "CASE WHEN hash(id) % 4 = 0 THEN id / 1D END AS x",
+        "id / 3D AS y",
+    )
+    how = dict(fills=["x"], value="y", lags={"l": 5}, means={"m": 4}, keys=["k"])
+    rows = [lookback.fill_and_look_back(df, steps=steps, **how).orderBy("k", "timestamp").toPandas() for steps in (40, 96, None)]
+    for other in rows[:2]:
+        pd.testing.assert_frame_equal(other, rows[2])
+
+
+def test_the_model_dataset_shuffles_full_rows_once(spark, tmp_path):
+    paths = {}
+    for name, expr in {"demand": ["id / 2D AS ontario_demand_mw", "1D AS market_demand_mw", "false AS is_imputed"], "weather": ["id / 3D AS temp_c", "CAST(NULL AS double) AS precip_mm"]}.items():
+        paths[name] = f"{tmp_path}/{name}"
+        spark.range(400).selectExpr("timestampadd(HOUR, id, timestamp_ntz'2024-01-01') AS timestamp", *expr).write.parquet(paths[name])
+    demand, weather = (spark.read.parquet(paths[n]) for n in ("demand", "weather"))
+    out = features.model_dataset(demand, weather, features.FeatureSettings(lags={"l": 2}, means={"m": 3}))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    # the joined rows move once, to their buckets; beside them a row for each task and bucket of the summary
+    assert sum("__bucket" in e for e in exchanges) == 1
+    assert len(exchanges) == 2 and plan.count("Exchange SinglePartition") == 1
+
+
+def test_the_model_dataset_does_not_depend_on_the_bucket(spark):
+    hours = spark.range(900).selectExpr("timestampadd(HOUR, id, timestamp_ntz'2024-01-01') AS timestamp", "id")
+    demand = hours.selectExpr("timestamp", "abs(hash(id)) % 1000 / 2D AS ontario_demand_mw", "1D AS market_demand_mw", "false AS is_imputed")
+    measures = [f"CASE WHEN abs(hash(id, '{c}')) % 3 = 0 THEN abs(hash(id)) % 77 / 4D END AS {c}" for c in WEATHER_MEASURES]
+    weather = hours.where("id % 5 > 0").selectExpr("timestamp", *measures, "id % 7 = 0 AS is_imputed_weather")
+    made = [features.model_dataset(demand, weather, features.FeatureSettings(steps=s)).orderBy("timestamp").toPandas() for s in (None, 1, 2000)]
+    assert len(made[0]) == 900
+    for other in made[1:]:
+        pd.testing.assert_frame_equal(made[0], other)

@@ -1,10 +1,11 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatt.models import LagRidge, LinearWeatherRidge, PooledMLP, SeasonalNaive, mlp
+from tidewatt.models import LagRidge, LinearWeatherRidge, PooledMLP, SeasonalNaive, mlp, ridge
 from tidewatt.operators import keyed, metrics, quantile
 from tidewatt.plans import backtest
 
@@ -69,6 +70,38 @@ def test_ridge_per_series(frame):
     assert scored.where("y_hat IS NULL").count() == 10
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_models_fitted_together_are_as_alone(frame, keys):
+    """Each model counts its own complete rows; two trends of different origin do not mix."""
+    models = [LagRidge(), LinearWeatherRidge(), LinearWeatherRidge(trend_origin="2020-01-01 00:00:00"), LagRidge(3.0, ["demand_lag_24h"])]
+    train = frame.where("split = 'train'").withColumn("hdd_18", F.when(F.col("hdd_18") < 9, F.col("hdd_18")))
+    params = ridge.fit_together(train, models, keys)
+    together = ridge.transform_together(frame, models, params, ["a", "b", "c", "d"], keys).orderBy("timestamp").toPandas()
+    assert list(together.columns) == [*frame.columns, "a", "b", "c", "d"]
+    for name, model in zip("abcd", models):
+        alone = model.transform(frame, model.fit(train, keys), keys).orderBy("timestamp").toPandas()
+        np.testing.assert_allclose(together[name].astype(float), alone["y_hat"].astype(float), rtol=1e-9, equal_nan=True)
+    counts = params.selectExpr("n_samples_0 AS a", "n_samples_1 AS b").collect()
+    assert all(r.a > r.b > 0 for r in counts)
+
+
+def test_a_model_without_rows_leaves_the_others(frame):
+    train = frame.where("split = 'train'").withColumn("hdd_18", F.lit(None).cast("double"))
+    models = [LinearWeatherRidge(), LagRidge()]
+    scored = ridge.transform_together(frame, models, ridge.fit_together(train, models, ["k"]), ["a", "b"], ["k"])
+    assert scored.where("a IS NOT NULL").count() == 0 and scored.where("b IS NOT NULL").count() == 1590
+
+
+def test_back_test_scans_the_training_rows_once(spark, frame, tmp_path):
+    path = f"{tmp_path}/frame"
+    frame.write.parquet(path)
+    models = [SeasonalNaive("demand_lag_24h"), LagRidge(), LinearWeatherRidge(), LinearWeatherRidge(2.0, False)]
+    preds = backtest.predictions(spark.read.parquet(path), models, ["k"])
+    plan = preds._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2  # the training rows, and those to score
+    assert plan.count("MapInPandas") == 1
+
+
 def test_ridge_without_complete_rows_forecasts_nothing(frame):
     model = LagRidge()
     params = model.fit(frame.where("timestamp < timestamp_ntz'2020-01-01 05:00:00'"))
@@ -206,14 +239,75 @@ def test_percentile_per_group_with_a_hot_group(spark):
     assert rough == len(want)
 
 
-def test_percentile_scans_twice_and_shuffles_counts_once(spark, tmp_path):
+def frames_written(monkeypatch):
+    """The frames that exact percentiles write, in order."""
+    written, write = [], quantile.staged
+
+    def keep(df, name):
+        written.append((name, df))
+        return write(df, name)
+
+    monkeypatch.setattr(quantile, "staged", keep)
+    return written
+
+
+def test_percentile_scans_twice_without_a_window(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/values"
     spark.range(20_000).selectExpr("id % 3 AS k", "hash(id) / 7D AS y").write.parquet(path)
+    written = frames_written(monkeypatch)
     out = quantile.exact_percentile(spark.read.parquet(path), "y", 0.95, ["k"])
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("Scan parquet") == 2  # the sketch, and the counts
-    assert plan.count("ReusedExchange") == 1
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in [*written, ("end", out)]}
+    assert sum(plan.count(f"{path}]") for plan in plans.values()) == 2  # the sketch, and the counts
+    assert not any("Window" in plan or "percentile(" in plan for plan in plans.values())
+
+
+def test_order_key_orders_as_doubles_do(spark):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    values = bits.view(float)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    near = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf)])
+    values = np.concatenate([values[~np.isnan(values)], near, -near, [0.0, -0.0, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "y double")
+    got = np.array([r.k for r in df.select(quantile.order_key(F.col("y")).alias("k")).collect()])
+    raw = (values + 0.0).view(np.int64)  # sign and magnitude
+    assert np.array_equal(got, np.where(raw < 0, -(raw & np.int64(2**63 - 1)), raw))
+    assert spark.sql("SELECT double('NaN') AS y").select(quantile.order_key(F.col("y"))).first()[0] > got.max()
+
+
+@pytest.mark.parametrize("tail", ["wide", "narrow", "nested", "signs"])
+def test_ranks_of_hard_distributions(spark, tail, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 30_000
+    values = {
+        "wide": 10.0 ** rng.uniform(-300, 300, n),
+        "narrow": 1e6 + rng.permutation(n) * 2.0**-30,
+        "nested": np.where(rng.random(n) < 0.5, 1 + rng.random(n) * 1e-12, rng.choice([-1.0, 1.0], n) * 10.0 ** rng.uniform(-300, 300, n)),
+        "signs": rng.normal(0, 1e-200, n),
+    }[tail]
+    df = spark.createDataFrame([(float(v),) for v in values], "y double")
+    written = frames_written(monkeypatch)
+    got = quantile.exact_percentiles(df, "y", {"a": 0.05, "b": 0.5, "c": 0.5001, "d": 0.95}).first()
+    ordered = np.sort(values)
+    for name, p in {"a": 0.05, "b": 0.5, "c": 0.5001, "d": 0.95}.items():
+        place = (n - 1) * p
+        low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+        assert got[name] == low + (high - low) * (place - np.floor(place))
+    assert sum(name == "ranks" for name, _ in written) <= 7
+
+
+def test_profile_has_no_window_and_equals_pandas(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 5000, p=[0.7, 0.2, 0.1]), "x": rng.choice(rng.normal(5, 3, 400), 5000)})
+    pdf.loc[::13, "x"] = np.nan
+    df = spark.createDataFrame([(k, None if np.isnan(x) else float(x)) for k, x in zip(pdf.k, pdf.x)], "k string, x double")
+    written = frames_written(monkeypatch)
+    out = metrics.value_profile(df, "x", ["k"])
+    assert not any("Window" in f._jdf.queryExecution().executedPlan().toString() for _, f in [*written, ("end", out)])
+    for row in out.collect():
+        x = pdf[pdf.k.isna() if row.k is None else pdf.k == row.k].x.dropna()
+        want = (len(x), x.nunique(), x.mean(), x.std(), x.min(), x.max(), *np.percentile(x, [25, 50, 75]))
+        np.testing.assert_allclose([row["count"], *row[2:]], want, rtol=1e-12)
 
 
 @pytest.mark.parametrize("p", [0.5, 0.9, 0.999])

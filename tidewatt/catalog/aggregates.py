@@ -85,15 +85,16 @@ def monthly_peaks(spark, sf):
 @query(
     "a3_monthly_peak_mae",
     sql.ctes(sql.DAILY_FORECAST)
-    + """SELECT round(avg(abs(p - a)), 4) AS monthly_peak_mae FROM (
+    + f"""SELECT {sql.lean("avg(abs(p - a))", 4)} AS monthly_peak_mae FROM (
          SELECT max(y) AS a, max(y_hat) AS p FROM forecast GROUP BY date_trunc('month', timestamp))""",
 )
 def monthly_peak_mae(spark, sf):
-    return rounded(metrics.monthly_peak_mae(daily_forecast(spark, sf)), 4)
+    return rounded(metrics.monthly_peak_mae(daily_forecast(spark, sf)), 4, lean=sql.LEAN)
 
 
-_ERRORS = """SELECT {key} round(sum(a) / sum(n), {d}) AS mae, round(sqrt(sum(s) / sum(n)), {d}) AS rmse,
-  round(avg(peak), {d}) AS monthly_peak_mae, sum(n)::BIGINT AS n_samples FROM (
+_ERRORS = """SELECT {key} floor(sum(a) / sum(n) * 1e{d} + 0.5001) / 1e{d} AS mae,
+  floor(sqrt(sum(s) / sum(n)) * 1e{d} + 0.5001) / 1e{d} AS rmse,
+  floor(avg(peak) * 1e{d} + 0.5001) / 1e{d} AS monthly_peak_mae, sum(n)::BIGINT AS n_samples FROM (
     SELECT {key} sum(abs(y_hat - y)) AS a, sum((y_hat - y) * (y_hat - y)) AS s, count(*) AS n,
            abs(max(y_hat) - max(y)) AS peak FROM {source} GROUP BY {key} date_trunc('month', timestamp)) {group}"""
 
@@ -103,7 +104,7 @@ _ERRORS = """SELECT {key} round(sum(a) / sum(n), {d}) AS mae, round(sqrt(sum(s)
     sql.ctes(sql.DAILY_FORECAST) + _ERRORS.format(key="", d=3, source="forecast", group=""),
 )
 def forecast_errors(spark, sf):
-    return rounded(metrics.forecast_errors(daily_forecast(spark, sf)), 3)
+    return rounded(metrics.forecast_errors(daily_forecast(spark, sf)), 3, lean=sql.LEAN)
 
 
 @query(
@@ -112,7 +113,7 @@ def forecast_errors(spark, sf):
     + _ERRORS.format(key="event_type,", d=6, source="hourly_forecast", group="GROUP BY event_type"),
 )
 def forecast_errors_by_type(spark, sf):
-    return rounded(metrics.forecast_errors(hourly_forecast(spark, sf), _TYPE))
+    return rounded(metrics.forecast_errors(hourly_forecast(spark, sf), _TYPE), lean=sql.LEAN)
 
 
 @query(
@@ -157,10 +158,10 @@ def hour_of_day_mean(spark, sf):
 @query(
     "a10_target_stats",
     sql.ctes(sql.NATION_DAILY)
-    + """SELECT c_nationkey, min(y) AS min, max(y) AS max, round(avg(y), 4) AS mean FROM nation_daily GROUP BY 1""",
+    + f"SELECT c_nationkey, min(y) AS min, max(y) AS max, {sql.lean('avg(y)', 4)} AS mean FROM nation_daily GROUP BY 1",
 )
 def target_stats(spark, sf):
-    return rounded(metrics.target_stats(daily_by_nation(spark, sf), keys=["c_nationkey"]), 4)
+    return rounded(metrics.target_stats(daily_by_nation(spark, sf), keys=["c_nationkey"]), 4, lean=sql.LEAN)
 
 
 @query(

@@ -13,6 +13,7 @@ from tidewatt.catalog.inputs import (
     written_dataset_by_nation,
 )
 from tidewatt.catalog.registry import query, rounded
+from tidewatt.functions.calendar import DAYS_PER_YEAR
 from tidewatt.models import LagRidge, LinearWeatherRidge, PooledMLP, SeasonalNaive
 from tidewatt.models import mlp, ridge
 from tidewatt.operators import metrics, windows
@@ -265,14 +266,13 @@ _ERRORS = """errors AS (SELECT model, split, sum(a) / sum(n) AS mae, sqrt(sum(s)
       SELECT model, split, sum(abs(y_hat - y)) AS a, sum((y_hat - y) * (y_hat - y)) AS s, count(*) AS n,
              abs(max(y_hat) - max(y)) AS peak FROM preds GROUP BY model, split, date_trunc('month', timestamp))
   GROUP BY 1, 2)"""
-_WIDE = """SELECT model, round(max(CASE WHEN split = 'val' THEN mae END), 2) AS val_mae,
-  round(max(CASE WHEN split = 'val' THEN rmse END), 2) AS val_rmse,
-  round(max(CASE WHEN split = 'val' THEN monthly_peak_mae END), 2) AS val_monthly_peak_mae,
-  max(CASE WHEN split = 'val' THEN n_samples END) AS val_n_samples,
-  round(max(CASE WHEN split = 'test' THEN mae END), 2) AS test_mae,
-  round(max(CASE WHEN split = 'test' THEN rmse END), 2) AS test_rmse,
-  round(max(CASE WHEN split = 'test' THEN monthly_peak_mae END), 2) AS test_monthly_peak_mae,
-  max(CASE WHEN split = 'test' THEN n_samples END) AS test_n_samples FROM errors GROUP BY model"""
+_MEASURED = [(split, m) for split in ("val", "test") for m in ("mae", "rmse", "monthly_peak_mae")]
+
+
+def _wide(key: str = "") -> str:
+    columns = [sql.lean(f"max(CASE WHEN split = '{s}' THEN {m} END)", 2) + f" AS {s}_{m}" for s, m in _MEASURED]
+    columns += [f"max(CASE WHEN split = '{s}' THEN n_samples END) AS {s}_n_samples" for s in ("val", "test")]
+    return f"SELECT {key} model, {', '.join(columns)} FROM errors GROUP BY {key} model"
 
 
 def two_models(spark, sf):
@@ -290,11 +290,11 @@ def prediction_table(spark, sf):
     return rounded(backtest.prediction_table(preds, "SeasonalNaive7", "val"), 3)
 
 
-@query("e1_e2_metrics_table", _BACKTEST.rstrip() + ", " + _ERRORS + _WIDE)
+@query("e1_e2_metrics_table", _BACKTEST.rstrip() + ", " + _ERRORS + _wide())
 def metrics_table(spark, sf):
     dataset, models = two_models(spark, sf)
     preds = backtest.predictions(dataset, models)
-    return rounded(backtest.metrics_table(preds, [m.name for m in models]), 2)
+    return rounded(backtest.metrics_table(preds, [m.name for m in models]), 2, lean=sql.LEAN)
 
 
 @query(
@@ -318,35 +318,84 @@ def strain_tables(spark, sf):
     _BACKTEST.rstrip()
     + ", "
     + _ERRORS
-    + "SELECT model, round(rmse, 2) AS test_rmse FROM errors WHERE split = 'test' ORDER BY rmse, model",
+    + f"SELECT model, {sql.lean('rmse', 2)} AS test_rmse FROM errors WHERE split = 'test' ORDER BY rmse, model",
 )
 def model_ranking(spark, sf):
     dataset, models = two_models(spark, sf)
     table = backtest.metrics_table(backtest.predictions(dataset, models), [m.name for m in models])
-    return rounded(backtest.ranking(table).select("model", "test_rmse"), 2)
+    return rounded(backtest.ranking(table).select("model", "test_rmse"), 2, lean=sql.LEAN)
+
+
+def _ridge_sql(name: str, features: list[str], key: str, alpha: float = 1.0) -> str:
+    """CTEs ``<name>_scored`` (key, split, timestamp, y, y_hat): the normal equations of ``features`` per key, solved
+    by elimination (the matrix is positive definite, so pivots are taken in order)."""
+    k, known = len(features), " AND ".join(f"{c} IS NOT NULL" for c in (*features, "y"))
+    xs = ", ".join(f"{c}::DOUBLE" for c in features)
+    return f"""{name}_rows AS (SELECT {key}, split, timestamp, y, [{xs}] AS x, [{xs}, y] AS v FROM inputs WHERE {known}),
+{name}_means AS (
+  SELECT {key}, list(m ORDER BY i) AS m FROM (
+    SELECT {key}, i, avg(v[i]) AS m FROM {name}_rows, range(1, {k + 2}) AS t(i) WHERE split = 'train' GROUP BY 1, 2) GROUP BY 1),
+{name}_gram AS (
+  SELECT {key}, list(r ORDER BY i) AS a FROM (
+    SELECT {key}, i, list(g ORDER BY j) AS r FROM (
+      SELECT {key}, i, j, sum((v[i] - m[i]) * (v[j] - m[j])) + CASE WHEN i = j THEN {alpha} ELSE 0 END AS g
+      FROM {name}_rows JOIN {name}_means USING ({key}), range(1, {k + 1}) AS t(i), range(1, {k + 2}) AS u(j)
+      WHERE split = 'train' GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1),
+{name}_steps AS (
+  SELECT {key}, 1 AS s, a FROM {name}_gram
+  UNION ALL
+  SELECT {key}, s + 1, list_transform(a, lambda r, i: CASE WHEN i = s THEN list_transform(r, lambda e: e / r[s])
+    ELSE list_transform(r, lambda e, j: e - r[s] * a[s][j] / a[s][s]) END)
+  FROM {name}_steps WHERE s <= {k}),
+{name}_coefs AS (
+  SELECT {key}, m, list_transform(a, lambda r: r[{k + 1}]) AS b FROM {name}_steps JOIN {name}_means USING ({key}) WHERE s = {k + 1}),
+{name}_scored AS (
+  SELECT {key}, split, timestamp, y, m[{k + 1}] + list_sum(list_transform(b, lambda c, i: c * (x[i] - m[i]))) AS y_hat
+  FROM {name}_rows JOIN {name}_coefs USING ({key}) WHERE split <> 'train')"""
+
+
+_WEATHER_ALL = ["hdd_18", "cdd_18", "hour_sin", "hour_cos", "doy_sin", "doy_cos", "is_weekend", "years"]
+_ALL_BY_NATION = f"""inputs AS (
+  SELECT *, (epoch_us(timestamp) - epoch_us(TIMESTAMP '{DAY_ORIGIN}')) / ({DAYS_PER_YEAR} * 86400 * 1000000.0) AS years FROM dataset),
+{_ridge_sql('lagged', _DAY_FEATURES, 'c_nationkey')},
+{_ridge_sql('by_weather', _WEATHER_ALL, 'c_nationkey')},
+preds AS (
+  SELECT c_nationkey, 'SeasonalNaive7' AS model, split, timestamp, y, demand_lag_7d AS y_hat FROM dataset
+    WHERE split <> 'train' AND demand_lag_7d IS NOT NULL AND y IS NOT NULL
+  UNION ALL SELECT c_nationkey, 'LagRidge', split, timestamp, y, y_hat FROM lagged_scored
+  UNION ALL SELECT c_nationkey, 'LinearWeatherRidge', split, timestamp, y, y_hat FROM by_weather_scored),
+errors AS (SELECT c_nationkey, model, split, sum(a) / sum(n) AS mae, sqrt(sum(s) / sum(n)) AS rmse,
+    avg(peak) AS monthly_peak_mae, sum(n)::BIGINT AS n_samples FROM (
+      SELECT c_nationkey, model, split, sum(abs(y_hat - y)) AS a, sum((y_hat - y) * (y_hat - y)) AS s, count(*) AS n,
+             abs(max(y_hat) - max(y)) AS peak FROM preds GROUP BY c_nationkey, model, split, date_trunc('month', timestamp))
+  GROUP BY 1, 2, 3)
+"""
 
 
-@query("e1_all_models_by_nation")
+@query(
+    "e1_all_models_by_nation",
+    "WITH RECURSIVE" + sql.ctes(sql.NATION_DATASET, _ALL_BY_NATION).lstrip().removeprefix("WITH") + _wide("c_nationkey,"),
+)
 def all_models_by_nation(spark, sf):
     dataset, keys = written_dataset_by_nation(spark, sf), ["c_nationkey"]
     models = [naive(), lag_ridge(_DAY_FEATURES), weather_ridge()]
     preds = backtest.predictions(dataset, models, keys)
-    return backtest.metrics_table(preds, [m.name for m in models], keys)
+    return rounded(backtest.metrics_table(preds, [m.name for m in models], keys), 2, lean=sql.LEAN)
 
 
 @query(
     "e1_naive_metrics_by_nation",
     sql.ctes(sql.NATION_DATASET)
-    + """SELECT c_nationkey, 'SeasonalNaive7' AS model,
-      round(avg(abs(demand_lag_7d - y)) FILTER (split = 'val'), 3) AS val_mae,
-      round(avg(abs(demand_lag_7d - y)) FILTER (split = 'test'), 3) AS test_mae,
+    + f"""SELECT c_nationkey, 'SeasonalNaive7' AS model,
+      {sql.lean("avg(abs(demand_lag_7d - y)) FILTER (split = 'val')", 3)} AS val_mae,
+      {sql.lean("avg(abs(demand_lag_7d - y)) FILTER (split = 'test')", 3)} AS test_mae,
       count(*) FILTER (split = 'val') AS val_n_samples, count(*) FILTER (split = 'test') AS test_n_samples
       FROM dataset WHERE split <> 'train' AND demand_lag_7d IS NOT NULL GROUP BY 1""",
 )
 def naive_metrics_by_nation(spark, sf):
     dataset, keys = written_dataset_by_nation(spark, sf), ["c_nationkey"]
     table = backtest.metrics_table(backtest.predictions(dataset, [naive()], keys), ["SeasonalNaive7"], keys)
-    return rounded(table.select("c_nationkey", "model", "val_mae", "test_mae", "val_n_samples", "test_n_samples"), 3)
+    return rounded(table.select("c_nationkey", "model", "val_mae", "test_mae", "val_n_samples", "test_n_samples"), 3, lean=sql.LEAN)
 
 
 @query(
@@ -354,15 +403,15 @@ def naive_metrics_by_nation(spark, sf):
     _BACKTEST.rstrip()
     + ", "
     + _ERRORS
-    + """SELECT model, round(rmse, 2) AS val_rmse, NULL::DOUBLE AS test_rmse FROM errors
+    + f"""SELECT model, {sql.lean("rmse", 2)} AS val_rmse, NULL::DOUBLE AS test_rmse FROM errors
          WHERE split = 'val'
-         UNION ALL SELECT model, NULL, round(rmse, 2) FROM errors WHERE split = 'test'""",
+         UNION ALL SELECT model, NULL, {sql.lean("rmse", 2)} FROM errors WHERE split = 'test'""",
 )
 def all_metrics(spark, sf):
     dataset, models = two_models(spark, sf)
     table = backtest.metrics_table(backtest.predictions(dataset, models), [m.name for m in models])
     first, second = table.select("model", "val_rmse"), table.select("model", "test_rmse")
-    return rounded(reports.all_metrics(first, second), 2)
+    return rounded(reports.all_metrics(first, second), 2, lean=sql.LEAN)
 
 
 @query(

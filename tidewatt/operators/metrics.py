@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatt.functions.timeline import floor_to, month_start, step_micros, to_micros
 from tidewatt.operators.grid import IMPUTED_SOURCE
+from tidewatt.operators.keyed import attach
+from tidewatt.operators.quantile import exact_percentiles
 
 SPLITS = ["train", "val", "test"]
 
@@ -243,32 +245,27 @@ def observed_share(df: DataFrame, value: str = "temp_c", keys: Sequence[str] = (
 
 
 def value_profile(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max and distinct count of a column of few values.
+    """count, mean, sample std, min, quartiles, max and distinct count of a column.
 
-    Equal values are counted first; the quartiles then work on one entry per distinct
-    value. Meant for scenario adders, whose values are at most one per time step.
+    Equal values are counted first; deviations are those of the counted values from the mean, and the
+    quartiles come from refined ranks, so that no group is held or sorted in one task.
     """
     x, n = F.col(value), F.col("__n")
-    group = Window.partitionBy(*by)
-    counts = (
-        df.where(x.isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__mean", F.sum(x * n).over(group) / F.sum(n).over(group))
-    )
-    off = x - F.col("__mean")
-    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n)
-    profile = counts.groupBy(*by).agg(
+    counts = df.where(x.isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    sums = counts.groupBy(*by).agg(
         F.sum(n).alias("count"),
         F.count("*").alias("distinct_values"),
-        F.first("__mean").alias("mean"),
-        F.sqrt(F.try_divide(F.sum(off * off * n), F.sum(n) - 1)).alias("std"),
+        (F.sum(x * n) / F.sum(n)).alias("mean"),
         F.min(x).alias("min"),
-        quartiles.alias("__q"),
         F.max(x).alias("max"),
     )
-    ends = {f"q{p}": F.col("__q")[i] for i, p in enumerate((25, 50, 75))}
-    return profile.withColumns(ends).drop("__q")
+    off = x - F.col("mean")
+    squares = attach(counts, sums.select(*by, "mean"), by, [value]).groupBy(*by).agg(
+        F.sqrt(F.try_divide(F.sum(off * off * n), F.sum(n) - 1)).alias("std")
+    )
+    quartiles = exact_percentiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
+    profile = attach(attach(sums, squares, by, ["count"]), quartiles, by, ["count"])
+    return profile.select(*by, "count", "distinct_values", "mean", "std", "min", "max", "q25", "q50", "q75")
 
 
 def feature_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -7,18 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatt.functions.timeline import step_micros
-from tidewatt.operators.buckets import (
-    AT,
-    BUCKET,
-    OWN,
-    STEPS_PER_BUCKET,
-    bucket_window,
-    into_buckets,
-    out_of_buckets,
-    with_known,
-)
+from tidewatt.operators.buckets import AT, BUCKET, OWN, STEPS_PER_BUCKET, into_buckets, with_known
 from tidewatt.operators.keyed import attach
+from tidewatt.operators.lookback import fill_and_look_back
 
 # Look-back of the hourly features, in steps.
 HOURLY_LAGS = {"demand_lag_1h": 1, "demand_lag_24h": 24, "demand_lag_168h": 168}
@@ -35,49 +26,9 @@ def with_lags_and_means(
     freq: str = "1 hour",
     steps: int | None = STEPS_PER_BUCKET,
 ) -> DataFrame:
-    """Values ``k`` rows back and means of the ``n`` rows before the current one.
-
-    Rows must be steps: a hole or a repeated time inside what a row looks back on is an
-    error (``contracts.gaps`` lists them, ``grid.regularise`` closes them). A mean skips nulls, needs one value and is null on the first row. All of them share one
-    shuffle; each bucket carries a copy of the rows its own rows look back on.
-
-    Means come from running sums inside the bucket, whatever their length: a sliding
-    frame would add up all ``n`` values again for every row. So that a difference of
-    running sums loses nothing, each value is split into a multiple of a small power of
-    two, whose sums are exact, and a tiny rest.
-    """
-    reach = max([*lags.values(), *means.values()])
-    if steps is not None:
-        steps = max(steps, 8 * reach)
-    rows = into_buckets(df, ts, freq, steps, halo=reach)
-    ordered = bucket_window(keys)
-    since = F.col(AT) - F.lag(AT, 1).over(ordered)
-    hole = F.raise_error(F.concat(F.lit("not a complete grid before "), F.col(ts).cast("string"))).cast("long")
-    added = {"__since": F.when(since != step_micros(freq), hole).otherwise(since)}
-    added |= {name: F.lag(value, k).over(ordered) for name, k in lags.items()}
-    if means:
-        whole = Window.partitionBy(*keys, BUCKET)
-        so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        bits = F.ceil(F.log2(F.max(F.abs(value)).over(whole) * F.count(value).over(whole)))
-        rows = rows.withColumn("__unit", F.coalesce(F.pow(F.lit(2.0), bits - 51), F.lit(1.0)))
-        coarse = F.rint(F.col(value) / F.col("__unit")) * F.col("__unit")
-        rows = rows.withColumns({"__coarse": coarse, "__rest": F.col(value) - coarse})
-        for part in ("__coarse", "__rest"):
-            added[f"{part}_sum"] = F.sum(part).over(so_far)
-        added["__known"] = F.count(value).over(so_far)
-    rows = rows.withColumns(added)
-
-    def last(n: int, c: str, zero) -> Column:
-        return F.col(c) - F.coalesce(F.lag(c, n).over(ordered), F.lit(zero))
-
-    averages = {
-        name: F.try_divide(
-            last(n, "__coarse_sum", 0.0) + last(n, "__rest_sum", 0.0), last(n, "__known", 0)
-        )
-        for name, n in means.items()
-    }
-    done = rows.withColumns(averages).where(F.col("__since").isNull() | (F.col("__since") > 0))
-    return out_of_buckets(done).select(*df.columns, *lags, *means)
+    """Values ``k`` rows back and means of the ``n`` rows before the current one, as in
+    :func:`tidewatt.operators.lookback.fill_and_look_back`, with nothing to fill."""
+    return fill_and_look_back(df, (), value, lags, means, ts, keys, freq, steps)
 
 
 def with_previous_time(

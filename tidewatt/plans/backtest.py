@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatt.models import ridge
 from tidewatt.operators import metrics
 from tidewatt.operators.keyed import attach, same_keys
 from tidewatt.operators.quantile import exact_percentile
@@ -25,13 +26,20 @@ def high_threshold(dataset: DataFrame, keys: Sequence[str] = (), split: str | No
 def predictions(dataset: DataFrame, models: Sequence, keys: Sequence[str] = (), kept: Sequence[str] = ()) -> DataFrame:
     """(model, split, keys, timestamp, y, y_hat) for the scored splits, known pairs only.
 
-    Every model adds a column to the same scan; one expansion then makes the rows long.
+    Every model adds a column to the same scan; one expansion then makes the rows long. Linear models
+    are fitted in one pass and joined once.
     """
     train = dataset.where(F.col("split") == "train")
     scored = dataset.where(F.col("split").isin(SCORED))
+    linear = {i: m for i, m in enumerate(models) if isinstance(m, ridge.Ridge)}
+    if linear:
+        together = list(linear.values())
+        params = ridge.fit_together(train, together, keys)
+        scored = ridge.transform_together(scored, together, params, [f"__y_hat_{i}" for i in linear], keys)
     for i, model in enumerate(models):
-        own = model.transform(scored, model.fit(train, keys), keys)
-        scored = own.withColumnRenamed("y_hat", f"__y_hat_{i}")
+        if i not in linear:
+            own = model.transform(scored, model.fit(train, keys), keys)
+            scored = own.withColumnRenamed("y_hat", f"__y_hat_{i}")
     long = F.inline(
         F.array(
             *[

@@ -18,8 +18,10 @@ from tidewatt.functions.calendar import (
 )
 from tidewatt.functions.cleaning import known_or_error
 from tidewatt.operators import contracts, grid
+from tidewatt.operators.buckets import STEPS_PER_BUCKET
 from tidewatt.operators.joins import WEATHER_FLAG, WEATHER_MEASURES, with_weather
-from tidewatt.operators.windows import HOURLY_LAGS, HOURLY_MEANS, duplicate_times, with_lags_and_means
+from tidewatt.operators.lookback import fill_and_look_back
+from tidewatt.operators.windows import HOURLY_LAGS, HOURLY_MEANS, duplicate_times
 
 # Fixed names: columns of the model dataset, in order.
 DATASET_COLUMNS = [
@@ -60,6 +62,7 @@ class FeatureSettings:
     base_temp: float = BASE_TEMP_C
     train_end: str = TRAIN_END
     val_end: str = VAL_END
+    steps: int | None = STEPS_PER_BUCKET
 
     def columns(self) -> list[str]:
         swapped = {**dict(zip(HOURLY_LAGS, self.lags)), **dict(zip(HOURLY_MEANS, self.means))}
@@ -68,11 +71,16 @@ class FeatureSettings:
         return [*self.keys, *[c for c in named if c]]
 
 
-def weather_filled(df: DataFrame, keys: Sequence[str] = (), freq: str = "1 hour") -> DataFrame:
-    """Fill the joined measures (not precipitation) and set ``weather_was_missing``."""
+def weather_flagged(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``weather_was_missing``, and the joined measures that are to be filled (not precipitation)."""
     measures = [c for c in WEATHER_MEASURES if c in df.columns and c != "precip_mm"]
     imputed = F.coalesce(F.col(WEATHER_FLAG), F.lit(False)) if WEATHER_FLAG in df.columns else F.lit(False)
-    flagged = df.withColumn("weather_was_missing", F.col("temp_c").isNull() | imputed)
+    return df.withColumn("weather_was_missing", F.col("temp_c").isNull() | imputed), measures
+
+
+def weather_filled(df: DataFrame, keys: Sequence[str] = (), freq: str = "1 hour") -> DataFrame:
+    """Fill the joined measures and set ``weather_was_missing``."""
+    flagged, measures = weather_flagged(df)
     return grid.fill(flagged, measures, keys=keys, freq=freq)
 
 
@@ -84,16 +92,16 @@ def dry_where_unknown(df: DataFrame) -> DataFrame:
 
 
 def model_dataset(demand: DataFrame, weather: DataFrame, settings: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """Join, fill, degree days, calendar, lags, split, target; ordered projection.
+    """Join, fill and lags, degree days, calendar, split, target; ordered projection.
 
+    Filling and lags share one bucketed frame, so the joined rows are shuffled once.
     A null target and steps that are missing or repeated are errors, found on the way.
     """
     s = settings
-    joined = dry_where_unknown(with_weather(demand, weather, on=s.weather_on))
-    filled = weather_filled(joined, s.keys, s.freq)
-    featured = with_calendar(with_degree_days(filled, base=s.base_temp))
-    lagged = with_lags_and_means(featured, s.target, s.lags, s.means, keys=s.keys, freq=s.freq)
-    labelled = lagged.withColumns(
+    joined, measures = weather_flagged(dry_where_unknown(with_weather(demand, weather, on=s.weather_on)))
+    lagged = fill_and_look_back(joined, measures, s.target, s.lags, s.means, keys=s.keys, freq=s.freq, steps=s.steps)
+    featured = with_calendar(with_degree_days(lagged, base=s.base_temp))
+    labelled = featured.withColumns(
         {"split": split_label(F.col("timestamp"), s.train_end, s.val_end), "y": known_or_error(s.target)}
     )
     return labelled.select(*[c for c in s.columns() if c in labelled.columns])
