@@ -220,3 +220,64 @@ def test_the_model_dataset_does_not_depend_on_the_bucket(spark):
     assert len(made[0]) == 900
     for other in made[1:]:
         pd.testing.assert_frame_equal(made[0], other)
+
+
+# --- the report of rules ----------------------------------------------------------
+
+
+def _plain_report(rows, step=3600, year=2024, full=8760):
+    """Rules one by one in plain Python: {rule: (violations, examples)}."""
+    import collections
+    import json
+
+    def shown(**columns):
+        return json.dumps(columns, separators=(",", ":"))
+
+    def at(t):
+        return None if t is None else t.strftime("%Y-%m-%dT%H:%M:%S.000")
+
+    found = {"unique_timestamp": [], "continuous": [], "target_not_null": [], "full_year": []}
+    for (k, t), n in collections.Counter((k, t) for k, t, _ in rows).items():
+        if n > 1:
+            found["unique_timestamp"].append(shown(k=k, timestamp=at(t), row_count=n).replace('"timestamp":null,', '"timestamp":null,'))
+    for k in {k for k, _, _ in rows}:
+        times = sorted(t for key, t, _ in rows if key == k and t is not None)
+        for a, b in zip(times, times[1:]):
+            gap = (b - a).total_seconds()
+            if abs(gap - step) > 1:
+                found["continuous"].append(shown(k=k, timestamp=at(b), gap_seconds=gap, kind="gap" if gap > step else "overlap"))
+        n = sum(t.year == year for t in times)
+        if 0 < n < full:
+            found["full_year"].append(shown(k=k, year=year, row_count=n))
+    found["target_not_null"] = [shown(k=k, timestamp=at(t)) for k, t, y in rows if y is None]
+    return {rule: (len(v), sorted(v)[:5]) for rule, v in found.items()}
+
+
+def test_report_equals_plain_rules(spark):
+    rng = np.random.default_rng(12)
+    start = dt.datetime(2023, 1, 1)
+    rows = []
+    for k, count in (("a", 9000), ("b", 300), (None, 200)):
+        hours = np.sort(rng.choice(12_000, count, replace=False))
+        rows += [(k, start + dt.timedelta(hours=int(h)), None if rng.random() < 0.01 else 1.5) for h in hours]
+    rows += [rows[5], rows[5], rows[8000], rows[9100], ("b", None, 2.0), ("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, timestamp timestamp_ntz, y double").repartition(7)
+    made = contracts.series_rules(df, ["timestamp", "y"], "y", keys=["k"], partial_year=2024).collect()
+    assert {r.rule: (r.violations, r.examples) for r in made} == _plain_report(rows)
+    assert {r.rule: r.severity for r in made}["full_year"] == "warning"
+
+
+def test_report_reads_the_table_for_the_rules_and_for_the_buckets(spark, series, tmp_path):
+    path = f"{tmp_path}/rows"
+    series(y=[1, None, 3], hours=[0, 1, 5]).write.parquet(path)
+    out = contracts.series_rules(spark.read.parquet(path), ["timestamp"], "y", partial_year=2024)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2
+    assert [(r.rule, r.violations) for r in out.orderBy("rule").collect()] == [("continuous", 1), ("full_year", 1), ("target_not_null", 1), ("unique_timestamp", 0)]
+    assert out.where("rule = 'full_year'").first().examples == ['{"year":2024,"row_count":3}']
+
+
+def test_report_of_an_empty_table_passes(spark):
+    empty = spark.createDataFrame([], "k string, timestamp timestamp_ntz, y double")
+    made = contracts.series_rules(empty, ["timestamp"], "y", keys=["k"], partial_year=2024).collect()
+    assert len(made) == 4 and all(r.violations == 0 and r.examples == [] for r in made)

@@ -169,34 +169,62 @@ def small_test_split(spark, sf):
     return rounded(contracts.small_split(daily_dataset(spark, sf)))
 
 
+_AT = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.000')"
+
+
+def _rule_sql(rule: str, severity: str, rows: str) -> str:
+    """Count and first five examples of the rows (example, n) that violate a rule."""
+    return f"""SELECT '{rule}' AS rule, '{severity}' AS severity, coalesce(sum(n), 0)::BIGINT AS violations,
+        coalesce(array_to_string(list(example ORDER BY example)[1:5], chr(10)), '') AS examples
+        FROM (SELECT example, n FROM ({rows}) AS found, range(least(n, 5)) AS copies(i))"""
+
+
+def _json_sql(key: str, *rest: str) -> str:
+    """A violation as JSON text: the series, its time, and further members."""
+    series = f"""'"{key}":"' || {key} || '",' || """ if key else ""
+    return f"""'{{' || {series}'"timestamp":"' || {_AT} || '"' || {''.join(f"',{m}' || " for m in rest)}'}}'"""
+
+
 def _report_sql(source: str, value: str, key: str = "", step: int = 3600) -> str:
     """Duplicate times, steps of the wrong length and unknown values of a table."""
     part = f"PARTITION BY {key} " if key else ""
     group = f"{key}, timestamp" if key else "timestamp"
-    return f"""SELECT 'unique_timestamp' AS rule, 'error' AS severity, count(*) AS violations
-        FROM (SELECT 1 FROM {source} GROUP BY {group} HAVING count(*) > 1)
-      UNION ALL SELECT 'continuous', 'error', count(*) FROM (
-        SELECT date_diff('second', lag(timestamp) OVER ({part}ORDER BY timestamp), timestamp) AS gap FROM {source})
-        WHERE abs(gap - {step}) > 1
-      UNION ALL SELECT 'target_not_null', 'error', count(*) FROM {source} WHERE {value} IS NULL"""
+    twice = _json_sql(key, """"row_count":' || row_count || '""")
+    apart = _json_sql(key, """"gap_seconds":' || gap::DOUBLE || '""", """"kind":"' || CASE WHEN gap > {} THEN 'gap' ELSE 'overlap' END || '\"""".format(step))
+    rules = [
+        _rule_sql("unique_timestamp", "error", f"SELECT {twice} AS example, 1 AS n FROM (SELECT {group}, count(*) AS row_count FROM {source} GROUP BY {group} HAVING count(*) > 1)"),
+        _rule_sql(
+            "continuous",
+            "error",
+            f"""SELECT {apart} AS example, 1 AS n FROM (SELECT *, date_diff('second', lag(timestamp) OVER ({part}ORDER BY timestamp), timestamp) AS gap
+            FROM {source}) WHERE abs(gap - {step}) > 1""",
+        ),
+        _rule_sql("target_not_null", "error", f"SELECT {_json_sql(key)} AS example, 1 AS n FROM {source} WHERE {value} IS NULL"),
+    ]
+    return " UNION ALL ".join(rules)
+
+
+def _told(found):
+    """The report with its examples in one text, a line each."""
+    return found.withColumn("examples", F.concat_ws("\n", "examples"))
+
+
+_SHORT_SQL = _rule_sql(
+    "full_year",
+    "warning",
+    """SELECT '{"event_type":"' || event_type || '","year":2024,"row_count":' || count(*) || '}' AS example, 1 AS n
+       FROM hourly WHERE year(timestamp) = 2024 GROUP BY event_type HAVING count(*) < 8760""",
+)
 
 
-@query(
-    "q12_series_report",
-    sql.ctes(sql.HOURLY)
-    + _report_sql("hourly", "y", "event_type")
-    + """ UNION ALL SELECT 'full_year', 'warning', count(*) FROM (
-        SELECT event_type FROM hourly WHERE year(timestamp) = 2024 GROUP BY 1 HAVING count(*) < 8760)""",
-)
+@query("q12_series_report", sql.ctes(sql.HOURLY) + _report_sql("hourly", "y", "event_type") + " UNION ALL " + _SHORT_SQL)
 def series_report(spark, sf):
-    found = contracts.series_rules(hourly(spark, sf), ["timestamp", "y"], "y", keys=_TYPE, partial_year=2024)
-    return found.drop("examples")
+    return _told(contracts.series_rules(hourly(spark, sf), ["timestamp", "y"], "y", keys=_TYPE, partial_year=2024))
 
 
 @query("q12_filled_series_passes", sql.ctes(sql.HOURLY_FILLED) + _report_sql("hourly_filled", "y", "event_type"))
 def filled_series_passes(spark, sf):
-    found = contracts.series_rules(written_hourly(spark, sf), ["timestamp", "y"], "y", keys=_TYPE)
-    return found.drop("examples")
+    return _told(contracts.series_rules(written_hourly(spark, sf), ["timestamp", "y"], "y", keys=_TYPE))
 
 
 @query(
@@ -204,21 +232,27 @@ def filled_series_passes(spark, sf):
     sql.ctes(sql.DEMAND_RAW) + _report_sql("demand_raw", "market_demand_mw", step=86_400),
 )
 def raw_demand_report(spark, sf):
-    raw = daily_demand_raw(spark, sf)
-    return contracts.series_rules(raw, ["timestamp"], "market_demand_mw", freq="1 day").drop("examples")
+    return _told(contracts.series_rules(daily_demand_raw(spark, sf), ["timestamp"], "market_demand_mw", freq="1 day"))
+
+
+_TWICE = _json_sql("", """"row_count":' || row_count || '""")
 
 
 @query(
     "q12_dataset_inputs",
     sql.ctes(sql.DEMAND_RAW, sql.WEATHER)
-    + """SELECT 'unique_demand' AS rule, 'error' AS severity, count(*) AS violations
-        FROM (SELECT 1 FROM demand_raw GROUP BY timestamp HAVING count(*) > 1)
-      UNION ALL SELECT 'unique_weather', 'error', count(*)
-        FROM (SELECT 1 FROM weather GROUP BY timestamp HAVING count(*) > 1)
-      UNION ALL SELECT 'target_not_null', 'error', count(*) FROM demand_raw WHERE ontario_demand_mw IS NULL""",
+    + " UNION ALL ".join(
+        [
+            *[
+                _rule_sql(f"unique_{t}", "error", f"SELECT {_TWICE} AS example, 1 AS n FROM (SELECT timestamp, count(*) AS row_count FROM {source} GROUP BY 1 HAVING count(*) > 1)")
+                for t, source in (("demand", "demand_raw"), ("weather", "weather"))
+            ],
+            _rule_sql("target_not_null", "error", f"SELECT {_json_sql('')} AS example, 1 AS n FROM demand_raw WHERE ontario_demand_mw IS NULL"),
+        ]
+    ),
 )
 def dataset_inputs(spark, sf):
-    return dataset_findings(daily_demand_raw(spark, sf), daily_weather(spark, sf), DAILY).drop("examples")
+    return _told(dataset_findings(daily_demand_raw(spark, sf), daily_weather(spark, sf), DAILY))
 
 
 @query(

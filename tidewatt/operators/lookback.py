@@ -20,7 +20,7 @@ from tidewatt.operators.buckets import AT, BUCKET, OWN, STEPS_PER_BUCKET, Known,
 
 EDGE = "__edge"  # of an edge row: for each column the time and value known beyond the bucket
 FIRST, LAST = -(1 << 62), 1 << 62
-_SEEN = "__seen"
+SEEN = "__seen"
 
 
 def fill_and_look_back(
@@ -48,26 +48,27 @@ def fill_and_look_back(
     """
     reach = max([0, *lags.values(), *means.values()])
     step = step_micros(freq)
-    carried = [_SEEN, *fills]
+    carried = [SEEN, *fills]
     rows = df.withColumn(AT, to_micros(ts))
     if steps is None:
-        rows = rows.withColumns({BUCKET: F.lit(0).cast("long"), OWN: F.lit(True), _SEEN: F.col(AT)})
+        rows = rows.withColumns({BUCKET: F.lit(0).cast("long"), OWN: F.lit(True), SEEN: F.col(AT)})
     else:
-        rows = _with_edges(rows.withColumn(_SEEN, F.col(AT)), carried, keys, step, max(steps, 8 * reach, 1), reach)
+        rows = with_edges(rows.withColumn(SEEN, F.col(AT)), carried, keys, step, max(steps, 8 * reach, 1), reach)
     rows = _filled(rows, fills, keys, steps is not None).withColumn("__since", _since(ts, step, keys, steps is not None))
     rows = rows.withColumns({name: F.lag(value, k).over(bucket_window(keys)) for name, k in lags.items()})
     rows = _with_means(rows, value, means, keys)
     return rows.where(F.col(OWN) & (F.col("__since").isNull() | (F.col("__since") > 0))).select(*df.columns, *lags, *means)
 
 
-def _with_edges(rows: DataFrame, carried: Sequence[str], keys: Sequence[str], step: int, steps: int, reach: int) -> DataFrame:
-    """The rows in their buckets, the last ``reach`` steps of each bucket in the next one too, and two edge rows."""
+def with_edges(rows: DataFrame, carried: Sequence[str], keys: Sequence[str], step: int, steps: int, reach: int) -> DataFrame:
+    """The rows (with AT, and SEEN equal to it) in their buckets, the last ``reach`` steps of each bucket in the next
+    one too, and two edge rows in each."""
     width = step * steps
     home = floor_micros(AT, width)
     copied = F.col(AT) - home >= width - reach * step
     edges = _edges(rows, carried, keys, home, copied, width)
     both = F.when(copied, F.array(home, home + width)).otherwise(F.array(home))
-    dealt = rows.withColumn(BUCKET, F.explode(both)).withColumns({OWN: F.col(BUCKET) == floor_micros(AT, width)})
+    dealt = rows.withColumn(BUCKET, F.explode(both)).withColumns({OWN: F.col(BUCKET).eqNullSafe(floor_micros(AT, width))})
     return dealt.unionByName(edges, allowMissingColumns=True)
 
 
@@ -121,10 +122,15 @@ def _filled(rows: DataFrame, fills: Sequence[str], keys: Sequence[str], edged: b
     return rows.withColumns(sources).withColumns(known).withColumns(filled).drop(*known, *sources)
 
 
+def since_previous(keys: Sequence[str], edged: bool = True) -> Column:
+    """Microseconds since the row before it in the series, null on the first."""
+    seen = F.coalesce(F.col(SEEN), F.col(EDGE)[SEEN]["t"]) if edged else F.col(SEEN)
+    return F.col(SEEN) - F.lag(seen, 1).over(bucket_window(keys))
+
+
 def _since(ts: str, step: int, keys: Sequence[str], edged: bool) -> Column:
-    """Microseconds since the row before it in the series, null on the first; anything but a step is an error."""
-    seen = F.coalesce(F.col(_SEEN), F.col(EDGE)[_SEEN]["t"]) if edged else F.col(_SEEN)
-    since = F.col(_SEEN) - F.lag(seen, 1).over(bucket_window(keys))
+    """The same, with an error for anything but a step."""
+    since = since_previous(keys, edged)
     hole = F.raise_error(F.concat(F.lit("not a complete grid before "), F.col(ts).cast("string"))).cast("long")
     return F.when(since != step, hole).otherwise(since)
 

@@ -21,7 +21,7 @@ from tidewatt.operators import contracts, grid
 from tidewatt.operators.buckets import STEPS_PER_BUCKET
 from tidewatt.operators.joins import WEATHER_FLAG, WEATHER_MEASURES, with_weather
 from tidewatt.operators.lookback import fill_and_look_back
-from tidewatt.operators.windows import HOURLY_LAGS, HOURLY_MEANS, duplicate_times
+from tidewatt.operators.windows import HOURLY_LAGS, HOURLY_MEANS
 
 # Fixed names: columns of the model dataset, in order.
 DATASET_COLUMNS = [
@@ -110,10 +110,6 @@ def model_dataset(demand: DataFrame, weather: DataFrame, settings: FeatureSettin
 def dataset_findings(demand: DataFrame, weather: DataFrame, settings: FeatureSettings = FeatureSettings()) -> DataFrame:
     """What would spoil the join: repeated times on either side, unknown target."""
     s = settings
-    return contracts.report(
-        {
-            "unique_demand": ("error", duplicate_times(demand, keys=s.keys)),
-            "unique_weather": ("error", duplicate_times(weather, keys=s.weather_on)),
-            "target_not_null": ("error", contracts.nulls_in(demand, s.target).select(*s.keys, "timestamp")),
-        }
-    )
+    entries = contracts.time_entries(demand, "unique_demand", s.keys, target=s.target)
+    entries = entries.unionByName(contracts.time_entries(weather, "unique_weather", s.weather_on))
+    return contracts.report_entries(entries, dict.fromkeys(("unique_demand", "unique_weather", "target_not_null"), "error"))
