@@ -304,5 +304,20 @@ def _merged_years(parts: DataFrame, year: int, full: int) -> DataFrame:
     met = parts.groupBy("rule", "example").agg(F.sum("violations").alias("violations"), F.flatten(F.collect_list("examples")).alias("examples"))
     head = F.regexp_replace("example", r"\}$", "")
     shown = F.concat(head, F.when(head == "{", "").otherwise(","), F.lit(f'"year":{year},"row_count":'), F.col("violations").cast("string"), F.lit("}"))
-    short = met.where(by_series & (F.col("violations") < full)).select("rule", shown.alias("example"), F.lit(1).cast("long").alias("n"))
-    return met.where(~by_series).unionByName(accumulated(short))
+    judged = met.where(~by_series | (F.col("violations") < full)).select(
+        "rule",
+        F.when(by_series, F.lit(1).cast("long")).otherwise(F.col("violations")).alias("violations"),
+        F.when(by_series, F.array(shown)).otherwise(F.col("examples")).alias("examples"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        few: dict[str, list[str]] = {}
+        for batch in batches:
+            for rule, n, examples in zip(*[c.to_pylist() for c in batch.columns]):
+                counts[rule] = counts.get(rule, 0) + n
+                few[rule] = sorted([*few.get(rule, []), *examples])[:EXAMPLES]
+        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([few[r] for r in counts], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["rule", "violations", "examples"])
+
+    return judged.mapInArrow(run, "rule string, violations bigint, examples array<string>")
