@@ -102,7 +102,7 @@ def bucket_of(texts, group=None):
     rows = np.arange(len(texts))
     odd = near_dedup.odd_sketches(sets, rows)
     group = rows if group is None else np.array(group)
-    return near_dedup.Bucket(near_dedup.node_ids(sets, rows), group, sets.counts, np.ascontiguousarray(odd).view(np.uint64), near_dedup.band_keys(sets, rows).view(np.int64), 0)
+    return near_dedup.Bucket(near_dedup.node_ids(sets, rows), group, sets.counts, np.ascontiguousarray(odd).view(np.uint64), near_dedup.short_key(near_dedup.band_keys(sets, rows).view(np.int64)), 0)
 
 
 def edited(r, words, edits):
@@ -118,17 +118,40 @@ def test_forest_and_partners_propose_what_is_similar_and_no_more():
     bucket = bucket_of(texts)
     pairs = near_dedup.forest(bucket)
     assert len(pairs) == 57 and all(a // 20 == b // 20 for a, b in pairs)
-    none = [None] * 60
-    two = near_dedup.partners(bucket, none, 2)
+    two = partners_of(bucket, 2)
     assert 60 <= len(two) <= 120 and all(a // 20 == b // 20 for a, b in two)
-    refused = [[bucket.node[x + y - i].tobytes() for x, y in two if i in (x, y)] for i in range(60)]
-    again = near_dedup.partners(bucket, refused, 2)
-    assert again and not set(two) & set(again)
-    assert len(near_dedup.partners(bucket, none, 99)) == 3 * 190
+    assert len(partners_of(bucket, 99)) == 3 * 190
     later = bucket._replace(band=near_dedup.BANDS - 1)
     met = (bucket.keys[:, None, :-1] == bucket.keys[:, :-1]).any(axis=2)
-    assert all(not met[a, b] for a, b in near_dedup.partners(later, none, 99)) and met.sum() > 60
-    assert near_dedup.partners(bucket_of(texts, np.repeat(np.arange(3), 20)), none, 99) == []
+    assert all(not met[a, b] for a, b in partners_of(later, 99)) and met.sum() > 60
+    assert partners_of(bucket_of(texts, np.repeat(np.arange(3), 20)), 99) == set()
+
+
+def partners_of(bucket, k):
+    return {(min(a, b), max(a, b)) for x, y in near_dedup.partners(bucket, k) for a, b in zip(x.tolist(), y.tolist())}
+
+
+def test_refused_partners_do_not_hide_others(docs_of):
+    """Many members just below the threshold stand nearer to each other than the pairs that link."""
+    r = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, edited(r, base, 14)) for i in range(50)]
+    rows += [(100 + i, rows[i][1] + " " + " ".join(f"t{i}x{k}" for k in range(5))) for i in range(0, 50, 7)]
+    made = near_dedup.find_groups(docs_of(rows)).collect()
+    assert sorted(map(repr, map(tuple, made))) == sorted(map(repr, brute(rows)))
+
+
+def test_many_short_texts_in_one_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200000")
+    try:
+        docs = spark.range(70_000).selectExpr("id AS doc_id", "concat('w', id) AS text").coalesce(1)
+        marked = near_dedup.signatures(docs, "doc_id", "text")
+        assert marked.where("n_shingles <> 1").count() == 0
+        assert marked.select("node").distinct().count() == 70_000
+    finally:
+        spark.conf.set(name, before)
 
 
 @pytest.mark.parametrize("words", [6, 30, 200, 1000, 8000])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatt.llm.frames import discard
 from tidewatt.session import staged
 
 
@@ -34,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     links = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     marks = None
     while True:
-        links = staged(_small_star(_large_star(links)), "links")
+        before, links = links, staged(_small_star(_large_star(links)), "links")
+        discard(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if marks == now:
             break

@@ -71,6 +71,14 @@ def add_struct(df: DataFrame, text: str, name: str, fields: T.StructType, work:
     return map_texts(df, text, extend, T.StructType([*df.schema.fields, T.StructField(name, fields)]))
 
 
+def discard(stage: DataFrame) -> None:
+    """Deletes the files of a written stage that no frame reads any more."""
+    jvm, conf = stage.sparkSession._jvm, stage.sparkSession._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in stage.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 class Shared:
     """A broadcast object of bounded size whose class travels with it; loaded once in a task."""
 

@@ -7,9 +7,11 @@
 2. Classes that share a band key meet in a bucket. Inside it the XOR of two sketches counts
    differing samples, and a forest of the most similar pairs is proposed: at most one pair
    less than there are members, never all pairs.
-3. Proposed pairs are confirmed on the full sets. Confirmed links are contracted and refused
-   pairs are remembered. In buckets that still hold several components, each member proposes
-   its 16 most similar partners in other components, then 256, and so on, until none is left.
+3. Proposed pairs are confirmed on the full sets. Confirmed links are contracted and judged
+   pairs are not proposed again. In buckets that still hold several components, each member proposes
+   its 16 most similar partners in other components, then 256, and so on, up to all.
+
+Which buckets are open is decided on ids alone; sketches join only the members of open buckets.
 
 A pair at similarity 0.75 shares a band with probability 1 - (1 - 0.75**4)**32 = 1 - 5e-6,
 and the sketch passes it unless samples and bitmap together are more than four standard
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatt.llm.components import components
-from tidewatt.llm.frames import add_struct, free_name, released, small_batches
+from tidewatt.llm.frames import add_struct, discard, free_name, released, small_batches
 from tidewatt.llm.words import NON_SPACE_BYTES, hash_runs, hash_words, mixed, run_starts, slices, split_words
 from tidewatt.session import staged
 
@@ -114,6 +116,11 @@ def band_keys(sets: Shingles, rows: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short_key(keys: np.ndarray) -> np.ndarray:
+    """The 32 bits by which members of a bucket tell whether they share a key of another band."""
+    return (keys.astype(np.int64) & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
 def odd_sketches(sets: Shingles, rows: np.ndarray) -> np.ndarray:
     """Parity bitmaps of the least hash in each range of hashes."""
     row = np.repeat(np.arange(len(rows)), sets.counts[rows])
@@ -184,7 +191,7 @@ class Bucket(NamedTuple):
     group: np.ndarray  # equal for members that are known to be in one component
     size: np.ndarray
     sketch: np.ndarray
-    keys: np.ndarray  # of all bands
+    keys: np.ndarray  # of all bands, 32 bits each
     band: int  # the one whose key made this bucket
 
     def apart(self, rows: slice) -> np.ndarray:
@@ -201,10 +208,9 @@ class Bucket(NamedTuple):
         return out
 
 
-def forest(bucket: Bucket, refused: list | None = None) -> list[tuple[int, int]]:
+def forest(bucket: Bucket) -> list[tuple[int, int]]:
     """Pairs that join the groups of members that may be similar, most similar first, into trees."""
     m = len(bucket.size)
-    place = {n.tobytes(): i for i, n in enumerate(bucket.node)} if refused and any(refused) else {}
     near, source, waiting = np.full(m, np.inf), np.zeros(m, np.int64), np.ones(m, bool)
     out = []
     for _ in range(m):
@@ -215,27 +221,19 @@ def forest(bucket: Bucket, refused: list | None = None) -> list[tuple[int, int]]
             out.append((int(source[v]), v))
         waiting[v] = False
         away = bucket.apart(slice(v, v + 1))[0]
-        banned = [place[n] for n in refused[v] or () if n in place] if place else []
-        if banned:
-            away[banned] = np.inf
         away[bucket.group == bucket.group[v]] = -1  # joined without a pair
         better = (away < near) & waiting
         near[better], source[better] = away[better], v
     return out
 
 
-def partners(bucket: Bucket, refused: list, k: int) -> list[tuple[int, int]]:
-    """For each member the ``k`` most similar ones of other groups that were not refused yet."""
-    m, out = len(bucket.size), set()
-    place = {n.tobytes(): i for i, n in enumerate(bucket.node)} if any(refused) else {}
+def partners(bucket: Bucket, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each member the ``k`` most similar ones of other groups, a few members at a time."""
+    m = len(bucket.size)
     for at in range(0, m, ROWS_AT_ONCE):
         rows = slice(at, min(at + ROWS_AT_ONCE, m))
         away = bucket.apart(rows)
         away[bucket.group[rows, None] == bucket.group] = np.inf
-        for i in range(at, rows.stop):
-            banned = [place[n] for n in refused[i] or () if n in place]
-            if banned:
-                away[i - at, banned] = np.inf
         if k < m:
             best = np.argpartition(away, k - 1, axis=1)[:, :k]
             x = np.repeat(np.arange(len(away)), k)
@@ -244,51 +242,70 @@ def partners(bucket: Bucket, refused: list, k: int) -> list[tuple[int, int]]:
             x, y = x[close], y[close]
         else:
             x, y = np.nonzero(away <= 1)
-        x = x + at
-        out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-    return sorted(out)
+            once = y > x + at  # the other side proposes it too
+            x, y = x[once], y[once]
+        yield x + at, y
+
+
+PAIR_ROWS = 1 << 16  # proposed pairs handed on at once
 
 
 def propose(buckets: DataFrame, k: int) -> DataFrame:
-    """(a, b): pairs to confirm, a forest or ``k`` partners of each member, from rows (key, low, high, node, component, n_shingles, sketch, refused, keys)."""
+    """(a, b): pairs to confirm, a forest or ``k`` partners of each member, from rows (key, low, high, node, component, n_shingles, sketch, keys)."""
     rows = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def of_bucket(bucket: Bucket, refused: list) -> list[tuple[int, int]]:
+    def of_bucket(bucket: Bucket) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(bucket.size) == 1 or (bucket.group == bucket.group[0]).all():
-            return []
-        return partners(bucket, refused, k) if k else forest(bucket, refused)
+            return
+        if k:
+            yield from partners(bucket, k)
+        else:
+            yield tuple(np.array(forest(bucket), np.int64).reshape(-1, 2).T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def handed_on() -> pa.RecordBatch:
+            sides = [fixed_binary(np.concatenate([w[s] for w in waiting])) for s in (0, 1)]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays(sides, names=["a", "b"])
 
-        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
-            table = table.combine_chunks()
+        def pairs(table: pa.Table, end: int) -> Iterator[pa.RecordBatch]:
+            """Of the buckets in the first ``end`` rows."""
+            table = table.slice(0, end).combine_chunks()
             marks = np.stack([table.column(k).to_numpy() for k in range(3)], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(marks)]])
-            whole = cuts if last else cuts[:-1]
-            end = int(whole[-1])
-            node, group = (from_binary(table.column(k).slice(0, end), 2) for k in (3, 4))
+            node, group = (from_binary(table.column(k), 2) for k in (3, 4))
             group = np.unique(group, axis=0, return_inverse=True)[1].reshape(-1)
-            size = table.column(5).to_numpy()[:end]
-            sketch = from_binary(table.column(6).slice(0, end), SKETCH_BITS // 64)
-            refused = table.column(7).slice(0, end).to_pylist()
-            keys = pa.concat_arrays(table.column(8).slice(0, end).chunks).flatten().to_numpy().reshape(-1, BANDS) if end else np.zeros((0, BANDS), np.int64)
-            band = (keys == marks[:end, :1]).argmax(axis=1)
-            a, b = [], []
-            for x, y in zip(whole[:-1].tolist(), whole[1:].tolist()):
-                for i, j in of_bucket(Bucket(node[x:y], group[x:y], size[x:y], sketch[x:y], keys[x:y], int(band[x])), refused[x:y]):
-                    a.append(x + i)
-                    b.append(x + j)
-            sides = [fixed_binary(node[np.array(s, np.int64)]) if s else pa.array([], pa.binary()) for s in (a, b)]
-            return pa.RecordBatch.from_arrays(sides, names=["a", "b"]), None if last else table.slice(end)
+            size = table.column(5).to_numpy()
+            sketch = from_binary(table.column(6), SKETCH_BITS // 64)
+            keys = pa.concat_arrays(table.column(7).chunks).flatten().to_numpy().reshape(-1, BANDS)
+            band = (keys == short_key(marks[:, :1])).argmax(axis=1)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for i, j in of_bucket(Bucket(node[x:y], group[x:y], size[x:y], sketch[x:y], keys[x:y], int(band[x]))):
+                    if len(i):
+                        waiting.append((node[x + i], node[x + j]))
+                    if sum(len(w[0]) for w in waiting) >= PAIR_ROWS:
+                        yield handed_on()
+
+        def whole(table: pa.Table) -> int:
+            """The rows before the last bucket, which may go on."""
+            marks = np.stack([table.column(k).to_numpy() for k in range(3)], axis=1)
+            change = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1))
+            return int(change[-1]) + 1 if len(change) else 0
 
         for batch in batches:
             part = pa.Table.from_batches([batch])
             held = part if held is None else pa.concat_tables([held, part])
-            made, held = pairs(held, False)
-            yield made
+            end = whole(held)
+            if end:
+                yield from pairs(held, end)
+                held = held.slice(end)
         if held is not None and held.num_rows:
-            yield pairs(held, True)[0]
+            yield from pairs(held, held.num_rows)
+        if waiting:
+            yield handed_on()
 
     made = small_batches(rows).mapInArrow(lambda batches: released(run(batches)), "a binary, b binary")
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -364,53 +381,65 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
     # sets of fewer than three shingles are similar to equal sets only
     keyed = classes.where("n_shingles >= 3").select(F.explode("keys").alias("key"), "node")
     full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = staged(keyed.join(full, "key"), "met").join(classes.select("node", "n_shingles", "sketch", "keys"), "node")
-    members = staged(met, "members")
+    members = staged(keyed.join(full, "key"), "members")
+    short = F.transform("keys", lambda key: F.shiftright(F.shiftleft(key, 32), 32).cast("int"))
+    measured = classes.select("node", "n_shingles", "sketch", short.alias("keys"))
     large = not members.where(F.col("members") > block).isEmpty()
 
-    links = refused = sets = None
+    links = judged = sets = None
     labels: DataFrame | None = None
     step, regrouped = 0, 0 if large else None  # regrouped: the last split by another hash, or none any more
     while True:
+        k = most = 0
         if labels is None:
-            rows = members.withColumns({"component": F.col("node"), "refused": F.lit(None).cast("array<binary>")})
+            rows = members.withColumn("component", F.col("node"))
         else:
             rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            rows = rows.join(several, "key", "left_semi")
-            of_node = refused.select("a", "b").unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refused"))
-            rows = rows.join(of_node, "node", "left")
-        columns = ["key", "low", "high", "node", "component", "n_shingles", "sketch", "refused", "keys"]
+            rows = staged(rows.join(several, "key", "left_semi"), "open")
         if labels is None:
-            dealt, k = _blocks(rows, block, 0), 0
+            dealt = _blocks(rows, block, 0)
         elif regrouped is not None:
             regrouped += 1
-            dealt, k = _blocks(rows.where(F.col("members") > block), block, regrouped), 0
+            dealt = _blocks(rows.where(F.col("members") > block), block, regrouped)
         else:
             step += 1
-            dealt, k = rows.where(F.col("members") <= block).withColumns({"low": F.lit(0), "high": F.lit(0)}), 16**step
+            k, most = 16**step, rows.agg(F.max("members")).first()[0] or 0
+            dealt = rows.where(F.col("members") <= block).withColumns({"low": F.lit(0), "high": F.lit(0)})
             if large:
                 dealt = dealt.unionByName(_pairs_of_blocks(rows.where(F.col("members") > block), block))
-        pairs = staged(propose(dealt.select(columns), k), "pairs")
+        wide = dealt.select("key", "low", "high", "node", "component").join(measured, "node")
+        proposed = propose(wide.select("key", "low", "high", "node", "component", "n_shingles", "sketch", "keys"), k)
+        if judged is not None:
+            proposed = proposed.join(judged, ["a", "b"], "left_anti")
+        pairs = staged(proposed, "pairs")
+        if labels is not None:
+            discard(rows)
         if labels is not None and pairs.isEmpty():
-            if regrouped is None:
+            if regrouped is not None:
+                regrouped = None
+            elif k >= min(most, 2 * block):  # every close pair of the open buckets has been judged
                 break
-            regrouped = None
             continue
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         if sets is not None:
             nodes = nodes.join(sets.select("node"), "node", "left_anti")
         new = staged(full_sets(docs, doc_id, text, classes.select("node", "least_id").join(nodes, "node")), "sets") if sets is None or not nodes.isEmpty() else None
         sets = new if sets is None else sets if new is None else sets.unionByName(new)
-        judged = staged(confirmed(pairs, sets), "judged")
-        good, bad = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), judged.where("NOT linked").select("a", "b")
+        now = staged(confirmed(pairs, sets), "judged")
+        discard(pairs)
+        judged = now.select("a", "b") if judged is None else judged.unionByName(now.select("a", "b"))
+        good = now.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = good if links is None else links.unionByName(good)
-        refused = bad if refused is None else refused.unionByName(bad)
         joined = not good.isEmpty()
         if regrouped is not None and (regrouped == REGROUPED or labels is not None and not joined):
             regrouped = None
         if labels is None or joined:
-            labels = staged(components(links), "labels")
+            before, labels = labels, staged(components(links), "labels")
+            if before is not None:
+                discard(before)
+    for stage in (members, sets) if sets is not None else (members,):
+        discard(stage)
 
     ids = classes.select("node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -23,6 +23,7 @@ MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FNV_BASIS, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 SLICE_BYTES = 2 << 20  # text handled at once; a longer text is one slice of its own
+SLICE_ROWS = 1 << 16  # texts handled at once, so that their numbers fit in 16 bits
 LONG_WORD = 48  # words above this many bytes are hashed one by one
 
 
@@ -53,13 +54,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about ``limit`` bytes; at least one row each."""
+    """The batch in runs of at most SLICE_ROWS rows whose texts hold about ``limit`` bytes; at least one row each."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), batch.num_rows)
+        to = min(max(to, at + 1), at + SLICE_ROWS, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
 
