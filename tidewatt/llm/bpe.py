@@ -48,7 +48,9 @@ LOWER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE:
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 LONG_WORD = 1024  # symbols from which a word is encoded on its own
 CELLS = 1 << 21  # word symbols in numpy at once
-CACHE_WORDS = 200_000
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 200  # of objects and table beside what an entry says
+LONG_ENTRY = 256  # characters from which a run or word is not remembered
 
 
 def byte_characters() -> list[str]:
@@ -131,6 +133,7 @@ class Vocabulary:
         self.link, self.length = np.array(machine.link, np.int64), np.array(machine.length, np.int64)
         self.moves = Lookup({s * 2 * WORD_END + c: t for s, row in enumerate(machine.next) for c, t in row.items()})
         self.strings = {i: t for t, i in ids.items()}
+        self.plain: tuple | None = None  # the tables as dicts and lists, when a long word needs them
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.strings.update({i: t for t, i in self.special.items()})
 
@@ -158,8 +161,8 @@ class Vocabulary:
             open_ = open_[~clash & (undo_x | undo_y)]
         return fits
 
-    def encode_symbols(self, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Tokens of words given as rows of symbols, longest word first."""
+    def encode_symbols(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words given as rows of symbols, longest word first: all in a row, and how many each has."""
         n, width = symbols.shape
         last = np.full((n, width + 1), -1, np.int32)
         state, matched = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -193,20 +196,24 @@ class Vocabulary:
             state[open_] = self.link[state[open_]]
             matched[open_] = self.length[state[open_]]
 
-    def _followed_back(self, last: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    def _followed_back(self, last: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, steps = lengths.copy(), []
         while (live := at > 0).any():
             token = np.where(live, last[np.arange(len(at)), at], -1)
             steps.append(token)
             at = np.where(live, at - self.sizes[token], 0)
         back = np.array(steps[::-1], np.int64).reshape(len(steps), len(at)).T
-        return [row[row >= 0] for row in back]
+        return back[back >= 0], (back >= 0).sum(axis=1)
 
     def encode_long(self, symbols: list[int]) -> list[int]:
         """The same for one word, symbol by symbol, with plain integers."""
-        moves = dict(zip(self.moves.keys.tolist(), self.moves.values.tolist()))
-        pairs = dict(zip(self.pairs.keys.tolist(), self.pairs.values.tolist()))
-        left, right, link, length, nearest, token = (v.tolist() for v in (self.left, self.right, self.link, self.length, self.nearest, self.token))
+        if self.plain is None:  # once in a task
+            self.plain = (
+                dict(zip(self.moves.keys.tolist(), self.moves.values.tolist())),
+                dict(zip(self.pairs.keys.tolist(), self.pairs.values.tolist())),
+                *(v.tolist() for v in (self.left, self.right, self.link, self.length, self.nearest, self.token)),
+            )
+        moves, pairs, left, right, link, length, nearest, token = self.plain
         seen: dict[tuple[int, int], bool] = {}
 
         def fits(a: int, b: int) -> bool:
@@ -259,52 +266,78 @@ class Vocabulary:
             width = len(words[order[at]])
             part = order[at : at + max(1, CELLS // (width + 1))]
             lengths = np.array([len(words[i]) for i in part], np.int64)
+            inside = np.arange(width) < lengths[:, None]
             symbols = np.zeros((len(part), width), np.int16)
-            for row, i in enumerate(part):
-                symbols[row, : lengths[row]] = np.frombuffer(words[i], np.uint8)
+            symbols[inside] = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
             symbols[np.arange(len(part)), lengths - 1] += WORD_END
-            for i, tokens in zip(part, self.encode_symbols(symbols, lengths)):
-                out[i] = self.ids[tokens].astype("<u4").tobytes()
+            tokens, counts = self.encode_symbols(symbols, lengths)
+            coded, ends = self.ids[tokens].astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+            for i, begin, end in zip(part, [0, *ends], ends):
+                out[i] = coded[begin:end]
             at += len(part)
         return out
 
 
 class Encoder:
-    """Texts to ids in one task; remembers words it has seen, up to a bound."""
+    """Texts to ids in one task; remembers runs between spaces that it has seen, up to a bound in bytes.
+
+    The split never crosses a space, normalisation never reaches across one, and a run of letters is a
+    word, so a run that was seen before needs neither.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.split = re.compile(vocabulary.pattern)
         self.unlike = re.compile("[" + "".join(map(chr, LOWER)) + "]")
-        self.spaces = re.compile(f"[{SPACE}]+")
+        spaces = [chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c))]
+        self.plain_spaces = [c for c in spaces if c.isascii() and c != " "]
+        self.wide_spaces = [c for c in spaces if not c.isascii()]
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of runs
+        self.words: dict[str, bytes] = {}  # ids of their words
+        self.held = 0
         self.fixed = {s: int(i).to_bytes(4, "little") for s, i in vocabulary.special.items()}
         self.strings = [vocabulary.strings.get(i, "") for i in range(max(vocabulary.strings) + 1)]
 
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if self.unlike.search(text):
-                text = text.translate(LOWER)
-        return self.spaces.sub(" ", text).lower()
-
-    def pieces(self, text: str) -> Iterable[tuple[bool, list[str]]]:
-        """(whether special, words) of a text in order."""
+    def runs(self, text: str) -> list[str]:
+        """What stands between spaces."""
+        for space in self.plain_spaces if text.isascii() else self.plain_spaces + self.wide_spaces:
+            text = text.replace(space, " ")
+        return [run for run in text.split(" ") if run]
+
+    def words_of(self, run: str) -> list[str]:
+        if not run.isascii():
+            run = unicodedata.normalize("NFC", run)
+            if self.unlike.search(run):
+                run = run.translate(LOWER)
+        run = run.lower()
+        return [run] if run.isalpha() else self.split.findall(run)
+
+    def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
+        """(whether special, runs) of a text in order."""
         if self.special is None or not self.special.search(text):
-            yield False, self.split.findall(self.normal(text))
-            return
-        for part in self.special.split(text):
-            yield (True, [part]) if part in self.fixed else (False, self.split.findall(self.normal(part)))
+            return [(False, self.runs(text))]
+        return [(True, [part]) if part in self.fixed else (False, self.runs(part)) for part in self.special.split(text)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        found = [list(self.pieces(t or "")) for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        found = [self.pieces(t or "") for t in texts]
+        if self.held > CACHE_BYTES:
             self.known.clear()
-        new = [w for w in {w for pieces in found for special, words in pieces if not special for w in words} if w not in self.known]
-        self.known.update(zip(new, self.vocabulary.encode_words([w.encode() for w in new])))
-        known, fixed = self.known, self.fixed
-        return [b"".join([fixed[words[0]] if special else b"".join(map(known.__getitem__, words)) for special, words in pieces]) for pieces in found]
+            self.words.clear()
+            self.held = 0
+        known, words = self.known, self.words
+        runs = {run for pieces in found for special, parts in pieces if not special for run in parts}.difference(known)
+        split = {run: self.words_of(run) for run in runs}
+        new = list({w for parts in split.values() for w in parts}.difference(words))
+        words.update(zip(new, self.vocabulary.encode_words([w.encode() for w in new])))
+        known.update((run, b"".join(map(words.__getitem__, parts))) for run, parts in split.items())
+        coded = [b"".join([self.fixed[parts[0]] if special else b"".join(map(known.__getitem__, parts)) for special, parts in pieces]) for pieces in found]
+        for cache, added in ((known, split), (words, new)):
+            for entry in [e for e in added if len(e) > LONG_ENTRY]:
+                del cache[entry]
+            # ids take about as much as what they stand for
+            self.held += len(added) * ENTRY_BYTES + 2 * min(sum(map(len, added)), LONG_ENTRY * len(added))
+        return coded
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' strings joined by spaces, special tokens included: this vocabulary has no decoder."""

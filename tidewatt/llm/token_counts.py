@@ -32,7 +32,9 @@ from tidewatt.llm.frames import Shared, released, small_batches
 
 LEAF = 64  # pre-tokens in a leaf when it is made
 CONTEXT = 2  # characters beyond a pre-token that its split can depend on
-CACHE_WORDS = 200_000
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 150  # of objects and table beside what an entry says
+LONG_ENTRY = 256  # characters from which a pre-token is not remembered
 
 
 class Counter:
@@ -44,15 +46,23 @@ class Counter:
         self.split = regex.compile(pattern)
         self.coder = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def counts(self, words: list[str]) -> list[int]:
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         known, encode = self.known, self.coder.encode_ordinary
-        for word in set(words):
-            if word not in known:
-                known[word] = len(encode(word))
-        return list(map(self.known.__getitem__, words))
+        new = [word for word in set(words) if word not in known]
+        for word in new:
+            known[word] = len(encode(word))
+        out = list(map(known.__getitem__, words))
+        for word in new:
+            if len(word) > LONG_ENTRY:
+                del known[word]
+            else:
+                self.held += ENTRY_BYTES + 4 * len(word)
+        return out
 
 
 class SegmentTree:
@@ -199,7 +209,9 @@ def count_tokens(docs: DataFrame, edits: DataFrame, path: str, pattern: str, *,
         F.col("doc_id").cast(kind).alias("doc_id"), F.lit(0).alias("what"), F.coalesce(F.col("replacement"), F.lit("")).alias("text"),
         *[F.col(c).cast("bigint").alias(c) for c in ("edit_no", "start", "stop")],
     )
-    rows = texts.unionByName(changes).repartition("doc_id").sortWithinPartitions("doc_id", F.desc("what"), "edit_no", "start", "stop", "text")
+    # a document without an id has no edits, so it is counted where it is
+    known = texts.where("doc_id IS NOT NULL").unionByName(changes)
+    rows = known.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("what"), "edit_no", "start", "stop", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*vocabulary.get())
@@ -231,5 +243,7 @@ def count_tokens(docs: DataFrame, edits: DataFrame, path: str, pattern: str, *,
         yield made(done())
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    counted = small_batches(rows).mapInArrow(lambda batches: released(run(batches)), f"doc_id {id_type}, n_before bigint, n_after bigint, n_chars_after bigint, n_pretokens bigint, n_reencoded bigint")
+    schema = f"doc_id {id_type}, n_before bigint, n_after bigint, n_chars_after bigint, n_pretokens bigint, n_reencoded bigint"
+    counted = small_batches(rows).mapInArrow(lambda batches: released(run(batches)), schema)
+    counted = counted.unionByName(texts.where("doc_id IS NULL").select(rows.columns).mapInArrow(lambda batches: released(run(batches)), schema))
     return counted if doc_id == "doc_id" else counted.withColumnRenamed("doc_id", doc_id)
