@@ -121,6 +121,7 @@ def test_forest_and_partners_propose_what_is_similar_and_no_more():
     two = partners_of(bucket, 2)
     assert 60 <= len(two) <= 120 and all(a // 20 == b // 20 for a, b in two)
     assert len(partners_of(bucket, 99)) == 3 * 190
+    assert any(more for *_, more in near_dedup.partners(bucket, 2)) and not any(more for *_, more in near_dedup.partners(bucket, 19))
     later = bucket._replace(band=near_dedup.BANDS - 1)
     met = (bucket.keys[:, None, :-1] == bucket.keys[:, :-1]).any(axis=2)
     assert all(not met[a, b] for a, b in partners_of(later, 99)) and met.sum() > 60
@@ -128,7 +129,7 @@ def test_forest_and_partners_propose_what_is_similar_and_no_more():
 
 
 def partners_of(bucket, k):
-    return {(min(a, b), max(a, b)) for x, y in near_dedup.partners(bucket, k) for a, b in zip(x.tolist(), y.tolist())}
+    return {(min(a, b), max(a, b)) for x, y, _ in near_dedup.partners(bucket, k) for a, b in zip(x.tolist(), y.tolist())}
 
 
 def test_refused_partners_do_not_hide_others(docs_of):

@@ -227,14 +227,15 @@ def forest(bucket: Bucket) -> list[tuple[int, int]]:
     return out
 
 
-def partners(bucket: Bucket, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each member the ``k`` most similar ones of other groups, a few members at a time."""
+def partners(bucket: Bucket, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """For each member the ``k`` most similar ones of other groups, a few members at a time; and whether there are more."""
     m = len(bucket.size)
     for at in range(0, m, ROWS_AT_ONCE):
         rows = slice(at, min(at + ROWS_AT_ONCE, m))
         away = bucket.apart(rows)
         away[bucket.group[rows, None] == bucket.group] = np.inf
-        if k < m:
+        more = bool(((away <= 1).sum(axis=1) > k).any())
+        if more:
             best = np.argpartition(away, k - 1, axis=1)[:, :k]
             x = np.repeat(np.arange(len(away)), k)
             y = best.reshape(-1)
@@ -244,27 +245,30 @@ def partners(bucket: Bucket, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             x, y = np.nonzero(away <= 1)
             once = y > x + at  # the other side proposes it too
             x, y = x[once], y[once]
-        yield x + at, y
+        yield x + at, y, more
 
 
+MORE = fixed_binary(np.zeros((1, 2), np.uint64))  # both sides of a row that says that some partners were left out
 PAIR_ROWS = 1 << 16  # proposed pairs handed on at once
 
 
 def propose(buckets: DataFrame, k: int) -> DataFrame:
-    """(a, b): pairs to confirm, a forest or ``k`` partners of each member, from rows (key, low, high, node, component, n_shingles, sketch, keys)."""
+    """(a, b): pairs to confirm, a forest or ``k`` partners of each member (with a row of equal sides if a
+    member has more), from rows (key, low, high, node, component, n_shingles, sketch, keys)."""
     rows = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def of_bucket(bucket: Bucket) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_bucket(bucket: Bucket) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         if len(bucket.size) == 1 or (bucket.group == bucket.group[0]).all():
             return
         if k:
             yield from partners(bucket, k)
         else:
-            yield tuple(np.array(forest(bucket), np.int64).reshape(-1, 2).T)
+            yield *np.array(forest(bucket), np.int64).reshape(-1, 2).T, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        left_out = False
 
         def handed_on() -> pa.RecordBatch:
             sides = [fixed_binary(np.concatenate([w[s] for w in waiting])) for s in (0, 1)]
@@ -273,6 +277,7 @@ def propose(buckets: DataFrame, k: int) -> DataFrame:
 
         def pairs(table: pa.Table, end: int) -> Iterator[pa.RecordBatch]:
             """Of the buckets in the first ``end`` rows."""
+            nonlocal left_out
             table = table.slice(0, end).combine_chunks()
             marks = np.stack([table.column(k).to_numpy() for k in range(3)], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(marks)]])
@@ -283,7 +288,8 @@ def propose(buckets: DataFrame, k: int) -> DataFrame:
             keys = pa.concat_arrays(table.column(7).chunks).flatten().to_numpy().reshape(-1, BANDS)
             band = (keys == short_key(marks[:, :1])).argmax(axis=1)
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                for i, j in of_bucket(Bucket(node[x:y], group[x:y], size[x:y], sketch[x:y], keys[x:y], int(band[x]))):
+                for i, j, more in of_bucket(Bucket(node[x:y], group[x:y], size[x:y], sketch[x:y], keys[x:y], int(band[x]))):
+                    left_out = left_out or more
                     if len(i):
                         waiting.append((node[x + i], node[x + j]))
                     if sum(len(w[0]) for w in waiting) >= PAIR_ROWS:
@@ -306,6 +312,8 @@ def propose(buckets: DataFrame, k: int) -> DataFrame:
             yield from pairs(held, held.num_rows)
         if waiting:
             yield handed_on()
+        if left_out:
+            yield pa.RecordBatch.from_arrays([MORE, MORE], names=["a", "b"])
 
     made = small_batches(rows).mapInArrow(lambda batches: released(run(batches)), "a binary, b binary")
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -390,13 +398,13 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
     labels: DataFrame | None = None
     step, regrouped = 0, 0 if large else None  # regrouped: the last split by another hash, or none any more
     while True:
-        k = most = 0
+        k = 0
         if labels is None:
             rows = members.withColumn("component", F.col("node"))
         else:
             rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            rows = staged(rows.join(several, "key", "left_semi"), "open")
+            rows = rows.join(several, "key", "left_semi")
         if labels is None:
             dealt = _blocks(rows, block, 0)
         elif regrouped is not None:
@@ -404,7 +412,8 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
             dealt = _blocks(rows.where(F.col("members") > block), block, regrouped)
         else:
             step += 1
-            k, most = 16**step, rows.agg(F.max("members")).first()[0] or 0
+            k = 16**step
+            rows = staged(rows, "open") if large else rows
             dealt = rows.where(F.col("members") <= block).withColumns({"low": F.lit(0), "high": F.lit(0)})
             if large:
                 dealt = dealt.unionByName(_pairs_of_blocks(rows.where(F.col("members") > block), block))
@@ -412,13 +421,14 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
         proposed = propose(wide.select("key", "low", "high", "node", "component", "n_shingles", "sketch", "keys"), k)
         if judged is not None:
             proposed = proposed.join(judged, ["a", "b"], "left_anti")
-        pairs = staged(proposed, "pairs")
-        if labels is not None:
+        made = staged(proposed, "pairs")
+        pairs = made.where("a <> b")
+        if large and k:
             discard(rows)
         if labels is not None and pairs.isEmpty():
             if regrouped is not None:
                 regrouped = None
-            elif k >= min(most, 2 * block):  # every close pair of the open buckets has been judged
+            elif made.isEmpty():  # every close pair of the open buckets has been judged
                 break
             continue
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -427,7 +437,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
         new = staged(full_sets(docs, doc_id, text, classes.select("node", "least_id").join(nodes, "node")), "sets") if sets is None or not nodes.isEmpty() else None
         sets = new if sets is None else sets if new is None else sets.unionByName(new)
         now = staged(confirmed(pairs, sets), "judged")
-        discard(pairs)
+        discard(made)
         judged = now.select("a", "b") if judged is None else judged.unionByName(now.select("a", "b"))
         good = now.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = good if links is None else links.unionByName(good)
