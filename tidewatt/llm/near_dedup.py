@@ -405,6 +405,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
             rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
             rows = rows.join(several, "key", "left_semi")
+            rows = staged(rows, "open") if large else rows  # read several times where buckets are cut into blocks
         if labels is None:
             dealt = _blocks(rows, block, 0)
         elif regrouped is not None:
@@ -413,7 +414,6 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
         else:
             step += 1
             k = 16**step
-            rows = staged(rows, "open") if large else rows
             dealt = rows.where(F.col("members") <= block).withColumns({"low": F.lit(0), "high": F.lit(0)})
             if large:
                 dealt = dealt.unionByName(_pairs_of_blocks(rows.where(F.col("members") > block), block))
@@ -423,7 +423,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
             proposed = proposed.join(judged, ["a", "b"], "left_anti")
         made = staged(proposed, "pairs")
         pairs = made.where("a <> b")
-        if large and k:
+        if large and labels is not None:
             discard(rows)
         if labels is not None and pairs.isEmpty():
             if regrouped is not None:
