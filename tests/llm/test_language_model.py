@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from texts import NON_SPACE, lower, some_documents
@@ -39,10 +41,10 @@ def brute(rows, order, prior):
     return out
 
 
-@pytest.mark.parametrize("order, owners, pack", [(1, 400_000, 4 << 20), (2, 400_000, 4 << 20), (2, 40, 2000), (3, 60, 3000)])
-def test_against_brute_force(docs_of, order, owners, pack):
+@pytest.mark.parametrize("order, owners, pack, piece", [(1, 400_000, 4 << 20, 512), (2, 40, 2000, 5), (3, 400_000, 4 << 20, 512), (3, 60, 3000, 1), (4, 60, 1000, 7)])
+def test_against_brute_force(docs_of, order, owners, pack, piece):
     rows = some_documents(order, n=50)
-    made = language_model.text_scores(docs_of(rows), order=order, keys_per_owner=owners, pack_bytes=pack).collect()
+    made = language_model.text_scores(docs_of(rows), order=order, keys_per_owner=owners, pack_bytes=pack, piece=piece).collect()
     key = lambda r: (repr(tuple(r)[:5]), tuple(r)[5])
     for a, b in zip(sorted(map(tuple, made), key=key), sorted(brute(rows, order, language_model.PRIOR), key=key), strict=True):
         assert a[:5] == b[:5]
@@ -57,5 +59,25 @@ def test_probabilities_sum_to_one(context):
     assert sum(p((*context, w)) for w in words) == pytest.approx(1)
 
 
+def test_states_and_arcs():
+    """One pack that holds all of training: the states are its contexts, failure arcs drop their first word."""
+    tokens = language_model.Tokens(pa.array(["a b a", "x a b c"]))
+    counts = language_model.Counts(tokens, tokens.text == 0)
+    for _ in range(3):
+        _, own, _ = counts.next_order()
+        counts.learn(2 * own)
+    machine = language_model.BackoffAutomaton(counts, 4, 3, 100.0)
+    # contexts: none, a, b, end, a b, b a, a end; arcs: three words, three pairs, two triples
+    assert len(machine.failure) == 7 and len(machine.arcs) - 1 == 8
+    assert sorted(machine.failure[1:4].tolist()) == [0, 0, 0] and set(machine.failure[4:].tolist()) == {1, 2, 3} & set(machine.failure[4:].tolist())
+    words = counts.grams[0].at
+    state, costs = np.zeros(1, np.int64), []
+    for i in range(4, 9):
+        state, cost = machine.step(state, words[i : i + 1])
+        costs.append(cost[0])
+    assert costs == pytest.approx(machine.traverse(words, tokens.first, 2)[4:])
+    assert costs[0] == pytest.approx(math.log10(0.5 / 6)) and costs[1] == pytest.approx(math.log10(2.5 / 6))
+
+
 def test_empty_table(docs_of):
     assert language_model.text_scores(docs_of([])).count() == 0

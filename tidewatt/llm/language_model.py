@@ -2,15 +2,21 @@
 
 Counts come from all training documents. A pack of documents asks the corpus for the counts
 of its own distinct n-grams and builds the automaton restricted to them, which is all that
-its texts can visit: states are contexts seen in training, an arc reads a word, and where a
-state has no arc for the next word its failure arc leads to the shorter context. Weights are
-log10 probabilities smoothed with a Dirichlet prior around the next shorter order:
+its texts can visit: states are contexts seen in training, an arc reads a word and leads to
+the longest context that it leaves, and where a state has no arc for the next word its
+failure arc leads to the shorter context. Weights are log10 probabilities smoothed with a
+Dirichlet prior around the next shorter order:
 
     p(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
     p(w | h)   = (c(h w) + m p(w | h')) / (c(h) + m)
 
 so an unseen n-gram costs the failure weight m / (c(h) + m), and the probabilities of all
-words after any context sum to one. One pass over the tokens carries the state.
+words after any context sum to one. One pass over the tokens carries the state. A state
+depends on the last ``order`` - 1 tokens only, so long texts are read in pieces side by side
+that begin that many tokens early.
+
+Counts are asked for one order after the other. An n-gram of which a part occurs in no other
+pack occurs in no other pack itself; its count is the pack's own, and it is not asked for.
 
 Defined results: a null or empty text is one end token; a null id is text '' for the fold;
 rows that repeat an id are scored each, and counted each if they are in training; without
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,72 +39,158 @@ from tidewatt.llm import packs as P
 from tidewatt.llm.words import NON_SPACE_BYTES, hash_runs, hash_words, split_words
 from tidewatt.session import staged
 
-ORDER = 2
+ORDER = 3
 PRIOR = 100.0
 KEYS_PER_OWNER = 400_000
 PACK_BYTES = 3 << 20  # n-grams take more memory than words
+PIECE = 512  # tokens of a text that one lane of the traversal reads
 END = np.uint64(0x9E3779B97F4A7C15)  # the hash of the end token; no word of bytes is checked against it
 
 
+class Grams(NamedTuple):
+    """The distinct n-grams of one order in a pack."""
+
+    keys: np.ndarray  # sorted hashes
+    at: np.ndarray  # for each token the n-gram that ends there, or -1
+    example: np.ndarray  # a token at which each n-gram ends
+
+
 class Tokens:
-    """Tokens of a pack with their ends, and its distinct n-grams of each order."""
+    """Tokens of a pack with their ends."""
 
-    def __init__(self, column: pa.Array, order: int) -> None:
+    def __init__(self, column: pa.Array) -> None:
         words = split_words(column, NON_SPACE_BYTES, True)
         counts = words.counts + 1
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        token = np.empty(self.first[-1], np.uint64)
+        self.token = np.empty(self.first[-1], np.uint64)
         ends = self.first[1:] - 1
-        token[ends] = END
-        inner = np.ones(len(token), bool)
+        self.token[ends] = END
+        inner = np.ones(len(self.token), bool)
         inner[ends] = False
-        token[inner] = hash_words(words)
+        self.token[inner] = hash_words(words)
         self.text = np.repeat(np.arange(len(counts)), counts)
-        local = np.arange(len(token)) - self.first[:-1][self.text]
-        # the order stands in the low bits of a key, so that orders never meet
-        self.at, hashes = [], []
-        for n in range(1, order + 1):
-            at = np.flatnonzero(local >= n - 1)
-            self.at.append(at)
-            hashes.append((hash_runs(token, at - (n - 1), n, seed=4) & ~np.uint64(7)) | np.uint64(n))
-        self.keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        cuts = np.cumsum([len(a) for a in self.at])[:-1]
-        self.place = np.split(place, cuts)
+
+    def grams(self, n: int) -> Grams:
+        local = np.arange(len(self.token)) - self.first[:-1][self.text]
+        ends = np.flatnonzero(local >= n - 1)
+        keys, example, place = np.unique(hash_runs(self.token, ends - (n - 1), n, seed=4), return_index=True, return_inverse=True)
+        at = np.full(len(self.token), -1, np.int32)
+        at[ends] = place
+        return Grams(keys, at, ends[example])
+
+
+class Counts:
+    """Training counts of a pack's n-grams, one order after the other."""
+
+    def __init__(self, tokens: Tokens, training: np.ndarray) -> None:
+        self.tokens, self.training = tokens, training
+        self.grams: list[Grams] = []
+        self.seen: list[np.ndarray] = []
+        self.alone = np.zeros(0, bool)  # n-grams of the last order that no other pack has
+
+    def next_order(self) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """The n-grams of the next order, the pack's own counts, and which must be asked for."""
+        grams = self.tokens.grams(len(self.grams) + 1)
+        own = np.bincount(grams.at[self.training & (grams.at >= 0)], minlength=len(grams.keys))
+        asked = np.ones(len(grams.keys), bool)
+        if self.grams:
+            parts = self.grams[-1].at
+            asked = ~(self.alone[parts[grams.example - 1]] | self.alone[parts[grams.example]])
+        return grams, own, asked
+
+    def learn(self, answer: np.ndarray) -> None:
+        """Takes the answer for the asked n-grams of the next order: twice the count, and one more if no other pack asked."""
+        grams, seen, asked = self.next_order()
+        seen[asked] = answer >> 1
+        self.alone = ~asked
+        self.alone[asked] = answer & 1 == 1
+        self.grams.append(grams)
+        self.seen.append(seen)
 
 
 class BackoffAutomaton:
-    """The model restricted to the n-grams of one pack.
+    """States, arcs and failure arcs of the model, restricted to the n-grams of one pack.
 
-    Arrays by token: ``seen[n]`` is the training count of the n-gram that ends there.
+    State 0 is the empty context. An arc is found by (state, word); state 0 reads a word for
+    which it has no arc at the cost ``unknown`` and stays.
     """
 
-    def __init__(self, tokens: Tokens, counts: np.ndarray, total: int, distinct: int, prior: float) -> None:
-        self.tokens, self.prior = tokens, prior
-        self.seen = []
-        for at, place in zip(tokens.at, tokens.place):
-            seen = np.zeros(len(tokens.text), np.int64)
-            seen[at] = counts[place]
-            self.seen.append(seen)
-        self.single = (self.seen[0] + 0.5) / (total + 0.5 * (distinct + 1))
-
-    def traverse(self) -> np.ndarray:
-        """log10 probability of each token, left to right.
-
-        The state before a token is the longest context that training has; the arcs of its
-        order are tried first, then failure arcs to each shorter one.
-        """
-        p = self.single.copy()
-        for n in range(1, len(self.seen)):
-            context = np.zeros(len(p), np.int64)  # how often training has the n words before this token
-            context[1:] = self.seen[n - 1][:-1]
-            context[self.tokens.first[:-1]] = 0
-            if n > 1:
-                short = np.ones(len(p), bool)
-                short[self.tokens.at[n]] = False
-                context[short] = 0
-            state = context > 0
-            p[state] = (self.seen[n][state] + self.prior * p[state]) / (context[state] + self.prior)
-        return np.log10(p)
+    def __init__(self, counts: Counts, total: int, distinct: int, prior: float) -> None:
+        order, self.reach = len(counts.grams), len(counts.grams) - 1
+        self.words = max(1, len(counts.grams[0].keys))
+        whole = total + 0.5 * (distinct + 1)
+        self.unknown = np.log10(0.5 / whole)
+        state_of = [np.zeros(0, np.int64)] * order  # the state of each n-gram, or -1
+        failure, context = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        sources, read, targets, weights = [], [], [], []
+        states, shorter = 1, np.zeros(0)
+        for n, (grams, seen) in enumerate(zip(counts.grams, counts.seen)):
+            known = np.flatnonzero(seen > 0)
+            ends, times = grams.example[known], seen[known]
+            if n == 0:
+                source, back = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+                p = (times + 0.5) / whole
+            else:
+                lower = counts.grams[n - 1].at
+                source, back = state_of[n - 1][lower[ends - 1]], state_of[n - 1][lower[ends]]
+                p = (times + prior * shorter[lower[ends]]) / (counts.seen[n - 1][lower[ends - 1]] + prior)
+            target = back
+            if n < self.reach:
+                target = states + np.arange(len(known))
+                state_of[n] = np.full(len(seen), -1, np.int64)
+                state_of[n][known] = target
+                failure.append(back)
+                context.append(times)
+                states += len(known)
+            shorter = np.zeros(len(seen))
+            shorter[known] = p
+            sources.append(source)
+            read.append(counts.grams[0].at[ends])
+            targets.append(target)
+            weights.append(np.log10(p))
+        arcs = np.concatenate(sources) * self.words + np.concatenate(read)
+        rank = np.argsort(arcs)
+        self.arcs = np.append(arcs[rank], np.iinfo(np.int64).max)
+        self.target = np.append(np.concatenate(targets)[rank], 0)
+        self.weight = np.append(np.concatenate(weights)[rank], 0.0)
+        self.failure = np.concatenate(failure)
+        self.failure_weight = np.log10(prior / (np.concatenate(context) + prior))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each lane reads a word: its next state and the log10 probability, over failure arcs where it must."""
+        state, cost = state.copy(), np.zeros(len(state))
+        lanes = np.arange(len(state))
+        while len(lanes):
+            here = state[lanes]
+            wanted = here * self.words + word[lanes]
+            arc = np.searchsorted(self.arcs, wanted)
+            found = self.arcs[arc] == wanted
+            state[lanes[found]] = self.target[arc[found]]
+            cost[lanes[found]] += self.weight[arc[found]]
+            cost[lanes[~found & (here == 0)]] += self.unknown
+            lanes, here = lanes[~found & (here > 0)], here[~found & (here > 0)]
+            cost[lanes] += self.failure_weight[here]
+            state[lanes] = self.failure[here]
+        return state, cost
+
+    def traverse(self, words: np.ndarray, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """log10 probability of each token of texts that begin at ``first``, left to right."""
+        pieces = -(-np.diff(first) // piece)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        begin = first[text] + piece * (np.arange(len(text)) - (np.cumsum(pieces) - pieces)[text])
+        stop = np.minimum(begin + piece, first[text + 1])
+        early = np.maximum(begin - self.reach, first[text])
+        longest = np.argsort(early - stop, kind="stable")
+        begin, stop, early = begin[longest], stop[longest], early[longest]
+        lengths = stop - early
+        out, state = np.empty(len(words)), np.zeros(len(begin), np.int64)
+        for t in range(int(lengths[0]) if len(lengths) else 0):
+            live = int(np.searchsorted(-lengths, -t))  # lanes longer than t
+            at = early[:live] + t
+            state, cost = self.step(state[:live], words[at])
+            due = at >= begin[:live]
+            out[at[due]] = cost[due]
+        return out
 
 
 def held_out(ids: list[str | None]) -> np.ndarray:
@@ -105,15 +198,15 @@ def held_out(ids: list[str | None]) -> np.ndarray:
 
 
 def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
-    """Of one range, the training count of each key, and how many single tokens training has."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
+    """Of one range, twice the training count of each key, one more if one pack asked, and how many keys training has."""
+    _, place, packs = np.unique(keys, return_inverse=True, return_counts=True)
+    total = np.zeros(len(packs), np.int64)
     np.add.at(total, place, times)
-    return total[place], int(((total > 0) & (distinct & np.uint64(7) == 1)).sum())
+    return (2 * total + (packs == 1))[place], int((total > 0).sum())
 
 
 def text_scores(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, prior: float = PRIOR, keys_per_owner: int = KEYS_PER_OWNER, pack_bytes: int = PACK_BYTES
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, prior: float = PRIOR, keys_per_owner: int = KEYS_PER_OWNER, pack_bytes: int = PACK_BYTES, piece: int = PIECE
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     narrow = docs.select(doc_id, text)
@@ -126,19 +219,25 @@ def text_scores(
         return len(split_words(column, NON_SPACE_BYTES, True).starts) + len(column)
 
     packs, tokens_in_all = P.write_packs(narrow, text, weigh, pack_bytes)
-    owners = 1 + tokens_in_all * order // keys_per_owner
-
-    def ask(pack: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(rows.column(1), order)
-        training = ~fold(rows)[tokens.text]
-        times = np.zeros(len(tokens.keys), np.int64)
-        for at, place in zip(tokens.at, tokens.place):
-            times += np.bincount(place, training[at], len(times)).astype(np.int64)
-        yield P.questions(pack, tokens.keys, owners, times=(times, "whole"))
-
-    asked = P.over_packs(packs, [], ask, "owner bigint, pack bigint, keys binary, times binary")
-    replies = staged(P.answered(asked, _counted, {"keys": "sorted", "times": "whole"}, "whole"), "counts")
-    distinct = replies.agg(F.coalesce(F.sum("tally"), F.lit(0))).first()[0]
+    owners = 1 + tokens_in_all // keys_per_owner
+
+    def learned(rows: pa.RecordBatch, answers: tuple[np.ndarray, ...]) -> Counts:
+        tokens = Tokens(rows.column(1))
+        counts = Counts(tokens, ~fold(rows)[tokens.text])
+        for answer in answers:
+            counts.learn(answer)
+        return counts
+
+    def ask(pack: int, rows: pa.RecordBatch, *answers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        grams, own, asked = learned(rows, answers).next_order()
+        yield P.questions(pack, grams.keys[asked], owners, times=(own[asked], "whole"))
+
+    replies = []
+    for n in range(1, order + 1):
+        asked = P.over_packs(packs, replies, ask, "owner bigint, pack bigint, keys binary, times binary")
+        answers = staged(P.answered(asked, _counted, {"keys": "sorted", "times": "whole"}, "whole"), "counts")
+        replies = [*replies, (answers, "whole")]
+    distinct = replies[0][0].agg(F.coalesce(F.sum("tally"), F.lit(0))).first()[0]
 
     def count(pack: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sizes = split_words(rows.column(1), NON_SPACE_BYTES, True).counts + 1
@@ -146,21 +245,23 @@ def text_scores(
 
     total = P.over_packs(packs, [], count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def score(pack: int, rows: pa.RecordBatch, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(rows.column(1), order)
-        machine = BackoffAutomaton(tokens, counts, total, distinct, prior)
+    def score(pack: int, rows: pa.RecordBatch, *answers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts = learned(rows, answers)
+        tokens, words = counts.tokens, counts.grams[0].at
+        machine = BackoffAutomaton(counts, total, distinct, prior)
+        seen = counts.seen[0][words]
         per_text = lambda values: np.add.reduceat(values, tokens.first[:-1])  # noqa: E731  every text has a token
         columns = [
             rows.column(0),
             pa.array(fold(rows)),
             pa.array(np.diff(tokens.first).astype(np.int64)),
-            pa.array(per_text((machine.seen[0] > 0).astype(np.int64))),
+            pa.array(per_text((seen > 0).astype(np.int64))),
             pa.array(np.full(rows.num_rows, total, np.int64)),
-            pa.array(per_text(np.log10(machine.single))),
-            pa.array(per_text(machine.traverse())),
+            pa.array(per_text(np.log10((seen + 0.5) / (total + 0.5 * (distinct + 1))))),
+            pa.array(per_text(machine.traverse(words, tokens.first, piece))),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     kinds = {"held_out": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
     fields = [id_field, *[T.StructField(n, t) for n, t in kinds.items()]]
-    return P.over_packs(packs, [(replies, "whole")], score, T.StructType(fields))
+    return P.over_packs(packs, replies, score, T.StructType(fields))
