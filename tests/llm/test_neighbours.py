@@ -36,8 +36,9 @@ def clusters(seed, n, width=16, copies=300):
 
 @pytest.mark.parametrize("blocks", [dict(), dict(candidate_block=50, query_block=7)])
 def test_recall_and_scores(spark, blocks):
+    """Results come from the probed parts alone, most of whose vectors the router was not fitted on."""
     rows = clusters(1, 3000)
-    made = neighbours.search(frame(spark, rows), part_rows=60, sample=1500, **blocks).collect()
+    made = neighbours.search(frame(spark, rows), part_rows=60, sample=1000, **blocks).collect()
     truth, found = exact(rows, 20, 20), {}
     for r in made:
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -72,6 +73,14 @@ def test_few_rows(spark, rows):
     assert [(m.query_id, m.vec_id) for m in made] == [(q, v) for q in sorted(truth) for v, _ in truth[q]]
 
 
+def test_fewer_rows_in_a_part_than_results(spark):
+    """Parts of a few rows: a query probes on until ``k`` rows other than its own are there."""
+    r = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 4)).astype(np.float32))]
+    made = neighbours.search(frame(spark, [*rows, (0, [1.0, 1.0, 0.0, 0.0])]), part_rows=12, target=0.1).groupBy("query_id").count().collect()
+    assert {(m.query_id, m["count"]) for m in made} == {(q, 40 if q == 0 else 20) for q in range(0, 400, 20)}
+
+
 def test_parts_are_balanced():
     r = np.random.default_rng(3)
     x = r.normal(size=(640, 8))

@@ -5,18 +5,22 @@ splits along main directions, then moves of vertices to the part where most of t
 neighbours are, as far as its room allows), and a small network learns to say in which parts
 the neighbours of a vector lie. Index: the network puts every vector into its most probable
 part. Search: it routes a query to its most probable parts, whose vectors are ranked by the
-exact inner product in double precision. The number of parts probed is the smallest that
-reaches ``target`` recall on queries of the sample against brute force.
+exact inner product in double precision. A quarter of the sample is kept from the fit; the
+number of parts probed is the smallest that reaches ``target`` recall there, held-out queries
+against brute force over held-out vectors. A query whose parts hold too few rows for ``k``
+results probes its next ones.
 
 Equal vectors are one entry that carries its smallest ids, as many as a result can use, so
-copies cost nothing. A query's ``k`` best of the sample give it a floor that no result can be
-below, so a part returns only what may still count; those best are results themselves. Large parts are dealt out in blocks, and so are the queries of a part;
-a task ranks one block of queries against one block of vectors. No part is cut short.
+copies cost nothing. All results come from the probed parts. What the sample has in those same
+parts gives a query a floor that none of its results is below, so a part returns only what may
+still count. Large parts are dealt out in blocks, and so are the queries of a part; a task ranks
+one block of queries against one block of vectors. No part is cut short.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those whose length is not the most frequent one; rows that repeat an id and its
-vector count once; a null id takes no part; with fewer candidates than ``k`` all found are
-returned; other columns are not read.
+vector count once; an id with several vectors asks with each, a ranking for each under that id,
+and none of its rows is a candidate for them; a null id takes no part; with fewer candidates than
+``k`` all are returned; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from tidewatt.llm.frames import Shared
 from tidewatt.session import staged
 
 SAMPLE = 8192
-PART_ROWS = 500
+PART_ROWS = 100
 MOST_PARTS = 128
 HIDDEN = 128
 TARGET = 0.97
@@ -112,6 +116,8 @@ def fit(x: np.ndarray, parts: int, k: int, target: float, epochs: int = 25, batc
     parts = 1 << max(0, int(np.log2(max(1, min(parts, len(x) // 16 or 1)))))
     if parts == 1:
         return Router(scale, np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+    kept = random.permutation(len(x))
+    held, x = x[kept[: len(x) // 4]], x[kept[len(x) // 4 :]]
     near = nearest_of_sample(x, min(10, len(x) - 1))
     label = balanced_parts(x, near, parts)
     goal = np.zeros((len(x), parts))
@@ -136,32 +142,24 @@ def fit(x: np.ndarray, parts: int, k: int, target: float, epochs: int = 25, batc
                 q += 0.001 * (g * g - q)
                 p -= rate * (s / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)
     router = Router(scale, *w, probes=parts)
-    home = router.best(x, 1)[:, 0]
-    asked = random.permutation(len(x))[:1000]
-    truth = home[nearest_of_sample(x, min(k, len(x) - 1))[asked]]
-    ranked = router.best(x[asked], parts)
-    place = np.argsort(ranked, axis=1)  # at which probe each part is reached
+    asked = np.arange(min(len(held), 1000))
+    truth = router.best(held, 1)[:, 0][nearest_of_sample(held, min(k, len(held) - 1))[asked]]
+    place = np.argsort(router.best(held[asked], parts), axis=1)  # at which probe each part is reached
     reached = np.take_along_axis(place, truth, axis=1)
     recall = np.array([(reached < n).mean() for n in range(1, parts + 1)])
     return router._replace(probes=int(np.argmax(recall >= target)) + 1)
 
 
-def nearest_in_sample(x: np.ndarray, ids: list[list[int]], names: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, list, list]:
-    """For each query the ``k`` nearest rows of the sample but its own, as ids and inner products,
-    and a floor: the ``k``-th of them less what rounding may change, or minus infinity if there are fewer."""
-    floor, vecs, scores = np.full(len(queries), -np.inf), [], []
-    take = min(k + 1, len(x))
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        best = np.argpartition(-(q @ x.T), take - 1, axis=1)[:, :take] if take else np.zeros((len(q), 0), np.int64)
-        score = np.einsum("ij,ikj->ik", q, x[best])
-        for i in range(len(q)):
-            rows = sorted((-s, v) for s, entry in zip(score[i].tolist(), best[i].tolist()) for v in ids[entry] if v != names[at + i])[:k]
-            vecs.append([v for _, v in rows])
-            scores.append([-s for s, _ in rows])
-            if len(rows) == k:
-                floor[at + i] = -rows[-1][0] - 1e-9 * (1 + abs(rows[-1][0]))
-    return floor, vecs, scores
+def floors(x: np.ndarray, home: np.ndarray, queries: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that its ``k``-th result cannot be below: the sample's entry at place ``k`` + 1
+    (one may be its own) in the probed parts, less what rounding may change; minus infinity if there are fewer."""
+    out = np.full(len(queries), -np.inf)
+    if len(x) > k:
+        for at in range(0, len(queries), 256):
+            close = np.where(probed[at : at + 256][:, home], queries[at : at + 256] @ x.T, -np.inf)
+            edge = -np.partition(-close, k, axis=1)[:, k]
+            out[at : at + 256] = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -np.inf)
+    return out
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -199,29 +197,43 @@ def search(
     entries = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # its own id may be one of them
     entries = staged(entries.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
     count = entries.count()
-    some = entries.orderBy(F.xxhash64("embedding"), "embedding").limit(sample).select("embedding", "ids").toArrow()  # bounded by its limit
+    own = rows.groupBy("vec_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]  # rows of an id, none of them a candidate
+    some = entries.orderBy(F.xxhash64("embedding"), "embedding").limit(sample).select("embedding").toArrow()  # bounded by its limit
     x = matrix(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((0, width))
     parts = min(MOST_PARTS, max(1, count // part_rows))
-    router = Shared(spark, fit(x, parts, k, target) if len(x) > 1 else Router(1.0, np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1))
-
-    kept = Shared(spark, (x, some.column("ids").to_pylist()))
+    fitted = fit(x, parts, k, target) if len(x) > 1 else Router(1.0, np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+    router = Shared(spark, fitted)
 
-    def route(batches, probes: int | None):
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home = router.get().best(matrix(batch.column(1), width), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], names=["ids", "embedding", "part"])
+
+    placed = staged(entries.select("ids", "embedding").mapInArrow(place, "ids array<bigint>, embedding array<double>, part int"), "placed")
+    room = np.zeros(fitted.w2.shape[1], np.int64)
+    for r in placed.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect():  # a number for each part
+        room[r["part"]] = r["n"]
+    kept = Shared(spark, (x, fitted.best(x, 1)[:, 0], room))
+
+    def route(batches):
+        x, home, room = kept.get()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            best = router.get().best(matrix(batch.column(1), width), probes or router.get().probes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.reshape(-1).astype(np.int32)))
-            columns, names = [batch.column(0), batch.column(1), lists], ["what", "embedding", "parts"]
-            if probes is None:
-                floor, vecs, scores = nearest_in_sample(*kept.get(), batch.column(0).to_numpy(), matrix(batch.column(1), width), k)
-                columns += [pa.array(floor), pa.array(vecs, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
-                names += ["floor", "vecs", "scores"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    placed = staged(entries.select(F.col("ids").alias("what"), "embedding").mapInArrow(lambda b: route(b, 1), "what array<bigint>, embedding array<double>, parts array<int>").select(F.col("what").alias("ids"), "embedding", F.col("parts")[0].alias("part")), "placed")
-    routed = staged(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("what"), "embedding").mapInArrow(lambda b: route(b, None), "what bigint, embedding array<double>, parts array<int>, floor double, vecs array<bigint>, scores array<double>"), "routed")
-    asked = staged(routed.select(F.col("what").alias("query_id"), "embedding", "floor", F.explode("parts").alias("part")), "asked")
+            queries = matrix(batch.column(1), width)
+            ranked = router.get().best(queries, len(room))
+            before = np.cumsum(room[ranked], axis=1) - room[ranked]
+            probe = (np.arange(len(room)) < router.get().probes) | (before < k + own)
+            probed = np.zeros(ranked.shape, bool)
+            np.put_along_axis(probed, ranked, probe, axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(probe.sum(axis=1))]).astype(np.int32)), pa.array(ranked[probe].astype(np.int32)))
+            floor = floors(x, home, queries, probed, k + own - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(floor)], names=["query_id", "embedding", "parts", "floor"])
+
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    routed = queries.mapInArrow(route, "query_id bigint, embedding array<double>, parts array<int>, floor double")
+    asked = staged(routed.select("query_id", "embedding", "floor", F.explode("parts").alias("part")), "asked")
 
     def blocks(df: DataFrame, size: int):
         """How many blocks a part needs, as a column: at most one number for each part passes the driver."""
@@ -271,7 +283,5 @@ def search(
 
     keyed = left.withColumn("key", F.xxhash64("embedding"))
     found = keyed.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInArrow(rank, "query_id bigint, key bigint, vec_id bigint, score double")
-    of_sample = routed.select(F.col("what").alias("query_id"), F.xxhash64("embedding").alias("key"), F.inline(F.arrays_zip(F.col("vecs").alias("vec_id"), F.col("scores").alias("score"))))
-    found = found.unionByName(of_sample).dropDuplicates(["query_id", "key", "vec_id"])
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
