@@ -68,14 +68,15 @@ def test_states_and_arcs():
         counts.learn(2 * own)
     machine = language_model.BackoffAutomaton(counts, 4, 3, 100.0)
     # contexts: none, a, b, end, a b, b a, a end; arcs: three words, three pairs, two triples
-    assert len(machine.failure) == 7 and len(machine.arcs) - 1 == 8
-    assert sorted(machine.failure[1:4].tolist()) == [0, 0, 0] and set(machine.failure[4:].tolist()) == {1, 2, 3} & set(machine.failure[4:].tolist())
-    words = counts.grams[0].at
+    assert machine.depth.tolist() == [0, 1, 1, 1, 2, 2, 2]
+    unseen = len(counts.seen[0]) - 3  # words of the other text, which state 0 reads and stays
+    assert (machine.target >= 0).sum() == 8 + unseen
+    assert machine.depth[machine.failure].tolist() == [0, 0, 0, 0, 1, 1, 1]
     state, costs = np.zeros(1, np.int64), []
     for i in range(4, 9):
-        state, cost = machine.step(state, words[i : i + 1])
+        state, cost = machine.step(state, np.array([i]))
         costs.append(cost[0])
-    assert costs == pytest.approx(machine.traverse(words, tokens.first, 2)[4:])
+    assert costs == pytest.approx(machine.traverse(tokens.first, 2)[4:])
     assert costs[0] == pytest.approx(math.log10(0.5 / 6)) and costs[1] == pytest.approx(math.log10(2.5 / 6))
 
 

@@ -37,7 +37,6 @@ from pyspark.sql import types as T
 
 from tidewatt.llm import packs as P
 from tidewatt.llm.words import NON_SPACE_BYTES, hash_runs, hash_words, split_words
-from tidewatt.session import staged
 
 ORDER = 3
 PRIOR = 100.0
@@ -73,10 +72,14 @@ class Tokens:
     def grams(self, n: int) -> Grams:
         local = np.arange(len(self.token)) - self.first[:-1][self.text]
         ends = np.flatnonzero(local >= n - 1)
-        keys, example, place = np.unique(hash_runs(self.token, ends - (n - 1), n, seed=4), return_index=True, return_inverse=True)
+        hashes = hash_runs(self.token, ends - (n - 1), n, seed=4)
+        rank = np.argsort(hashes)
+        hashes = hashes[rank]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
         at = np.full(len(self.token), -1, np.int32)
-        at[ends] = place
-        return Grams(keys, at, ends[example])
+        at[ends[rank]] = np.cumsum(new, dtype=np.int32) - 1
+        return Grams(hashes[new], at, ends[rank[new]])
 
 
 class Counts:
@@ -111,28 +114,32 @@ class Counts:
 class BackoffAutomaton:
     """States, arcs and failure arcs of the model, restricted to the n-grams of one pack.
 
-    State 0 is the empty context. An arc is found by (state, word); state 0 reads a word for
-    which it has no arc at the cost ``unknown`` and stays.
+    An n-gram that training has is an arc: from the state of its first words, over its last
+    one, to the longest state that its words end with (``target``, log10 ``weight``). A state
+    of ``depth`` words finds its arc for a token as the n-gram of one word more that ends there;
+    ``target`` is -1 where there is none. State 0, the empty context, has one for every word.
     """
 
     def __init__(self, counts: Counts, total: int, distinct: int, prior: float) -> None:
         order, self.reach = len(counts.grams), len(counts.grams) - 1
-        self.words = max(1, len(counts.grams[0].keys))
         whole = total + 0.5 * (distinct + 1)
-        self.unknown = np.log10(0.5 / whole)
+        begin = np.cumsum([0, *(len(g.keys) for g in counts.grams)])
+        self.arc_at = np.stack([g.at + b for g, b in zip(counts.grams, begin)])  # used only where so many words came before
+        self.target = np.full(begin[-1], -1, np.int64)
+        self.weight = np.zeros(begin[-1])
+        self.target[: begin[1]], self.weight[: begin[1]] = 0, np.log10(0.5 / whole)
         state_of = [np.zeros(0, np.int64)] * order  # the state of each n-gram, or -1
-        failure, context = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        sources, read, targets, weights = [], [], [], []
+        failure, context, depth = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         states, shorter = 1, np.zeros(0)
         for n, (grams, seen) in enumerate(zip(counts.grams, counts.seen)):
             known = np.flatnonzero(seen > 0)
             ends, times = grams.example[known], seen[known]
             if n == 0:
-                source, back = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+                back = np.zeros(len(known), np.int64)
                 p = (times + 0.5) / whole
             else:
                 lower = counts.grams[n - 1].at
-                source, back = state_of[n - 1][lower[ends - 1]], state_of[n - 1][lower[ends]]
+                back = state_of[n - 1][lower[ends]]
                 p = (times + prior * shorter[lower[ends]]) / (counts.seen[n - 1][lower[ends - 1]] + prior)
             target = back
             if n < self.reach:
@@ -141,39 +148,32 @@ class BackoffAutomaton:
                 state_of[n][known] = target
                 failure.append(back)
                 context.append(times)
+                depth.append(np.full(len(known), n + 1))
                 states += len(known)
             shorter = np.zeros(len(seen))
             shorter[known] = p
-            sources.append(source)
-            read.append(counts.grams[0].at[ends])
-            targets.append(target)
-            weights.append(np.log10(p))
-        arcs = np.concatenate(sources) * self.words + np.concatenate(read)
-        rank = np.argsort(arcs)
-        self.arcs = np.append(arcs[rank], np.iinfo(np.int64).max)
-        self.target = np.append(np.concatenate(targets)[rank], 0)
-        self.weight = np.append(np.concatenate(weights)[rank], 0.0)
-        self.failure = np.concatenate(failure)
+            self.target[begin[n] + known] = target
+            self.weight[begin[n] + known] = np.log10(p)
+        self.depth, self.failure = np.concatenate(depth), np.concatenate(failure)
         self.failure_weight = np.log10(prior / (np.concatenate(context) + prior))
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each lane reads a word: its next state and the log10 probability, over failure arcs where it must."""
-        state, cost = state.copy(), np.zeros(len(state))
-        lanes = np.arange(len(state))
-        while len(lanes):
-            here = state[lanes]
-            wanted = here * self.words + word[lanes]
-            arc = np.searchsorted(self.arcs, wanted)
-            found = self.arcs[arc] == wanted
-            state[lanes[found]] = self.target[arc[found]]
-            cost[lanes[found]] += self.weight[arc[found]]
-            cost[lanes[~found & (here == 0)]] += self.unknown
-            lanes, here = lanes[~found & (here > 0)], here[~found & (here > 0)]
-            cost[lanes] += self.failure_weight[here]
-            state[lanes] = self.failure[here]
-        return state, cost
-
-    def traverse(self, words: np.ndarray, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each lane reads the token ``at`` a place: its next state and the log10 probability, over failure arcs where it must."""
+        arc = self.arc_at[self.depth[state], at]
+        following, cost = self.target[arc], self.weight[arc]
+        stuck = np.flatnonzero(following < 0)
+        here = state[stuck]
+        while len(stuck):
+            cost[stuck] += self.failure_weight[here]
+            here = self.failure[here]
+            arc = self.arc_at[self.depth[here], at[stuck]]
+            following[stuck] = self.target[arc]
+            cost[stuck] += self.weight[arc]
+            still = following[stuck] < 0
+            stuck, here = stuck[still], here[still]
+        return following, cost
+
+    def traverse(self, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
         """log10 probability of each token of texts that begin at ``first``, left to right."""
         pieces = -(-np.diff(first) // piece)
         text = np.repeat(np.arange(len(pieces)), pieces)
@@ -183,11 +183,11 @@ class BackoffAutomaton:
         longest = np.argsort(early - stop, kind="stable")
         begin, stop, early = begin[longest], stop[longest], early[longest]
         lengths = stop - early
-        out, state = np.empty(len(words)), np.zeros(len(begin), np.int64)
+        out, state = np.empty(self.arc_at.shape[1]), np.zeros(len(begin), np.int64)
         for t in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -t))  # lanes longer than t
             at = early[:live] + t
-            state, cost = self.step(state[:live], words[at])
+            state, cost = self.step(state[:live], at)
             due = at >= begin[:live]
             out[at[due]] = cost[due]
         return out
@@ -235,7 +235,7 @@ def text_scores(
     replies = []
     for n in range(1, order + 1):
         asked = P.over_packs(packs, replies, ask, "owner bigint, pack bigint, keys binary, times binary")
-        answers = staged(P.answered(asked, _counted, {"keys": "sorted", "times": "whole"}, "whole"), "counts")
+        answers = P.by_pack_once(P.answered(asked, _counted, {"keys": "sorted", "times": "whole"}, "whole"), "counts")
         replies = [*replies, (answers, "whole")]
     distinct = replies[0][0].agg(F.coalesce(F.sum("tally"), F.lit(0))).first()[0]
 
@@ -258,7 +258,7 @@ def text_scores(
             pa.array(per_text((seen > 0).astype(np.int64))),
             pa.array(np.full(rows.num_rows, total, np.int64)),
             pa.array(per_text(np.log10((seen + 0.5) / (total + 0.5 * (distinct + 1))))),
-            pa.array(per_text(machine.traverse(words, tokens.first, piece))),
+            pa.array(per_text(machine.traverse(tokens.first, piece))),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 

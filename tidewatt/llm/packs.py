@@ -42,12 +42,25 @@ def unpacked(content: bytes) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
+def by_pack(rows: DataFrame, what: str, compression: str) -> DataFrame:
+    """The rows as a written table bucketed by pack; such tables are joined without moving them."""
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{what}_{uuid.uuid4().hex}"
+    rows.write.option("path", stage_path(spark, what)).option("compression", compression).bucketBy(buckets, "pack").saveAsTable(name)
+    return spark.table(name)
+
+
+def by_pack_once(rows: DataFrame, what: str) -> DataFrame:
+    """``by_pack`` with the rows moved to their bucket before they are written, a file for each."""
+    return by_pack(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pack"), what, "zstd")
+
+
 def write_packs(docs: DataFrame, text: str, weigh: Callable[[pa.Array], int], pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, int]:
     """The documents as a bucketed table of packs, and the sum of what ``weigh`` says of their texts.
 
     A task that is repeated draws new pack numbers, but only one attempt's rows are committed.
     """
-    spark = docs.sparkSession
     index = [c.lower() for c in docs.columns].index(text.lower())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,10 +69,7 @@ def write_packs(docs: DataFrame, text: str, weigh: Callable[[pa.Array], int], pa
                 row = {"pack": [uuid.uuid4().int >> 65], "size": [weigh(part.column(index))], "content": [packed(part)]}
                 yield pa.RecordBatch.from_pydict(row, pa.schema([("pack", pa.int64()), ("size", pa.int64()), ("content", pa.binary())]))
 
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"packs_{uuid.uuid4().hex}"
-    small_batches(docs).mapInArrow(lambda batches: released(pack(batches)), PACK).write.option("path", stage_path(spark, "packs")).option("compression", "none").bucketBy(buckets, "pack").saveAsTable(name)
-    packs = spark.table(name)
+    packs = by_pack(small_batches(docs).mapInArrow(lambda batches: released(pack(batches)), PACK), "packs", "none")
     return packs, packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
