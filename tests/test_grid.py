@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatt.functions.timeline import floor_to, to_micros
-from tidewatt.operators import contracts, grid, lookback, windows
+from tidewatt.operators import buckets, contracts, grid, lookback, windows
 from tidewatt.operators.joins import WEATHER_MEASURES
 from tidewatt.plans import features
 
@@ -206,9 +206,12 @@ def test_the_model_dataset_shuffles_full_rows_once(spark, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
-    # the joined rows move once, to their buckets; beside them a row for each task and bucket of the summary
+    # the joined rows move once, to their buckets; beside them a row for each task and bucket of the summary,
+    # twice (the blocks and their window), and rows for each block
     assert sum("__bucket" in e for e in exchanges) == 1
-    assert len(exchanges) == 2 and plan.count("Exchange SinglePartition") == 1
+    assert "Exchange SinglePartition" not in plan
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[[^\]]*temp_c", final)) == 2 and "ReusedExchange" in final
 
 
 def test_the_model_dataset_does_not_depend_on_the_bucket(spark):
@@ -271,7 +274,8 @@ def test_report_reads_the_table_for_the_rules_and_for_the_buckets(spark, series,
     path = f"{tmp_path}/rows"
     series(y=[1, None, 3], hours=[0, 1, 5]).write.parquet(path)
     out = contracts.series_rules(spark.read.parquet(path), ["timestamp"], "y", partial_year=2024)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Scan parquet") == 2
     assert [(r.rule, r.violations) for r in out.orderBy("rule").collect()] == [("continuous", 1), ("full_year", 1), ("target_not_null", 1), ("unique_timestamp", 0)]
     assert out.where("rule = 'full_year'").first().examples == ['{"year":2024,"row_count":3}']
@@ -281,3 +285,45 @@ def test_report_of_an_empty_table_passes(spark):
     empty = spark.createDataFrame([], "k string, timestamp timestamp_ntz, y double")
     made = contracts.series_rules(empty, ["timestamp"], "y", keys=["k"], partial_year=2024).collect()
     assert len(made) == 4 and all(r.violations == 0 and r.examples == [] for r in made)
+
+
+@pytest.mark.parametrize("slots", [2, 3, 7])
+@pytest.mark.parametrize("heads", [False, True])
+def test_a_summary_scanned_in_levels_equals_one_window(spark, monkeypatch, slots, heads):
+    """Buckets of width 10 with holes, unknown values, several series and times before 1970."""
+    rng = np.random.default_rng(slots)
+    rows = []
+    for key in (None, "a", "b"):
+        for bucket in sorted(rng.choice(np.arange(-60, 60), 45, replace=False).tolist()):
+            known = rng.random() < 0.4
+            head = known and rng.random() < 0.5
+            at = bucket * 10
+            first, last = (at + 1, 1.0 * bucket), (at + 9, bucket + 0.5)
+            rows.append((key, at, *(first if known else (None, None)), *((at + 4, bucket + 0.25) if head else (None, None)), *(last if known else (None, None))))
+    names = [f"__{n}_{p}_y" for n in ("first", "head", "last") for p in ("t", "v")]
+    summary = spark.createDataFrame(rows, "k string, __bucket bigint, " + ", ".join(f"{n} {'bigint' if '_t_' in n else 'double'}" for n in names))
+    if heads:  # a known last that is not the head is in the tail
+        tail = F.col("__last_t_y") > F.coalesce("__head_t_y", F.lit(-1000))
+        summary = summary.withColumns({f"__tail_{p}_y": F.when(tail, F.col(f"__last_{p}_y")) for p in "tv"}).drop("__last_t_y", "__last_v_y")
+    else:
+        summary = summary.drop("__head_t_y", "__head_v_y")
+    monkeypatch.setattr(buckets, "_YEARS", 1000)
+    levels = {tuple(r) for r in buckets.known_beyond(summary, ["y"], ["k"], 10, slots).collect()}
+    expected = set()
+    for key, at, *_ in rows:
+        before, after = (None, None), (None, None)
+        for other, place, ft, fv, ht, hv, lt, lv in rows:
+            if other == key and place < at and (lt if place < at - 10 or not heads else ht) is not None:
+                found = (lt, lv) if place < at - 10 or not heads else (ht, hv)
+                before = found if before[0] is None or found[0] > before[0] else before
+            if other == key and place > at and ft is not None:
+                after = (ft, fv) if after[0] is None or ft < after[0] else after
+        expected.add((key, at, before[0], after[0], before[1], after[1]))
+    assert levels == expected
+
+
+def test_no_keys_no_single_task(spark, series):
+    """Fills of one unkeyed series: no exchange into a single partition, and the summary is read once."""
+    raw = series(y=[1.0, None, 3.0, None, None, 6.0], hours=[0, 1, 2, 5, 9000, 20000])
+    plan = grid.regularise(raw, ["y"], flag_columns=["y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan

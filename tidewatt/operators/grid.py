@@ -21,6 +21,7 @@ from tidewatt.operators.buckets import (
     OWN,
     STEPS_PER_BUCKET,
     Known,
+    bucket_width,
     into_buckets,
     out_of_buckets,
     with_known,
@@ -115,9 +116,9 @@ def fill(df: DataFrame, columns: Sequence[str], **how) -> DataFrame:
     return _fill(df, {c: Known(c).filled(F.col(AT)) for c in columns}, **how)
 
 
-def fill_bucketed(df: DataFrame, fills: Mapping[str, Column], keys: Sequence[str], whole: bool = False) -> DataFrame:
+def fill_bucketed(df: DataFrame, fills: Mapping[str, Column], keys: Sequence[str], width: int | None) -> DataFrame:
     """The same on a frame that is already in buckets, to share its shuffle."""
-    known = with_known(df, list(fills), keys, whole)
+    known = with_known(df, list(fills), keys, width)
     filled = {c: F.coalesce(F.col(c), value) for c, value in fills.items()}
     return known.withColumns(filled).drop(*[t for c in fills for t in Known(c).temporary()])
 
@@ -131,7 +132,7 @@ def _fill(
     steps: int | None = STEPS_PER_BUCKET,
 ) -> DataFrame:
     bucketed = into_buckets(df, ts, freq, steps)
-    done = out_of_buckets(fill_bucketed(bucketed, fills, keys, whole=steps is None))
+    done = out_of_buckets(fill_bucketed(bucketed, fills, keys, bucket_width(freq, steps)))
     return done.select(*df.columns)
 
 
@@ -149,7 +150,7 @@ def _with_gap_rows(
     seen = into_buckets(df.where(on_grid(F.col(ts), freq, origin)), ts, freq, steps)
     # the time itself, as a column that is always known, finds the next observed row
     seen = seen.withColumn("__seen", F.col(AT))
-    around = with_known(seen, ["__seen", *columns], keys, whole=steps is None)
+    around = with_known(seen, ["__seen", *columns], keys, bucket_width(freq, steps))
     following = Known("__seen").after
     twice = F.raise_error(F.concat(F.lit("duplicate time "), F.col(ts).cast("string"))).cast("long")
     apart = F.when(following == F.col(AT), twice).otherwise(following - F.col(AT))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatt.functions.timeline import floor_micros, step_micros, to_micros
-from tidewatt.operators.buckets import AT, BUCKET, OWN, STEPS_PER_BUCKET, Known, bucket_window
+from tidewatt.operators.buckets import AT, BUCKET, OWN, STEPS_PER_BUCKET, Known, bucket_window, known_beyond
 
 EDGE = "__edge"  # of an edge row: for each column the time and value known beyond the bucket
 FIRST, LAST = -(1 << 62), 1 << 62
@@ -76,27 +76,22 @@ def _edges(rows: DataFrame, carried: Sequence[str], keys: Sequence[str], home: C
     """(keys, BUCKET, AT, OWN, EDGE): before and after each bucket the nearest known values that it holds no copy of."""
     found = []
     for c in carried:
-        at = F.when(F.col(c).isNotNull(), F.col(AT))
-        for name, known, time, pick in (("first", at, F.min, F.min_by), ("head", F.when(~copied, at), F.max, F.max_by), ("last", at, F.max, F.max_by)):
-            found += [time(known).alias(f"__{name}_t_{c}"), pick(c, known).alias(f"__{name}_v_{c}")]
+        known = F.col(c).isNotNull()
+        at, head, tail = (F.when(cond, F.col(AT)) for cond in (known, known & ~copied, known & copied))
+        for name, known_at, time, pick in (("first", at, F.min, F.min_by), ("head", head, F.max, F.max_by), ("tail", tail, F.max, F.max_by)):
+            found += [time(known_at).alias(f"__{name}_t_{c}"), pick(c, known_at).alias(f"__{name}_v_{c}")]
     summary = rows.groupBy(*keys, home.alias(BUCKET)).agg(*found)
+    known = known_beyond(summary, carried, keys, width)
 
-    def place(name: str, c: str) -> Column:
-        time = F.col(f"__{name}_t_{c}")
-        return F.when(time.isNotNull(), F.struct(time.alias("t"), F.col(f"__{name}_v_{c}").alias("v")))
+    def place(side: str, c: str) -> Column:
+        time = F.col(f"__{side}_t_{c}")
+        return F.when(time.isNotNull(), F.struct(time.alias("t"), F.col(f"__{side}_v_{c}").alias("v")))
 
-    up = Window.partitionBy(*keys).orderBy(BUCKET)
-    down = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc())
-    adjoins = F.lag(BUCKET, 1).over(up) == F.col(BUCKET) - width
-    before, after = [], []
-    for c in carried:
-        nearest = F.when(adjoins, F.lag(place("head", c), 1).over(up)).otherwise(F.lag(place("last", c), 1).over(up))
-        earlier = F.last(place("last", c), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -2))
-        before.append(F.coalesce(nearest, earlier).alias(c))
-        after.append(F.last(place("first", c), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias(c))
-    around = summary.select(*keys, BUCKET, F.struct(*before).alias("__before"), F.struct(*after).alias("__after"))
-    sides = [F.struct(F.lit(at).alias(AT), F.col(side).alias(EDGE)) for at, side in ((FIRST, "__before"), (LAST, "__after"))]
-    return around.select(*keys, BUCKET, F.lit(False).alias(OWN), F.inline(F.array(*sides)))
+    sides = [
+        F.struct(F.lit(at).alias(AT), F.struct(*[place(side, c).alias(c) for c in carried]).alias(EDGE))
+        for at, side in ((FIRST, "before"), (LAST, "after"))
+    ]
+    return known.select(*keys, BUCKET, F.lit(False).alias(OWN), F.inline(F.array(*sides)))
 
 
 def _quoted(name: str) -> str:

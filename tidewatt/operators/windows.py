@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatt.operators.buckets import AT, BUCKET, OWN, STEPS_PER_BUCKET, into_buckets, with_known
+from tidewatt.operators.buckets import AT, BUCKET, OWN, STEPS_PER_BUCKET, bucket_width, into_buckets, with_known
 from tidewatt.operators.keyed import attach
 from tidewatt.operators.lookback import fill_and_look_back
 
@@ -43,7 +43,7 @@ def with_previous_time(
     Rows of the same time give 0: of a duplicated time, all but one row show it.
     """
     rows = into_buckets(df, ts, freq, steps).withColumn("__seen", F.col(AT))
-    rows = with_known(rows, ["__seen"], keys, whole=steps is None)
+    rows = with_known(rows, ["__seen"], keys, bucket_width(freq, steps))
     # counting back one row inside the bucket sees duplicates and carried rows alike
     before = F.lag(AT, 1).over(Window.partitionBy(*keys, BUCKET).orderBy(AT, F.col(OWN).cast("int")))
     rows = rows.withColumn("gap_seconds", (F.col(AT) - before) / 1_000_000)
