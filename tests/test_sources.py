@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,36 @@ def test_stages_are_removed(spark):
     remove_stages(spark)
     _written.extend(kept)
     assert not os.path.exists(path)
+
+
+def test_any_number_of_headers_is_one_scan(spark, tmp_path):
+    """Sixty layouts: the plan reads the files once, and every column is found in each of them."""
+    names = ["Date", "Hour", "Market Demand", "Ontario Demand"]
+    for i in range(60):
+        order = [*names[i % 4 :], *[f"extra {k}" for k in range(i // 4)], *names[: i % 4]]
+        cells = {"Date": "2024-01-01", "Hour": str(i % 24 + 1), "Market Demand": str(i), "Ontario Demand": f'"{i}.5"'}
+        lines = [",".join(order), ",".join(cells.get(c, "x") for c in order)]
+        (tmp_path / f"PUB_Demand_{1950 + i}.csv").write_text("\n".join(lines) + "\n")
+    rows = demand.read_demand(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[value#", plan)) == 1
+    got = {(r.timestamp.hour, r.market_demand_mw, r.ontario_demand_mw, r.source_file) for r in rows.collect()}
+    assert got == {(i % 24, float(i), i + 0.5, f"PUB_Demand_{1950 + i}.csv") for i in range(60)}
+
+
+def test_files_outside_the_years_are_not_read(spark, tmp_path):
+    for year in (2020, 2021, 2022):
+        (tmp_path / f"PUB_Demand_{year}.csv").write_text(f"Date,Hour,Market Demand,Ontario Demand\n{year}-01-01,1,1,2\n")
+    (tmp_path / "PUB_Demand_2019.csv").write_text("nothing that could be read\n")
+    rows = demand.read_demand(spark, str(tmp_path), [2020, 2022])
+    assert sorted(r.timestamp.year for r in rows.collect()) == [2020, 2022]
+
+
+def test_weather_folders_that_are_absent_or_empty_are_warnings(spark, tmp_path):
+    empty, full = tmp_path / "empty", tmp_path / "full" / "2024"
+    empty.mkdir()
+    (empty / "zero.csv").write_text("")
+    full.mkdir(parents=True)
+    (full / "a.csv").write_text("Date/Time,Temp\n2024-01-01 00:00,1\n")
+    found = [weather.folder_findings(spark, str(tmp_path / name)).collect() for name in ("absent", "empty", "full")]
+    assert [[(r.severity, r.finding) for r in rows] for rows in found] == [[("warning", "no weather folder")], [("warning", "no weather files")], []]

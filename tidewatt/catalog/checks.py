@@ -278,3 +278,14 @@ def scenario_findings(spark, sf):
     listed = listed.unionByName(spoilt("nothing", start_mw=F.lit(0.0)))
     shipped = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("timestamp"))
     return scenarios.scenario_findings(listed, shipped)
+
+
+@query(
+    "c3d_unknown_ramps",
+    sql.ctes(sql.SEGMENTS) + "SELECT name AS scenario, 'unknown ramp' AS rule FROM segments WHERE length(name) % 4 IN (1, 2)",
+)
+def unknown_ramps(spark, sf):
+    """Scenarios whose ramp follows from the length of their name: a known one, a misspelt one, none, or another known one."""
+    ramps = F.array(F.lit("flat"), F.lit("step_yearly"), F.lit(None).cast("string"), F.lit("step_quarterly"))
+    listed = segment_scenarios(spark, sf).withColumn("ramp", F.get(ramps, F.length("name") % 4))
+    return scenarios.unknown_ramps(listed)

@@ -1,5 +1,8 @@
 """Readers and writers: each query writes a table derived from the driver's, and reads it back."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatt.catalog import sql
@@ -120,6 +123,21 @@ def weather_rejects(spark, sf):
     return rejects.select("reason", folder).distinct()
 
 
+@query(
+    "q9_weather_folders",
+    """SELECT 'empty' AS folder, 'warning' AS severity, 'no weather files' AS finding
+       UNION ALL SELECT 'absent', 'warning', 'no weather folder'
+       UNION ALL SELECT 'raw-weather', 'warning', 'no weather files' FROM lineitem HAVING count(*) = 0""",
+)
+def weather_folders(spark, sf):
+    """A folder of weather files, one with files of no bytes, and one that does not exist."""
+    full, empty, absent = weather_folder(spark, sf), stage_path(spark, "weather-empty"), stage_path(spark, "weather-absent")
+    daily_weather(spark, sf).where(F.lit(False)).select("temp_c").write.csv(empty)
+    named = {"raw-weather": full, "empty": empty, "absent": absent}
+    found = [weather.folder_findings(spark, path).withColumn("folder", F.lit(name)) for name, path in named.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "p5_source_folders",
     sql.ctes(sql.WEATHER)

@@ -144,6 +144,12 @@ def scenario_findings(scenarios: DataFrame, baseline: DataFrame, ts: str = "time
     )
 
 
+def unknown_ramps(scenarios: DataFrame, ramp: str = "ramp") -> DataFrame:
+    """(scenario, rule) of the scenarios whose ramp is none of those that :func:`ramp` knows, or null."""
+    known = F.coalesce(F.col(ramp).isin(*RAMPS), F.lit(False))
+    return scenarios.where(~known).select(F.col("name").alias("scenario"), F.lit("unknown ramp").alias("rule"))
+
+
 def forecast_years(forecast: DataFrame, ts: str = "timestamp") -> tuple[int, int]:
     first, last = forecast.agg(F.min(F.year(ts)), F.max(F.year(ts))).first()
     return first, last

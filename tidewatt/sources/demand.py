@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tidewatt.functions.calendar import hour_ending
 from tidewatt.functions.cleaning import known_or_error, plain_number, readable_time
 from tidewatt.operators.grid import regularise
 from tidewatt.session import staged
-from tidewatt.sources.headers import COMMENT, csv_files, heads, layouts
+from tidewatt.sources.headers import COMMENT, csv_files, file_name, heads, layouts, read_columns
 
 # Fixed names: columns of a demand file and the pattern of its name.
 REQUIRED = ["Date", "Hour", "Market Demand", "Ontario Demand"]
@@ -23,8 +22,11 @@ LOADS = ["ontario_demand_mw", "market_demand_mw"]
 
 def demand_files(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
     """(path, file_name, year); the year is null where the name has none."""
-    year = F.regexp_extract("file_name", r"PUB_Demand_(\d{4})\.csv$", 1).try_cast("int")
-    return csv_files(spark, folder, pattern).select("path", "file_name", year.alias("year"))
+    return csv_files(spark, folder, pattern).select("path", "file_name", _year("file_name").alias("year"))
+
+
+def _year(name: Column | str) -> Column:
+    return F.regexp_extract(name, r"PUB_Demand_(\d{4})\.csv$", 1).try_cast("int")
 
 
 def missing_years(spark: SparkSession, folder: str, years: Sequence[int]) -> DataFrame:
@@ -49,35 +51,32 @@ def read_demand(
     Fails on a missing year, a file without header, a missing column, an unreadable date or
     an hour outside 1..24. The header may stand anywhere; what follows a comment mark is dropped.
     """
-    files = demand_files(spark, folder, pattern)
+    wanted = None
     if years is not None:
         absent = sorted(r["year"] for r in missing_years(spark, folder, years).collect())
         if absent:
             raise FileNotFoundError(f"no demand file for years {absent} in {folder}")
-        files = files.where(F.col("year").isin([int(y) for y in years]))
-    found = staged(heads(spark, folder, pattern).join(files.select("path"), "path", "left_semi"), "heads")
+        wanted = _year(file_name("_metadata.file_path")).isin([int(y) for y in years])
+    found = staged(heads(spark, folder, pattern, wanted), "heads")
     headless = [r["path"] for r in found.where(F.col("header").isNull()).select("path").collect()]
     if headless:
         raise ValueError(f"no header in {headless}")
-    frames = []
+    places = {}
     for layout in layouts(found):
-        at = {name: layout.columns.index(name) for name in REQUIRED if name in layout.columns}
-        lacking = [name for name in REQUIRED if name not in at]
+        lacking = [name for name in REQUIRED if name not in layout.columns]
         if lacking:
-            raise ValueError(f"{layout.paths} lack columns {lacking}; they have {layout.columns}")
-        text = {name: F.col(f"c{i}") for name, i in at.items()}
-        rows = layout.read(spark, comment=COMMENT)
-        frames.append(
-            rows.select(
-                _time(text["Date"], text["Hour"]).alias("timestamp"),
-                plain_number(text["Ontario Demand"]).alias("ontario_demand_mw"),
-                plain_number(text["Market Demand"]).alias("market_demand_mw"),
-                F.element_at(F.split("file_path", "/"), -1).alias("source_file"),
-            )
-        )
-    if not frames:
+            paths = [r["path"] for r in found.where(F.col("header") == layout.header).select("path").collect()]
+            raise ValueError(f"{sorted(paths)} lack columns {lacking}; they have {layout.columns}")
+        places[layout.header] = {name: layout.columns.index(name) for name in REQUIRED}
+    if not places:
         raise FileNotFoundError(f"no demand files in {folder}")
-    return reduce(DataFrame.unionByName, frames)
+    rows = read_columns(spark, folder, found, places, pattern, wanted, COMMENT)
+    return rows.select(
+        _time(F.col("Date"), F.col("Hour")).alias("timestamp"),
+        plain_number(F.col("Ontario Demand")).alias("ontario_demand_mw"),
+        plain_number(F.col("Market Demand")).alias("market_demand_mw"),
+        file_name("file_path").alias("source_file"),
+    )
 
 
 def _time(date: Column, hour: Column) -> Column:

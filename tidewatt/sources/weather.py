@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatt.functions.cleaning import dirty_number, known_or_error, readable_time
 from tidewatt.operators.grid import regularise
 from tidewatt.session import staged
-from tidewatt.sources.headers import Layout, csv_files, heads, layouts
+from tidewatt.sources.headers import Layout, csv_files, heads, layouts, parent_folder, read_columns
 
 # Words that identify a column, per measure.
 TIME_TOKENS = ("date", "time")
@@ -44,35 +44,44 @@ def read_weather(
 
     A measure a file lacks is null; rows whose time cannot be read are left out.
     """
-    files = weather_files(spark, folder, start_year, end_year)
-    found = staged(heads(spark, folder).join(files.select("path"), "path", "left_semi"), "heads")
+    wanted = None
+    if start_year is not None:
+        wanted = parent_folder("_metadata.file_path").try_cast("int").between(start_year, end_year)
+    found = staged(heads(spark, folder, wanted=wanted), "heads")
     groups = layouts(found)
-    readable = [g for g in groups if g.position(*TIME_TOKENS) is not None]
-    untimed = [g.header for g in groups if g not in readable]
+    places = {g.header: _places(g) for g in groups if g.position(*TIME_TOKENS) is not None}
+    untimed = [g.header for g in groups if g.header not in places]
     reason = F.when(F.col("header").isNull(), "no header").when(F.col("header").isin(untimed), "no date and time column")
     rejects = found.select("path", reason.alias("reason")).where("reason IS NOT NULL")
     if not groups and rejects.isEmpty():
         raise FileNotFoundError(f"no weather files in {folder} for {start_year}-{end_year}")
-    frames = [_rows(spark, g) for g in readable]
-    empty = spark.createDataFrame([], _SCHEMA)
-    return reduce(DataFrame.unionByName, frames) if frames else empty, rejects
-
-
-def _rows(spark: SparkSession, layout: Layout) -> DataFrame:
-    measures = []
-    for name, tokens in MEASURE_TOKENS.items():
-        # "dew point temp" also contains the words for temperature
-        at = layout.position(*tokens, without=("dew",) if name == "temp_c" else ())
-        value = F.lit(None).cast("double") if at is None else dirty_number(F.col(f"c{at}"))
-        measures.append(value.alias(name))
-    time = readable_time(F.col(f"c{layout.position(*TIME_TOKENS)}"))
-    parts = F.split("file_path", "/")
-    source = F.concat_ws("/", F.slice(parts, -2, 2))
-    return (
-        layout.read(spark)
-        .select(time.alias("timestamp"), *measures, source.alias("source_file"))
-        .where(F.col("timestamp").isNotNull())
+    if not places:
+        return spark.createDataFrame([], _SCHEMA), rejects
+    cells = read_columns(spark, folder, found, places, wanted=wanted)
+    source = F.concat_ws("/", F.slice(F.split("file_path", "/"), -2, 2))
+    rows = cells.select(
+        readable_time(F.col("time")).alias("timestamp"), *[dirty_number(F.col(m)).alias(m) for m in MEASURES], source.alias("source_file")
     )
+    return rows.where(F.col("timestamp").isNotNull()), rejects
+
+
+def _places(layout: Layout) -> dict[str, int | None]:
+    # "dew point temp" also contains the words for temperature
+    found = {name: layout.position(*tokens, without=("dew",) if name == "temp_c" else ()) for name, tokens in MEASURE_TOKENS.items()}
+    return {"time": layout.position(*TIME_TOKENS), **found}
+
+
+def folder_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, severity, finding): a warning if the folder is absent or holds no file with content."""
+    try:
+        empty = weather_files(spark, folder).isEmpty()
+        finding = "no weather files" if empty else None
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        finding = "no weather folder"
+    rows = [(folder, "warning", finding)] if finding else []
+    return spark.createDataFrame(rows, "folder string, severity string, finding string")
 
 
 def hourly_weather(raw: DataFrame, keys: Sequence[str] = (), **how) -> DataFrame:
