@@ -327,3 +327,21 @@ def test_attach_keeps_every_row(spark):
     small = spark.createDataFrame([(0, 1.0), (1, 2.0)], "k bigint, v double")
     rows = keyed.attach(df, small, ["k"], ["id"]).collect()
     assert len(rows) == 100 and {r.k: r.v for r in rows} == {0: 1.0, 1: 2.0, 2: None, 3: None}
+
+
+def test_training_repeats_to_the_last_bit(spark):
+    """The same rows in other file splits and another order give the same weights."""
+    rng = np.random.default_rng(3)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(a), float(b), float(3 * a - b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    schema = "timestamp timestamp_ntz, a double, b double, y double"
+    weights = []
+    for order, splits in ((rows, 1), (rows[::-1], 7), (rows, 4)):
+        df = spark.createDataFrame(order, schema).repartition(splits)
+        model = mlp.PooledMLP(hidden=(4,), max_rounds=3, partitions=5, features=["a", "b"])
+        weights.append(mlp.read_parameters(model.fit(df))[1:])
+    for flat, _, means, spreads in weights[1:]:
+        for got, want in zip((flat, means, spreads), (weights[0][0], weights[0][2], weights[0][3])):
+            assert got.tobytes() == want.tobytes()
+    xs = np.array([r[1:] for r in rows])
+    np.testing.assert_allclose(weights[0][2], xs.mean(axis=0), rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(weights[0][3], xs.std(axis=0), rtol=1e-9)

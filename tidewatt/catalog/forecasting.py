@@ -256,6 +256,30 @@ def mlp_scoring(spark, sf):
     return rounded(scored.select("event_type", "timestamp", "y_hat"), lean=1e-4)
 
 
+@query(
+    "m7_full_batch_step",
+    sql.ctes(sql.HOURLY_FILLED)
+    + """, inputs AS (SELECT (l1 - 100) / 50 AS a, (l24 - 120) / 40 AS b, (y - 110) / 45 AS y FROM (
+        SELECT y, lag(y, 1) OVER o AS l1, lag(y, 24) OVER o AS l24 FROM hourly_filled
+        WINDOW o AS (PARTITION BY event_type ORDER BY timestamp)) WHERE l24 IS NOT NULL),
+      hidden AS (SELECT *, greatest(0.0, 0.5 * a + 0.25 * b + 0.1) AS p, greatest(0.0, -0.25 * a + 0.75 * b - 0.2) AS q FROM inputs),
+      errors AS (SELECT *, 0.6 * p + 0.4 * q + 0.05 - y AS d FROM hidden),
+      back AS (SELECT *, CASE WHEN p > 0 THEN 0.6 * d ELSE 0 END AS dp, CASE WHEN q > 0 THEN 0.4 * d ELSE 0 END AS dq FROM errors),
+      sums AS (SELECT count(*) AS n, [sum(a * dp), sum(a * dq), sum(b * dp), sum(b * dq), sum(dp), sum(dq), sum(p * d), sum(q * d), sum(d)] AS g
+        FROM back),
+      weights AS (SELECT unnest(range(9)) AS i, unnest([0.5, -0.25, 0.25, 0.75, 0.1, -0.2, 0.6, 0.4, 0.05]::DOUBLE[]) AS w,
+        unnest([1, 1, 1, 1, 0, 0, 1, 1, 0]) * 1e-4 AS penalty),
+      slopes AS (SELECT i::INTEGER AS i, n, w, (g[i + 1] + penalty * w) / n AS gradient FROM weights, sums WHERE n > 0)
+      SELECT i, n, floor(gradient * 1e6 + 0.5001) / 1e6 AS gradient,
+        floor((w - 1e-3 * gradient / (abs(gradient) + 1e-8 / sqrt(0.001))) * 1e6 + 0.5001) / 1e6 AS weight FROM slopes""",
+)
+def full_batch_step(spark, sf):
+    series = hourly_filled(spark, sf).select("event_type", "timestamp", "y")
+    lagged = windows.with_lags_and_means(series, "y", {"l1": 1, "l24": 24}, {}, keys=["event_type"])
+    layout = mlp.Layout((2, 2, 1))
+    return rounded(mlp.full_batch_step(lagged, layout, _FIXED["flat"], ["l1", "l24"], _FIXED["means"], _FIXED["spreads"]), lean=1e-4)
+
+
 _BOTH = """preds AS (
   SELECT 'SeasonalNaive7' AS model, split, timestamp, y, demand_lag_7d AS y_hat FROM dataset
     WHERE split <> 'train' AND demand_lag_7d IS NOT NULL AND y IS NOT NULL

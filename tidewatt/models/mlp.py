@@ -10,6 +10,9 @@ error is that of the rows that train.
 
 The outcome depends on the number of parts, so that is a setting, and does not follow from
 the number of rows or the size of the cluster. Set it to the tasks that the training rows need.
+A part is the rows whose hash falls into it, in the order of that hash, and what the parts return is
+merged in the order of the parts. So the same rows and settings (Spark's Arrow batch size among them)
+give the same weights to the last bit, whatever executors, retries or file splits there are.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatt.operators.metrics import complete_cases, feature_columns
@@ -91,6 +94,51 @@ class Adam:
         return flat - scale * self.first / (np.sqrt(self.second) + 1e-8)
 
 
+def merged_moments(a, b):
+    """(rows, means, sums of squares about them) of two sets of rows together."""
+    (n, mean, squares), (k, other, more) = a, b
+    apart = other - mean
+    return n + k, mean + apart * (k / (n + k)), squares + more + apart * apart * (n * k / (n + k))
+
+
+def _in_order(c: Column) -> Column:
+    """The sum of a value of each part, in the order of the parts; there are as many as the setting says."""
+    values = F.array_sort(F.collect_list(F.struct("part", c.alias("v"))))
+    return F.aggregate(values, F.lit(0.0), lambda total, p: total + p["v"])
+
+
+def full_batch_step(
+    df: DataFrame, layout: Layout, flat, features: Sequence[str], means, spreads, l2: float = 1e-4, rate: float = 1e-3, target: str = "y"
+) -> DataFrame:
+    """(i, n, gradient, weight): the gradient over all complete rows at the weights ``flat``, and the weights after
+    Adam's first step along it. Each task adds up the gradients of its rows; ``layout.count`` numbers a task move.
+    """
+    state = df.sparkSession.sparkContext.broadcast((np.asarray(flat, float), np.asarray(means, float), np.asarray(spreads, float)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, mean, spread = state.value
+        total, n = np.zeros(layout.count), 0
+        for batch in batches:
+            if len(batch):
+                x = (np.stack(batch["x"].to_numpy()) - mean[:-1]) / spread[:-1]
+                y = (batch["y"].to_numpy() - mean[-1]) / spread[-1]
+                total, n = total + len(y) * gradient(layout, weights, x, y, 0.0), n + len(y)
+        if n:
+            yield pd.DataFrame({"i": np.arange(layout.count), "g": total, "n": n})
+
+    rows = complete_cases(df.withColumnRenamed(target, "y"), features)
+    rows = rows.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col("y").cast("double").alias("y"))
+    sums = rows.mapInPandas(run, "i int, g double, n bigint").groupBy("i").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    penalised = np.concatenate([np.repeat([l2, 0.0], [a * b, b]) for a, b in zip(layout.sizes, layout.sizes[1:])])
+    start = [(i, float(w), float(p)) for i, (w, p) in enumerate(zip(flat, penalised))]
+    given = df.sparkSession.createDataFrame(start, "i int, w double, penalty double")
+    slope = (F.col("g") + F.col("penalty") * F.col("w")) / F.col("n")
+    # the first of Adam's steps, whose averages are the gradient and its square alone
+    step = F.lit(rate) * F.col("gradient") / (F.abs("gradient") + F.lit(1e-8 / np.sqrt(0.001)))
+    found = sums.join(given, "i").withColumn("gradient", slope)
+    return found.select("i", "n", "gradient", (F.col("w") - step).alias("weight"))
+
+
 class PooledMLP:
     """One network for all series of the frame."""
 
@@ -130,12 +178,13 @@ class PooledMLP:
         """Weights, scaling and feature list as rows (see :func:`parameter_table`)."""
         features = self.features or feature_columns(df, [*self.exclude, *keys])
         written = self._training_table(df, features, keys)
-        means, spreads, rows, kept_out = self._scales(written, len(features))
-        if not rows:
-            raise ValueError("no complete training rows")
         # spread once; a lost executor's share is read again from the written table
         part = F.pmod(F.col("at"), F.lit(self.partitions)).cast("int")
         table = written.repartitionById(self.partitions, part).sortWithinPartitions("at", "x", "y").persist()
+        means, spreads, rows, kept_out = self._scales(table)
+        if not rows:
+            table.unpersist()
+            raise ValueError("no complete training rows")
         layout = Layout((len(features), *self.hidden, 1))
         flat = layout.start(self.seed)
         first, second, steps = np.zeros_like(flat), np.zeros_like(flat), 0
@@ -168,34 +217,48 @@ class PooledMLP:
         )
         return staged(rows, "mlp-training")
 
-    def _scales(self, table: DataFrame, k: int):
+    def _scales(self, table: DataFrame):
         """Mean and spread of inputs and target over all complete rows, their number, and how many are kept out."""
-        columns = [F.get("x", F.lit(i)) for i in range(k)] + [F.col("y")]
-        stats = table.agg(
-            F.count("*").alias("n"),
-            F.count_if("held_out").alias("kept_out"),
-            F.array(*[F.avg(c) for c in columns]).alias("means"),
-            F.array(*[F.stddev_pop(c) for c in columns]).alias("spreads"),
-        ).first()
-        if not stats["n"]:
+        parts = self.partitions
+
+        def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, n, out, mean, squares = None, 0, 0, 0.0, 0.0
+            for batch in batches:
+                if not len(batch):
+                    continue
+                part = int(batch["at"].iloc[0]) % parts
+                rows = np.column_stack([np.stack(batch["x"].to_numpy()), batch["y"].to_numpy()])
+                own = rows.mean(axis=0)
+                n, mean, squares = merged_moments((n, mean, squares), (len(rows), own, ((rows - own) ** 2).sum(axis=0)))
+                out += int(batch["held_out"].sum())
+            if part is not None:
+                yield pd.DataFrame({"part": [part], "n": [n], "kept_out": [out], "mean": [mean], "squares": [squares]})
+
+        schema = "part int, n bigint, kept_out bigint, mean array<double>, squares array<double>"
+        found = table.mapInPandas(moments, schema).orderBy("part").toPandas()
+        n, mean, squares = 0, 0.0, 0.0
+        for r in found.itertuples():
+            n, mean, squares = merged_moments((n, mean, squares), (r.n, np.asarray(r.mean), np.asarray(r.squares)))
+        if not n:
             return None, None, 0, 0
-        spreads = np.array(stats["spreads"], dtype=float)
-        return np.array(stats["means"], dtype=float), np.where(spreads > 0, spreads, 1.0), stats["n"], stats["kept_out"]
+        spreads = np.sqrt(squares / n)
+        return mean, np.where(spreads > 0, spreads, 1.0), n, int(found["kept_out"].sum())
 
     def _round(self, table, layout, flat, first, second, steps, means, spreads, number, some_kept_out):
         """The next weights and optimiser state, and the mean squared error of the weights given."""
         spark = table.sparkSession
         state = spark.sparkContext.broadcast((flat, first, second, steps, means, spreads))
-        rate, l2, size, seed = self.learning_rate, self.l2, self.batch_size, self.seed
+        rate, l2, size, seed, parts = self.learning_rate, self.l2, self.batch_size, self.seed, self.partitions
 
         def local_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, m, v, t, mean, spread = state.value
             weights, optimiser = start, Adam(m, v, t, rate)
             rng = np.random.default_rng([seed, number])
-            rows, judged, squares = 0, 0, 0.0
+            part, rows, judged, squares = 0, 0, 0, 0.0
             for batch in batches:
                 if not len(batch):
                     continue
+                part = int(batch["at"].iloc[0]) % parts
                 x = (np.stack(batch["x"].to_numpy()) - mean[:-1]) / spread[:-1]
                 y = (batch["y"].to_numpy() - mean[-1]) / spread[-1]
                 out = batch["held_out"].to_numpy(bool)
@@ -210,12 +273,12 @@ class PooledMLP:
                 rows += len(y)
             if rows or judged:
                 columns = {"i": np.arange(layout.count), "w": weights, "m": optimiser.first, "v": optimiser.second}
-                yield pd.DataFrame({**columns, "t": optimiser.steps, "n": rows, "s": squares, "k": judged})
+                yield pd.DataFrame({**columns, "t": optimiser.steps, "n": rows, "s": squares, "k": judged, "part": part})
 
-        schema = "i int, w double, m double, v double, t bigint, n bigint, s double, k bigint"
+        schema = "i int, w double, m double, v double, t bigint, n bigint, s double, k bigint, part int"
         passes = table.mapInPandas(local_pass, schema)
-        mean_of = [F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum("n")).alias(c) for c in ("w", "m", "v")]
-        totals = [F.max("t").alias("t"), F.sum("s").alias("s"), F.sum("k").alias("k")]
+        mean_of = [F.try_divide(_in_order(F.col(c) * F.col("n")), F.sum("n")).alias(c) for c in ("w", "m", "v")]
+        totals = [F.max("t").alias("t"), _in_order(F.col("s")).alias("s"), F.sum("k").alias("k")]
         merged = passes.groupBy("i").agg(*mean_of, *totals).orderBy("i").toPandas()
         state.unpersist()
         error = merged["s"].iloc[0] / merged["k"].iloc[0] if merged["k"].iloc[0] else 0.0
